@@ -1 +1,224 @@
-"""Registered queries (filled in by group)."""
+"""Registered queries for the recursive smoothers (F) - oracle: DuckDB recursive CTEs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barwise.operators import scan as S
+from barwise.plans import sqlgen as G
+from barwise.plans.registry import query
+from barwise.sources.bars import bars_brand
+
+KEY = "symbol:s, ts:t"
+BASE = "b as (select *, row_number() over (partition by symbol order by ts) as rn from bars_brand)"
+
+
+def _join(ctes: list[str], names: list[str], extra_select: str = "") -> str:
+    joins = " ".join(f"left join {n} using (symbol, rn)" for n in names)
+    sel = ", ".join(f'{n}."{n}"' for n in names)
+    return (f"with recursive {BASE},\n" + ",\n".join(ctes) +
+            f"\nselect b.symbol, b.ts, {sel}{extra_select} from b {joins}")
+
+
+# F01 -----------------------------------------------------------------------------
+_F01 = [12, 26, 50]
+
+
+@query("f01_ema", KEY + "".join(f", ema_{w}:d" for w in _F01),
+       _join([G.ema(f"ema_{w}", "b", '"close"', w) for w in _F01], [f"ema_{w}" for w in _F01]))
+def _f01(spark, d):
+    df = bars_brand(spark, d)
+    for w in _F01:
+        df = S.ema(df, "close", w)
+    return df
+
+
+# F02 -----------------------------------------------------------------------------
+_F02 = [5, 10, 20, 50, 100, 200]
+
+
+@query("f02_ema_adjusted", KEY + "".join(f", ema_adj_{w}:d" for w in _F02) + ", ema_adj_a01:d",
+       _join([G.ema(f"ema_adj_{w}", "b", '"close"', w, adjust=True) for w in _F02]
+             + [G.ema("ema_adj_a01", "b", '"close"', None, adjust=True, alpha=0.1)],
+             [f"ema_adj_{w}" for w in _F02] + ["ema_adj_a01"]))
+def _f02(spark, d):
+    df = bars_brand(spark, d)
+    for w in _F02:
+        df = S.ema(df, "close", w, adjust=True)
+    return S.ema(df, "close", None, "ema_adj_a01", adjust=True, alpha=0.1)
+
+
+# F03 -----------------------------------------------------------------------------
+_F03 = [7, 14, 21, 30]
+
+
+def _rsi_wilder_sql() -> str:
+    d = f'"close" - lag("close") over (partition by symbol order by rn)'
+    base = (f"g as (select symbol, rn, ts, case when d is null then null else greatest(d, 0) end as gp,"
+            f" case when d is null then null else greatest(-d, 0) end as gn from (select *, {d} as d from b) as _x)")
+    ctes = [base]
+    for n in _F03:
+        ctes += [G.wilder(f"gm_{n}", "g", "gp", n), G.wilder(f"bm_{n}", "g", "gn", n)]
+    sel = []
+    joins = []
+    for n in _F03:
+        joins.append(f"left join gm_{n} using (symbol, rn) left join bm_{n} using (symbol, rn)")
+        gm, bm = f'gm_{n}."gm_{n}"', f'bm_{n}."bm_{n}"'
+        sel.append(f"case when {bm} > 0 then 100 - 100 / (1 + {gm} / {bm}) when {gm} is not null then 100 end as rsi_{n}")
+        sel.append(G.flag(f"(case when {bm} > 0 then 100 - 100 / (1 + {gm} / {bm}) when {gm} is not null then 100 end) < 30")
+                   + f" as rsi_{n}_oversold")
+        sel.append(G.flag(f"(case when {bm} > 0 then 100 - 100 / (1 + {gm} / {bm}) when {gm} is not null then 100 end) > 70")
+                   + f" as rsi_{n}_overbought")
+    return (f"with recursive {BASE},\n" + ",\n".join(ctes) +
+            f"\nselect b.symbol, b.ts, {', '.join(sel)} from b {' '.join(joins)}")
+
+
+@query("f03_rsi_wilder", KEY + "".join(f", rsi_{n}:d, rsi_{n}_oversold:i, rsi_{n}_overbought:i" for n in _F03),
+       _rsi_wilder_sql())
+def _f03(spark, d):
+    df = bars_brand(spark, d)
+    for n in _F03:
+        df = S.rsi_flags(S.rsi(df, n), n)
+    return df
+
+
+def _rsi_sma_sql(method: str) -> str:
+    sel = []
+    if method == "sma":
+        dd = f'("close" - {G.lag(chr(34) + "close" + chr(34))})'
+        g = f"case when {dd} > 0 then {dd} else 0 end"
+        bl = f"case when {dd} < 0 then -{dd} else 0 end"
+    else:
+        r = f'({G.div(chr(34) + "close" + chr(34), G.lag(chr(34) + "close" + chr(34)))} - 1)'
+        g = f"case when {r} is null then null when {r} > 0 then {r} else 0 end"
+        bl = f"case when {r} is null then null when {r} < 0 then -{r} else 0 end"
+    inner = f"select symbol, ts, {g} as gp, {bl} as gn from bars_brand"
+    for n in _F03:
+        gm, bm = G.sma("gp", n), G.sma("gn", n)
+        if method == "sma":
+            sel.append(f"case when {bm} > 0 then 100 - 100 / (1 + {gm} / {bm}) when {gm} > 0 then 100 end as rsi_sma_{n}")
+        else:
+            sel.append(f"100 - 100 / (1 + {gm} / ({bm} + {G.lit(1e-8)})) as rsi_pct_{n}")
+    return f"select symbol, ts, {', '.join(sel)} from ({inner}) as _g"
+
+
+@query("f03_rsi_sma", KEY + "".join(f", rsi_sma_{n}:d" for n in _F03), _rsi_sma_sql("sma"))
+def _f03b(spark, d):
+    df = bars_brand(spark, d)
+    for n in _F03:
+        df = S.rsi(df, n, method="sma")
+    return df
+
+
+@query("f03_rsi_pct", KEY + "".join(f", rsi_pct_{n}:d" for n in _F03), _rsi_sma_sql("pct"))
+def _f03c(spark, d):
+    df = bars_brand(spark, d)
+    for n in _F03:
+        df = S.rsi(df, n, method="pct")
+    return df
+
+
+# F04 -----------------------------------------------------------------------------
+_F04 = [(12, 26, 9, False), (5, 35, 5, False), (19, 39, 9, False), (12, 26, 9, True)]
+
+
+def _macd_name(f, s, g, adj):
+    return "macd" if (f, s, g) == (12, 26, 9) and not adj else f"macd_{f}_{s}_{g}" + ("_adj" if adj else "")
+
+
+def _macd_sql() -> str:
+    ctes, joins, sel = [], [], []
+    for f, s, g, adj in _F04:
+        p = _macd_name(f, s, g, adj)
+        ctes.append(G.ema(f"{p}_f", "b", '"close"', f, adjust=adj))
+        ctes.append(G.ema(f"{p}_s", "b", '"close"', s, adjust=adj))
+        ctes.append(f'{p}_l as (select b.symbol, b.rn, "{p}_f" - "{p}_s" as line from b '
+                    f"left join {p}_f using (symbol, rn) left join {p}_s using (symbol, rn))")
+        ctes.append(G.ema(f"{p}_g", f"{p}_l", "line", g, adjust=adj))
+        joins.append(f"left join {p}_l using (symbol, rn) left join {p}_g using (symbol, rn)")
+        line, sig = f"{p}_l.line", f'{p}_g."{p}_g"'
+        sel += [f"{line} as {p}", f"{sig} as {p}_signal", f"{line} - {sig} as {p}_histogram",
+                G.flag(f"{line} > {sig}") + f" as {p}_bullish"]
+    return (f"with recursive {BASE},\n" + ",\n".join(ctes) +
+            f"\nselect b.symbol, b.ts, {', '.join(sel)} from b {' '.join(joins)}")
+
+
+def _macd_spec() -> str:
+    out = KEY
+    for f, s, g, adj in _F04:
+        p = _macd_name(f, s, g, adj)
+        # a difference of two large EMAs: compared at 1e-4 (scan error ~1e-15 relative)
+        out += f", {p}:d4, {p}_signal:d4, {p}_histogram:d4, {p}_bullish:i"
+    return out
+
+
+@query("f04_macd", _macd_spec(), _macd_sql())
+def _f04(spark, d):
+    df = bars_brand(spark, d)
+    for f, s, g, adj in _F04:
+        df = S.macd(df, f, s, g, adjust=adj)
+    return df
+
+
+# F05 -----------------------------------------------------------------------------
+_F05 = [5, 10, 20, 50]
+
+
+@query("f05_close_ema_ratio", KEY + "".join(f", close_ema_{w}_ratio:d" for w in _F05),
+       f"with recursive {BASE},\n" + ",\n".join(G.ema(f"e{w}", "b", '"close"', w, adjust=True) for w in _F05)
+       + "\nselect b.symbol, b.ts, " + ", ".join(f'{G.div(chr(34) + "close" + chr(34), f"e{w}.e{w}")} as close_ema_{w}_ratio' for w in _F05)
+       + " from b " + " ".join(f"left join e{w} using (symbol, rn)" for w in _F05))
+def _f05(spark, d):
+    return S.close_ema_ratio(bars_brand(spark, d), tuple(_F05))
+
+
+# F06 -----------------------------------------------------------------------------
+_F06 = [14, 20, 21]
+_TRB = (f"t as (select symbol, rn, ts, \"close\", "
+        + G.gmax("high - low", 'abs(high - lag("close") over (partition by symbol order by rn))',
+                 'abs(low - lag("close") over (partition by symbol order by rn))') + " as tr from b)")
+
+
+@query("f06_atr", KEY + "".join(f", atr_{n}:d, atr_{n}_ratio:d" for n in _F06),
+       f"with recursive {BASE},\n{_TRB},\n" + ",\n".join(G.wilder(f"atr_{n}", "t", "tr", n) for n in _F06)
+       + "\nselect t.symbol, t.ts, " + ", ".join(f'atr_{n}."atr_{n}" as atr_{n}, {G.div(f"atr_{n}.atr_{n}", chr(34) + "close" + chr(34))} as atr_{n}_ratio' for n in _F06)
+       + " from t " + " ".join(f"left join atr_{n} using (symbol, rn)" for n in _F06))
+def _f06(spark, d):
+    return S.atr(bars_brand(spark, d), tuple(_F06), ratio=True)
+
+
+# F07 -----------------------------------------------------------------------------
+def _adx_sql(n: int = 14) -> str:
+    lagp = "over (partition by symbol order by rn)"
+    dm = (f"dm as (select symbol, rn, ts, tr, "
+          f"case when up is null then null when up > dn and up > 0 then up else 0 end as pdm, "
+          f"case when dn is null then null when dn > up and dn > 0 then dn else 0 end as mdm from "
+          f"(select t.*, high - lag(high) {lagp} as up, lag(low) {lagp} - low as dn from "
+          f"(select b.*, " + G.gmax("high - low", f'abs(high - lag("close") {lagp})', f'abs(low - lag("close") {lagp})')
+          + f" as tr from b) as t) as _u)")
+    ctes = [dm, G.wilder("s_tr", "dm", "tr", n), G.wilder("s_p", "dm", "pdm", n), G.wilder("s_m", "dm", "mdm", n),
+            "di as (select dm.symbol, dm.rn, dm.ts, 100 * (s_p.s_p / nullif(s_tr.s_tr, 0)) as pdi, "
+            "100 * (s_m.s_m / nullif(s_tr.s_tr, 0)) as mdi from dm left join s_tr using (symbol, rn) "
+            "left join s_p using (symbol, rn) left join s_m using (symbol, rn))",
+            "dx as (select *, case when pdi + mdi = 0 then 0 else 100 * (abs(pdi - mdi) / nullif(pdi + mdi, 0)) end as dx from di)",
+            G.wilder("adx", "dx", "dx", n)]
+    return (f"with recursive {BASE},\n" + ",\n".join(ctes) +
+            "\nselect dx.symbol, dx.ts, pdi as adx_pos, mdi as adx_neg, adx.adx as adx from dx left join adx using (symbol, rn)")
+
+
+@query("f07_adx", KEY + ", adx_pos:d, adx_neg:d, adx:d", _adx_sql())
+def _f07(spark, d):
+    return S.adx(bars_brand(spark, d), 14)
+
+
+# F09 -----------------------------------------------------------------------------
+@query("f09_garch_vol", KEY + ", returns_squared:d, garch_vol:d",
+       f"with recursive {BASE},\n"
+       "r as (select symbol, rn, ts, pow(\"close\" / nullif(lag(\"close\") over (partition by symbol order by rn), 0) - 1, 2) as rsq from b),\n"
+       + G.ema("gv", "r", "rsq", None, adjust=True, alpha=0.1)
+       + "\nselect r.symbol, r.ts, r.rsq as returns_squared, gv.gv as garch_vol from r left join gv using (symbol, rn)")
+def _f09(spark, d):
+    return S.garch_vol(bars_brand(spark, d))
+
+
+_ = F
