@@ -158,11 +158,11 @@ def trend_vs_atr(df: DataFrame, w: int = 20, atr_w: int = 14) -> DataFrame:
 
 
 def price_volume_trend_mean(df: DataFrame, w: int = 5) -> DataFrame:
-    """5-bar mean of (price change x volume change); the first change is 0."""
-    dc = F.coalesce(c - lag(c), F.lit(0.0))
-    dv = F.coalesce(v - lag(v), F.lit(0.0))
+    """5-bar mean of (close % change x volume % change); undefined changes are 0."""
+    dc = F.coalesce(div(c, lag(c)) - 1, F.lit(0.0))
+    dv = F.coalesce(div(v, lag(v)) - 1, F.lit(0.0))
     df = df.withColumn("_pv", dc * dv)
-    return df.withColumn(f"price_volume_corr_{w}", sma("_pv", w)).drop("_pv")
+    return df.withColumn(f"volume_price_trend_{w}", sma("_pv", w)).drop("_pv")
 
 
 def ma_cross(df: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
