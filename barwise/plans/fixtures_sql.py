@@ -61,9 +61,19 @@ from (select symbol, ts, model, "close", next_close,
       cross join (select unnest(['lstm', 'tcn', 'gbt']) as model) as _m
       where next_close is not null) as _p"""
 
+FIXTURE_SQL["feat_dirty"] = """
+select symbol, ts,
+       case when n % 53 = 0 then null when n % 71 = 0 then "close" * 1e6 else "close" end as f_close,
+       case when n % 53 = 0 then null when n % 71 = 0 then volume * 1e6 else volume end as f_volume,
+       case when n % 3 = 0 then "close" end as f_sparse, 1.0 as f_const, "close" * 1e12 as f_big,
+       case when n % 61 = 0 then cast('inf' as double)
+            else "close" / nullif(lag("close") over (partition by symbol order by ts), 0) end as f_ratio,
+       "close"
+from (select *, row_number() over (partition by symbol order by ts) as n from bars_brand) as _d"""
+
 # dependencies between fixtures (a fixture text may mention another)
-_DEPS = {"bars_dirty": ["bars_brand"], "preds": ["bars_event"]}
-_ORDER = ["bars_brand", "bars_event", "bars_user", "bars_dirty", "dim", "preds"]
+_DEPS = {"bars_dirty": ["bars_brand"], "feat_dirty": ["bars_brand"], "preds": ["bars_event"]}
+_ORDER = ["bars_brand", "bars_event", "bars_user", "bars_dirty", "feat_dirty", "dim", "preds"]
 
 
 def _mentions(sql: str, name: str) -> bool:

@@ -310,3 +310,20 @@ def bars_dirty(spark: SparkSession, d: str) -> DataFrame:
 
 FIXTURES = {"bars_brand": bars_brand, "bars_event": bars_event, "bars_user": bars_user,
             "bars_dirty": bars_dirty}
+
+
+def feat_dirty(spark: SparkSession, d: str) -> DataFrame:
+    """Feature frame with planted cleaning cases (nulls, outliers, sparse, constant, huge, inf)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("symbol").orderBy("ts")
+    b = bars_brand(spark, d).withColumn("_n", F.row_number().over(w))
+    n = F.col("_n")
+
+    def planted(x):
+        return F.when(n % 53 == 0, F.lit(None).cast("double")).when(n % 71 == 0, F.col(x) * 1e6).otherwise(F.col(x))
+    return b.select("symbol", "ts", planted("close").alias("f_close"), planted("volume").alias("f_volume"),
+                    F.when(n % 3 == 0, F.col("close")).alias("f_sparse"), F.lit(1.0).alias("f_const"),
+                    (F.col("close") * 1e12).alias("f_big"),
+                    F.when(n % 61 == 0, F.lit(float("inf"))).otherwise(
+                        div(F.col("close"), F.lag("close").over(w))).alias("f_ratio"),
+                    "close")
