@@ -16,6 +16,11 @@ from barwise.operators.ranking import exact_quantiles, global_rank
 KEY = ["symbol", "ts"]
 
 
+def stable(x):
+    """Decision inputs rounded to 1e-9, so bands do not flip on float noise of the mean."""
+    return F.round(x, 9)
+
+
 # ---------------------------------------------------------------- P01-P03
 def latest_quote(bars: DataFrame) -> DataFrame:
     """Last close, change and change % against the previous bar, volume, high, low.
@@ -76,12 +81,13 @@ def class_decision(p: DataFrame, t: float = 0.5) -> DataFrame:
                             F.avg("y_score").alias("ensemble"), F.stddev_pop("y_score").alias("spread"),
                             F.first("price_now").alias("price_now"))
     n, nu = F.col("n_models"), F.col("n_up")
+    a = a.withColumns({"ensemble": stable(F.col("ensemble")), "spread": stable(F.col("spread"))})
     a = a.withColumns({
         "disagree": ((nu > 0) & (nu < n)).cast("int"),
-        "agreement": F.greatest(nu, n - nu) / n,
-        "signal_strength": F.abs(F.col("ensemble") - t) / F.lit(max(max(t, 1 - t), 1e-6)),
+        "agreement": stable(F.greatest(nu, n - nu) / n),
+        "signal_strength": stable(F.abs(F.col("ensemble") - t) / F.lit(max(max(t, 1 - t), 1e-6))),
         "direction": F.when(F.col("ensemble") >= t, "UP").otherwise("DOWN"),
-        "confidence": F.greatest(F.col("ensemble"), 1 - F.col("ensemble")) * 100})
+        "confidence": stable(F.greatest(F.col("ensemble"), 1 - F.col("ensemble")) * 100)})
     ag, ss, sp = F.col("agreement"), F.col("signal_strength"), F.col("spread")
     risk = (F.when((ag >= 0.80) & (ss >= 0.30) & (sp <= 0.08), "low")
             .when((ag >= 0.60) & (ss >= 0.15) & (sp <= 0.15), "medium").otherwise("high"))
@@ -112,9 +118,9 @@ def regression_decision(p: DataFrame) -> DataFrame:
                             F.collect_list("price_pred").alias("_preds"))
     now, ens = F.col("price_now"), F.col("ensemble")
     same_side = F.size(F.filter("_preds", lambda x: (x > now) == (ens > now)))
-    a = a.withColumns({"spread_pct": F.col("_sd") / now * 100,
-                       "agreement": same_side / F.col("n_models"),
-                       "expected_return": (ens - now) / now * 100})
+    a = a.withColumns({"spread_pct": stable(F.col("_sd") / now * 100),
+                       "agreement": stable(same_side / F.col("n_models")),
+                       "expected_return": stable((ens - now) / now * 100)})
     ag, sp, er = F.col("agreement"), F.col("spread_pct"), F.col("expected_return")
     a = a.withColumn("risk", F.when((ag > 0.8) & (sp < 2), "low").when((ag > 0.6) & (sp < 5), "medium").otherwise("high"))
     rec = (F.when(er > 5, "STRONG BUY").when(er > 2, "MODERATE BUY").when(er > -2, "HOLD")

@@ -51,7 +51,7 @@ FIXTURE_SQL["preds"] = """
 select symbol, ts, model, y_true,
        (350 * y_true + (650 * h) // 1000) / 1000.0 as y_score,
        next_close as price_true,
-       "close" * (950 + h // 10) / 1000.0 as price_pred
+       "close" * (950 + h // 10) / 1000.0 as price_pred, "close" as price_now
 from (select symbol, ts, model, "close", next_close,
              cast("close" < next_close as integer) as y_true,
              cast(('0x' || substr(md5(symbol || '|' || cast(cast(epoch(ts) as bigint) as varchar) || '|' || model), 1, 8))
