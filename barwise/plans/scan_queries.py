@@ -222,3 +222,173 @@ def _f09(spark, d):
 
 
 _ = F
+
+
+# ------------------------------------------------------------------ shared CTE builders
+def rsi_ctes(n: int = 14) -> tuple[list[str], str, str]:
+    d = '"close" - lag("close") over (partition by symbol order by rn)'
+    ctes = [f"g{n} as (select symbol, rn, case when d is null then null else greatest(d, 0) end as gp, "
+            f"case when d is null then null else greatest(-d, 0) end as gn from (select symbol, rn, {d} as d from b) as _x)",
+            G.wilder(f"gm{n}", f"g{n}", "gp", n), G.wilder(f"bm{n}", f"g{n}", "gn", n)]
+    gm, bm = f'gm{n}."gm{n}"', f'bm{n}."bm{n}"'
+    expr = f"(case when {bm} > 0 then 100 - 100 / (1 + {gm} / {bm}) when {gm} is not null then 100 end)"
+    return ctes, f"left join gm{n} using (symbol, rn) left join bm{n} using (symbol, rn)", expr
+
+
+def macd_ctes(f: int = 12, s: int = 26, g: int = 9) -> tuple[list[str], str, str, str]:
+    p = f"m{f}_{s}_{g}"
+    ctes = [G.ema(f"{p}_f", "b", '"close"', f), G.ema(f"{p}_s", "b", '"close"', s),
+            f'{p}_l as (select b.symbol, b.rn, "{p}_f" - "{p}_s" as line from b '
+            f"left join {p}_f using (symbol, rn) left join {p}_s using (symbol, rn))",
+            G.ema(f"{p}_g", f"{p}_l", "line", g)]
+    return ctes, f"left join {p}_l using (symbol, rn) left join {p}_g using (symbol, rn)", f"{p}_l.line", f'{p}_g."{p}_g"'
+
+
+def atr_ctes(n: int = 14) -> tuple[list[str], str, str]:
+    lagp = "over (partition by symbol order by rn)"
+    ctes = [f"tr{n} as (select symbol, rn, " + G.gmax("high - low", f'abs(high - lag("close") {lagp})',
+                                                    f'abs(low - lag("close") {lagp})') + " as tr from b)",
+            G.wilder(f"atr{n}", f"tr{n}", "tr", n)]
+    return ctes, f"left join atr{n} using (symbol, rn)", f'atr{n}."atr{n}"'
+
+
+def adx_ctes(n: int = 14) -> tuple[list[str], str, str]:
+    sql = _adx_sql(n)
+    body = sql[len(f"with recursive {BASE},\n"):sql.index("\nselect dx.symbol")]
+    return [body], "left join dx using (symbol, rn) left join adx using (symbol, rn)", "adx.adx"
+
+
+def _bbpos(ddof: int, w: int = 20, k: float = 2.0) -> str:
+    fn = "stddev_pop" if ddof == 0 else "stddev_samp"
+    fr = f"(partition by symbol order by rn rows between {w - 1} preceding and current row)"
+    m = f"(case when count(\"close\") over {fr} = {w} then avg(\"close\") over {fr} end)"
+    sd = f"(case when count(\"close\") over {fr} = {w} then {fn}(\"close\") over {fr} end)"
+    return f"(\"close\" - ({m} - {k} * {sd})) / nullif(({m} + {k} * {sd}) - ({m} - {k} * {sd}), 0)"
+
+
+# H07 ------------------------------------------------------------------------------
+def _h07_sql() -> str:
+    c1, j1, atr = atr_ctes(14)
+    c2, j2, rsi = rsi_ctes(14)
+    c3, j3, line, _sig = macd_ctes()
+    c4, j4, adx = adx_ctes(14)
+    bb = f"bbp as (select symbol, rn, {_bbpos(0)} as bb_position from b)"
+    return (f"with recursive {BASE},\n" + ",\n".join(c1 + c2 + c3 + c4 + [bb]) +
+            f"\nselect b.symbol, b.ts, {atr} * {rsi} as volatility_momentum, {line} * {adx} as trend_momentum, "
+            f"bbp.bb_position * {rsi} as bb_rsi_interaction from b {j1} {j2} {j3} {j4} left join bbp using (symbol, rn)")
+
+
+@query("h07_indicator_products", KEY + ", volatility_momentum:d4, trend_momentum:d2, bb_rsi_interaction:d4", _h07_sql())
+def _h07(spark, d):
+    from barwise.operators.regime import indicator_products
+    return indicator_products(bars_brand(spark, d))
+
+
+def _h08_sql() -> str:
+    c2, j2, rsi = rsi_ctes(14)
+    c3, j3, line, sig = macd_ctes()
+    bb = f"bbp as (select symbol, rn, {_bbpos(1)} as bbp from b)"
+    f = G.flag
+    return (f"with recursive {BASE},\n" + ",\n".join(c2 + c3 + [bb]) +
+            f"\nselect b.symbol, b.ts, {f(f'{rsi} > 50 and {line} > 0')} as rsi_macd_signal, "
+            f"{f(f'bbp.bbp < 0.2 and {rsi} < 30')} as bb_rsi_oversold, {f(f'bbp.bbp > 0.8 and {rsi} > 70')} as bb_rsi_overbought, "
+            f"{f(f'{rsi} > 50 and {line} > {sig}')} as rsi_macd_bullish from b {j2} {j3} left join bbp using (symbol, rn)")
+
+
+@query("h08_joint_signals", KEY + ", rsi_macd_signal:i, bb_rsi_oversold:i, bb_rsi_overbought:i, rsi_macd_bullish:i", _h08_sql())
+def _h08(spark, d):
+    from barwise.operators.regime import joint_signals
+    return joint_signals(bars_brand(spark, d))
+
+
+# F08 ------------------------------------------------------------------------------
+_PSAR_SQL = (
+    f"with recursive {BASE},\n"
+    "p as (select symbol, rn, ts, high, low, lag(low) over w as l1, coalesce(lag(low, 2) over w, lag(low) over w) as l2, "
+    "lag(high) over w as h1, coalesce(lag(high, 2) over w, lag(high) over w) as h2 from b "
+    "window w as (partition by symbol order by rn)),\n"
+    "r as (select symbol, rn, low as sar, high as ep, cast(0.02 as double) as af, 1 as trend from p where rn = 1\n"
+    "  union all\n"
+    "  select p.symbol, p.rn,\n"
+    "    case when r.trend = 1 then (case when p.low < least(r.sar + r.af * (r.ep - r.sar), p.l1, p.l2) then r.ep "
+    "else least(r.sar + r.af * (r.ep - r.sar), p.l1, p.l2) end)\n"
+    "         else (case when p.high > greatest(r.sar + r.af * (r.ep - r.sar), p.h1, p.h2) then r.ep "
+    "else greatest(r.sar + r.af * (r.ep - r.sar), p.h1, p.h2) end) end,\n"
+    "    case when r.trend = 1 then (case when p.low < least(r.sar + r.af * (r.ep - r.sar), p.l1, p.l2) then p.low "
+    "when p.high > r.ep then p.high else r.ep end)\n"
+    "         else (case when p.high > greatest(r.sar + r.af * (r.ep - r.sar), p.h1, p.h2) then p.high "
+    "when p.low < r.ep then p.low else r.ep end) end,\n"
+    "    case when r.trend = 1 then (case when p.low < least(r.sar + r.af * (r.ep - r.sar), p.l1, p.l2) then cast(0.02 as double) "
+    "when p.high > r.ep then least(r.af + cast(0.02 as double), cast(0.2 as double)) else r.af end)\n"
+    "         else (case when p.high > greatest(r.sar + r.af * (r.ep - r.sar), p.h1, p.h2) then cast(0.02 as double) "
+    "when p.low < r.ep then least(r.af + cast(0.02 as double), cast(0.2 as double)) else r.af end) end,\n"
+    "    case when r.trend = 1 then (case when p.low < least(r.sar + r.af * (r.ep - r.sar), p.l1, p.l2) then -1 else 1 end)\n"
+    "         else (case when p.high > greatest(r.sar + r.af * (r.ep - r.sar), p.h1, p.h2) then 1 else -1 end) end\n"
+    "  from r join p on p.symbol = r.symbol and p.rn = r.rn + 1)\n"
+    "select b.symbol, b.ts, r.sar as psar, case when r.trend = 1 then r.sar end as psar_up, "
+    "case when r.trend = -1 then r.sar end as psar_down, r.trend as psar_trend from b join r using (symbol, rn)")
+
+
+@query("f08_psar", KEY + ", psar:d, psar_up:d, psar_down:d, psar_trend:i", _PSAR_SQL)
+def _f08(spark, d):
+    from barwise.operators.path import psar
+    return psar(bars_brand(spark, d))
+
+
+@query("f08_psar_blocked", KEY + ", psar:d, psar_up:d, psar_down:d, psar_trend:i", _PSAR_SQL)
+def _f08b(spark, d):
+    # small blocks and halos: many blocks per symbol, boundaries checked and repaired
+    from barwise.operators.path import psar
+    return psar(bars_brand(spark, d), block=200, halo=40)
+
+
+@query("f08_psar_fallback", KEY + ", psar_sma_20:d, psar_trend_simple:i",
+       "select symbol, ts, case when count(\"close\") over f = 20 then avg(\"close\") over f end as psar_sma_20, "
+       "cast(coalesce(\"close\" > case when count(\"close\") over f = 20 then avg(\"close\") over f end, false) as integer) "
+       "as psar_trend_simple from bars_brand window f as (partition by symbol order by ts rows between 19 preceding and current row)")
+def _f08c(spark, d):
+    from barwise.functions.core import flag, sma
+    b = bars_brand(spark, d).withColumn("psar_sma_20", sma("close", 20))
+    return b.withColumn("psar_trend_simple", flag(F.col("close") > F.col("psar_sma_20")))
+
+
+# F10 ------------------------------------------------------------------------------
+@query("f10_lookback_scan", "symbol:s, best_window:i, best_rate:d",
+       "with t as (select symbol, ts, cast(nx > \"close\" as double) as y, row_number() over (partition by symbol order by ts) - 1 as i, "
+       "count(*) over (partition by symbol) as n from (select *, lead(\"close\") over (partition by symbol order by ts) as nx "
+       "from bars_brand) as _a where nx is not null), "
+       "r as (select symbol, wnd, avg(y) as p from t, (select unnest([5, 10, 15, 20]) as wnd) as _w "
+       "where n - wnd > 50 and i >= wnd and i < wnd + floor((n - wnd) * 0.8) group by symbol, wnd), "
+       "s as (select symbol, wnd, greatest(p, 1 - p) as rate from r) "
+       "select symbol, arg_max(wnd, row(rate, -wnd)) as best_window, max(rate) as best_rate from s group by symbol")
+def _f10(spark, d):
+    from barwise.operators.labels import targets
+    from barwise.operators.path import lookback_scan
+    return lookback_scan(targets(bars_brand(spark, d)))
+
+
+# flagship ------------------------------------------------------------------------
+def _flagship_sql() -> str:
+    c3, j3, line, sig = macd_ctes()
+    fr = lambda n: f"(partition by symbol order by rn rows between {n - 1} preceding and current row)"
+    return (f"with recursive {BASE},\n" + ",\n".join(c3) + ",\n"
+            f"f as (select b.symbol, b.ts, b.rn, b.\"close\", case when count(\"close\") over {fr(5)} = 5 then avg(\"close\") over {fr(5)} end as sma_5, "
+            f"case when count(\"close\") over {fr(20)} = 20 then avg(\"close\") over {fr(20)} end as sma_20, {line} as macd, {sig} as macd_signal, "
+            "case when lead(\"close\") over (partition by symbol order by rn) is not null then "
+            "cast(lead(\"close\") over (partition by symbol order by rn) > \"close\" as integer) end as target_direction "
+            f"from b {j3}),\n"
+            "g as (select *, case when macd > macd_signal and sma_5 > sma_20 then 'BUY' "
+            "when macd < macd_signal and sma_5 < sma_20 then 'SELL' else 'HOLD' end as signal from f),\n"
+            "h as (select *, signal <> 'HOLD' and target_direction is not null as called, "
+            "cast(coalesce((signal = 'BUY' and target_direction = 1) or (signal = 'SELL' and target_direction = 0), false) as integer) as hit from g)\n"
+            "select symbol, arg_max(ts, rn) as ts, arg_max(\"close\", rn) as \"close\", arg_max(sma_5, rn) as sma_5, "
+            "arg_max(sma_20, rn) as sma_20, arg_max(macd, rn) as macd, arg_max(macd_signal, rn) as macd_signal, "
+            "arg_max(signal, rn) as signal, count(*) filter (where called) as n_signals, "
+            "sum(case when called then hit end) / nullif(count(*) filter (where called), 0) as hit_rate from h group by symbol")
+
+
+@query("flagship_signal", "symbol:s, ts:t, close:d, sma_5:d, sma_20:d, macd:d4, macd_signal:d4, signal:s, n_signals:l, hit_rate:d",
+       _flagship_sql())
+def _flag(spark, d):
+    from barwise.plans.flagship import flagship
+    return flagship(spark, d)
