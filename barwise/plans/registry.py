@@ -44,5 +44,5 @@ def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from barwise.plans import (  # noqa: F401
         ingest_queries, feature_queries, scan_queries, prep_queries, model_queries,
-        decision_queries, stream_queries, selection_queries, composite_queries)
+        decision_queries, stream_queries, selection_queries, composite_queries, ml_queries)
     return REGISTRY
