@@ -1 +1,111 @@
-"""Registered queries (filled in by group)."""
+"""Registered queries for the streaming operators (S): each drives a streaming query over
+the events table with ``availableNow`` and returns its sink table."""
+
+from __future__ import annotations
+
+import uuid
+
+
+from pyspark.sql import functions as F
+
+from barwise.plans import sqlgen as G
+from barwise.plans.registry import query
+from barwise.session import scratch_path
+from barwise.sources.bars import BAR_SCHEMA, EVENTS_SCHEMA, bars_event
+from barwise.streaming import bars_stream as S
+
+BARS = "symbol:s, ts:t, open:d, high:d, low:d, close:d, volume:d"
+
+
+def _ticks(spark, d):
+    return S.tick_stream(spark, f"{d}/events*.parquet", EVENTS_SCHEMA)
+
+
+@query("s01_stream_bars", BARS, "select * from bars_event")
+def _s01(spark, d):
+    bars = S.ohlcv(_ticks(spark, d), "event_type", "ts", "value", "1 hour", "1 hour",
+                   order=["ts", "event_id"])
+    return S.run_upserts(bars, ["symbol", "ts"], "s01")
+
+
+@query("s01_stream_bars_append", BARS)
+def _s01b(spark, d):
+    # append mode: a bar is written once, when the watermark passes its end; the bars still
+    # open at the end of the input stay in state until newer ticks arrive
+    bars = S.ohlcv(_ticks(spark, d), "event_type", "ts", "value", "1 hour", "1 hour",
+                   order=["ts", "event_id"])
+    return S.run(bars, "append", "s01a")
+
+
+@query("s02_sliding_stats", "symbol:s, window_start:t, window_end:t, mean:d, min:d, max:d, n:l",
+       "select event_type as symbol, ws as window_start, ws + interval 3 hour as window_end, avg(value) as mean, "
+       "min(value) as min, max(value) as max, count(*) as n from (select e.*, "
+       "time_bucket(interval '1 hour', ts, timestamp '1970-01-01') - to_hours(k) as ws from events e, "
+       "(select unnest([0, 1, 2]) as k) as _k) as _w group by 1, 2")
+def _s02(spark, d):
+    return S.run_upserts(S.sliding_stats(_ticks(spark, d), "event_type", "ts", "value"),
+                         ["symbol", "window_start"], "s02")
+
+
+@query("s03_dedupe_refetch", "event_id:l, symbol:s, ts:t, value:d",
+       "select event_id, event_type as symbol, ts, value from events")
+def _s03(spark, d):
+    a = _ticks(spark, d)
+    b = _ticks(spark, d)        # an overlapping re-delivery of the same ticks
+    u = S.dedupe(a.unionByName(b), ["event_id"], "ts")
+    out = S.run(u, "append", "s03")
+    return out.select("event_id", F.col("event_type").alias("symbol"), "ts", "value")
+
+
+@query("s04_latest_quote_state", "symbol:s, ts:t, close:d, prev_close:d, change:d, change_pct:d",
+       "with r as (select event_type as symbol, ts, value, row_number() over (partition by event_type "
+       "order by ts desc, event_id desc) as k from events) select a.symbol, a.ts, a.value as close, b.value as prev_close, "
+       "a.value - b.value as change, (a.value - b.value) / nullif(b.value, 0) * 100 as change_pct "
+       "from r a left join r b on a.symbol = b.symbol and b.k = 2 where a.k = 1")
+def _s04(spark, d):
+    q = S.latest_quote(_ticks(spark, d), "event_type", "ts", "value", "event_id")
+    return S.run_upserts(q, ["symbol"], "s04")
+
+
+def _bar_chunks(spark, d, n_chunks: int = 4) -> str:
+    """bars_event written as time-ordered chunks (one write per chunk, each symbol's rows of a
+    chunk in one file) so a file stream replays them in time order over several batches."""
+    bars = bars_event(spark, d)
+    lo, hi = bars.agg(F.min("ts"), F.max("ts")).first()
+    path = scratch_path(spark, f"bar-chunks-{uuid.uuid4().hex}")
+    step = (hi - lo) / n_chunks
+    for i in range(n_chunks):
+        a = lo + step * i
+        cond = F.col("ts") >= F.lit(a)
+        if i < n_chunks - 1:
+            cond = cond & (F.col("ts") < F.lit(lo + step * (i + 1)))
+        bars.filter(cond).repartition("symbol").write.mode("append").parquet(path)
+    return path
+
+
+@query("s05_incremental_ema", "symbol:s, ts:t, ema_12:d",
+       "with recursive b as (select *, row_number() over (partition by symbol order by ts) as rn from bars_event),\n"
+       + G.ema("ema_12", "b", '"close"', 12) + "\nselect b.symbol, b.ts, ema_12.ema_12 from b left join ema_12 using (symbol, rn)")
+def _s05(spark, d):
+    path = _bar_chunks(spark, d)
+    bars = S.tick_stream(spark, f"{path}/*.parquet", BAR_SCHEMA, max_files=2)
+    out = S.run(S.incremental_ema(bars, 12), "append", "s05")
+    return out.select("symbol", "ts", F.col("ema").alias("ema_12"))
+
+
+@query("s06_stream_scoring", "symbol:s, ts:t, model:s, y_score:d, batch_id:l")
+def _s06(spark, d):
+    from barwise.operators import labels as K
+    from barwise.operators import ml as R
+    from barwise.plans.featuresets import BASIC, basic_set
+    feats = list(BASIC)
+    hist = K.targets(basic_set(bars_event(spark, d)))
+    seqs = K.sequences(hist, feats, "target_direction", lookback=5)
+    model = R.fit_direction(seqs, "logistic", regParam=0.01)
+    path = _bar_chunks(spark, d)
+    bars = S.tick_stream(spark, f"{path}/*.parquet", BAR_SCHEMA, max_files=2)
+    out = S.run(bars, "append", "s06", foreach=S.scoring_sink(model, feats, 5))
+    return out.select("symbol", "ts", "model", "y_score", "batch_id")
+
+
+
