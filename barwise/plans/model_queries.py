@@ -363,3 +363,68 @@ def _trials(spark, d):
        "select model, trial, threshold, accuracy, best_so_far from r where hit is null or trial <= hit")
 def _o08(spark, d):
     return O.leaderboard(_trials(spark, d), target=0.80)
+
+
+# ------------------------------------------------------------------------ A14-A17 sinks
+def _results_path(spark, name):
+    import uuid
+    from barwise.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+_RESULT_SCHEMA = ("model string, classification struct<accuracy: double, precision: double, recall: double, f1: double>, "
+                  "metrics map<string, double>")
+
+
+def _nested_results(spark, d):
+    s = O.summary(_preds(spark, d))
+    return s.select("model", F.struct("accuracy", "precision", "recall", "f1").alias("classification"),
+                    F.create_map(*[x for m in ("roc_auc", "tpr", "tnr", "mcc") for x in (F.lit(m), F.col(m))]).alias("metrics"))
+
+
+@query("a14_write_results", "model:s, n_metrics:i")
+def _a14(spark, d):
+    from barwise.sources.cache import read_results, write_results
+    path = _results_path(spark, "results")
+    write_results(_nested_results(spark, d), path)
+    back = read_results(spark, path, spark.createDataFrame([], _RESULT_SCHEMA).schema)
+    return back.select("model", F.size("metrics").alias("n_metrics"))
+
+
+@query("a15_params_roundtrip", "symbol:s, feature:s, min:d, max:d",
+       " union all ".join(f"select symbol, '{c}' as feature, min({q}) as min, max({q}) as max from bars_brand "
+                          f"where ts < timestamp '2000-01-01' group by symbol" for c, q in (("close", '"close"'), ("volume", "volume"))))
+def _a15(spark, d):
+    from barwise.operators.labels import fit_scaler
+    from barwise.sources.bars import bars_brand
+    from barwise.sources.cache import load_params, save_params
+    p = fit_scaler(bars_brand(spark, d), ["close", "volume"], "minmax",
+                   fit_where=F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz"), by=["symbol"])
+    path = _results_path(spark, "params")
+    save_params(p, path)
+    return load_params(spark, path)
+
+
+@query("a16_model_roundtrip", "symbol:s, ts:t, model:s, y_true:d, y_score:d")
+def _a16(spark, d):
+    from pyspark.ml import PipelineModel
+    from barwise.operators import ml as R
+    from barwise.plans.ml_queries import prepared
+    from barwise.sources.cache import load_model, save_model
+    s = prepared(spark, d)
+    m = R.fit_direction(s.filter(F.col("split") == "train"), "logistic", regParam=0.01)
+    path = _results_path(spark, "model")
+    save_model(m, path, {"name": "logistic", "task": "classification", "lookback": 10})
+    loaded, meta = load_model(spark, path, PipelineModel)
+    return R.score(loaded, s.filter(F.col("split") == "test"), meta["name"])
+
+
+@query("a17_read_results", "model:s, f1:d, roc_auc:d",
+       _SUM_SQL.replace("select cls.*, auc.roc_auc, trd.tpr, trd.tnr, trd.mcc from cls",
+                        "select cls.model, cls.f1, auc.roc_auc from cls", 1))
+def _a17(spark, d):
+    from barwise.sources.cache import read_results, write_results
+    path = _results_path(spark, "results")
+    write_results(_nested_results(spark, d), path)
+    back = read_results(spark, path, spark.createDataFrame([], _RESULT_SCHEMA).schema)
+    return back.select("model", F.col("classification.f1").alias("f1"), F.col("metrics")["roc_auc"].alias("roc_auc"))
