@@ -149,3 +149,8 @@ def rn() -> Column:
 def with_cols(df, cols: dict):
     """Add a stage of columns at once (one Project; avoids quadratic withColumn loops)."""
     return df.withColumns(cols) if cols else df
+
+
+def bar_cols(*names: str) -> tuple[Column, ...]:
+    """Column handles for bar fields (built per call: no Spark context needed at import)."""
+    return tuple(F.col(n) for n in names)

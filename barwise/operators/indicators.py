@@ -9,21 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.core import (cum, div, flag, frame, full, lag, nfull, rmax, rmin, rn,
+from barwise.functions.core import (bar_cols, cum, div, flag, frame, full, lag, nfull, rmax, rmin, rn,
                                     rstd, rsum, sma, with_cols)
 
-o, h, l, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
-TP = (h + l + c) / 3
 
 
 def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
     """G01 fast: %K = 100 (c - LL) / (HH - LL) over k bars; %D = SMA_d of %K."""
+    c, = bar_cols('close')
     df = df.withColumn(f"stoch_k_{k}", 100 * div(c - rmin("low", k), rmax("high", k) - rmin("low", k)))
     return df.withColumn(f"stoch_d_{k}", sma(f"stoch_k_{k}", d))
 
 
 def stochastic_slow(df: DataFrame, settings=((14, 3), (21, 5), (5, 3))) -> DataFrame:
     """G01 slow: K = mean of d fast %K, D = mean of d K; cross flag K > D."""
+    c, = bar_cols('close')
     for k, d in settings:
         fast = f"_fk_{k}_{d}"
         df = df.withColumn(fast, 100 * div(c - rmin("low", k), rmax("high", k) - rmin("low", k)))
@@ -36,17 +36,21 @@ def stochastic_slow(df: DataFrame, settings=((14, 3), (21, 5), (5, 3))) -> DataF
 
 def williams_r(df: DataFrame, ws=(14, 21)) -> DataFrame:
     """G02."""
+    c, = bar_cols('close')
     return with_cols(df, {f"williams_r_{w}": -100 * div(rmax("high", w) - c, rmax("high", w) - rmin("low", w))
                           for w in ws})
 
 
 def roc(df: DataFrame, ns=(5, 10, 20)) -> DataFrame:
     """G03."""
+    c, = bar_cols('close')
     return with_cols(df, {f"roc_{n}": 100 * (div(c, lag(c, n)) - 1) for n in ns})
 
 
 def cci(df: DataFrame, w: int = 20) -> DataFrame:
     """(tp - SMA tp) / (0.015 * mean absolute deviation about the window mean)."""
+    h, l, c = bar_cols('high', 'low', 'close')
+    TP = (h + l + c) / 3
     df = df.withColumn("_tp", TP)
     df = with_cols(df, {"_tpm": sma("_tp", w), "_tpl": F.collect_list("_tp").over(frame(w))})
     mad = F.aggregate("_tpl", F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("_tpm"))) / w
@@ -55,6 +59,7 @@ def cci(df: DataFrame, w: int = 20) -> DataFrame:
 
 def bollinger(df: DataFrame, w: int = 20, k: float = 2.0, ddof: int = 0, suffix: str = "") -> DataFrame:
     """Middle, upper, lower, width, position (and squeeze = width / middle)."""
+    c, = bar_cols('close')
     s = suffix
     df = with_cols(df, {f"bb_middle{s}": sma("close", w), "_sd": rstd("close", w, ddof)})
     m, sd = F.col(f"bb_middle{s}"), F.col("_sd")
@@ -70,6 +75,8 @@ def bollinger(df: DataFrame, w: int = 20, k: float = 2.0, ddof: int = 0, suffix:
 
 def keltner(df: DataFrame, w: int = 20) -> DataFrame:
     """Typical-price form of the Keltner channel."""
+    h, l, c = bar_cols('high', 'low', 'close')
+    TP = (h + l + c) / 3
     df = with_cols(df, {"_m": TP, "_u": (4 * h - 2 * l + c) / 3, "_d": (-2 * h + 4 * l + c) / 3})
     return with_cols(df, {"kc_middle": sma("_m", w), "kc_upper": sma("_u", w),
                           "kc_lower": sma("_d", w)}).drop("_m", "_u", "_d")
@@ -83,6 +90,7 @@ def donchian(df: DataFrame, w: int = 20) -> DataFrame:
 
 def aroon(df: DataFrame, w: int = 25) -> DataFrame:
     """100 (w - bars since the latest w+1-bar extreme) / w."""
+    h, l = bar_cols('high', 'low')
     df = df.withColumn("_rn", rn())
     n = w + 1
     hi_at = F.max_by(F.col("_rn"), F.struct(h, F.col("_rn"))).over(frame(n))
@@ -104,23 +112,28 @@ def ichimoku(df: DataFrame, conv: int = 9, base: int = 26, span_b: int = 52) ->
 
 def vwap(df: DataFrame, w: int = 14) -> DataFrame:
     """Rolling volume-weighted typical price."""
+    h, l, c, v = bar_cols('high', 'low', 'close', 'volume')
+    TP = (h + l + c) / 3
     df = df.withColumn("_tpv", TP * v)
     return df.withColumn(f"vwap_{w}", div(rsum("_tpv", w), rsum("volume", w))).drop("_tpv")
 
 
 def obv(df: DataFrame) -> DataFrame:
     """Cumulative signed volume, 0 when unchanged, first bar 0."""
+    c, v = bar_cols('close', 'volume')
     step = F.coalesce(F.signum(c - lag(c)) * v, F.lit(0.0))
     return df.withColumn("_obv", step).withColumn("obv", F.sum("_obv").over(cum())).drop("_obv")
 
 
 def vpt(df: DataFrame) -> DataFrame:
     """Cumulative volume x return, first bar 0."""
+    c, v = bar_cols('close', 'volume')
     step = F.coalesce(v * (div(c, lag(c)) - 1), F.lit(0.0))
     return df.withColumn("_vpt", step).withColumn("vpt", F.sum("_vpt").over(cum())).drop("_vpt")
 
 
 def _mfv():
+    h, l, c, v = bar_cols('high', 'low', 'close', 'volume')
     return F.coalesce(v * div((c - l) - (h - c), h - l), F.lit(0.0))
 
 
@@ -137,6 +150,8 @@ def cmf(df: DataFrame, w: int = 20) -> DataFrame:
 
 def mfi(df: DataFrame, w: int = 14) -> DataFrame:
     """Money flow index; no negative flow -> 100."""
+    h, l, c, v = bar_cols('high', 'low', 'close', 'volume')
+    TP = (h + l + c) / 3
     ptp = lag(TP)
     mf = TP * v
     df = with_cols(df, {"_pos": F.when(ptp.isNotNull(), F.when(TP > ptp, mf).otherwise(0.0)),

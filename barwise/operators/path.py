@@ -6,8 +6,8 @@ halo of the previous block's last bars: each block starts from a reset state at
 halo start, and PSAR forgets its start after a couple of trend flips.  Exactness is
 then *checked*, not assumed: the state a block computes for the last halo bar must
 equal the state the previous block computed for that bar.  Blocks that fail are
-re-run from the exact state of their predecessor, round after round, until all
-boundaries agree (usually none fail).  A hot symbol is therefore many tasks.
+re-run from the exact state of their predecessor (the first failing block of each
+symbol per round), until all boundaries agree (with a 512-bar halo usually none fail).  A hot symbol is therefore many tasks.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def _block_fn(step: float, max_af: float):
 
 
 def psar(bars: DataFrame, step: float = 0.02, max_af: float = 0.2, block: int = 4096, halo: int = 512,
-         max_rounds: int = 20) -> DataFrame:
+         max_rounds: int = 10_000) -> DataFrame:
     """sar, up (sar in an up-trend), down, trend (+1/-1) for every bar."""
     from barwise.session import ensure_checkpoint_dir
     spark = bars.sparkSession
@@ -108,6 +108,10 @@ def psar(bars: DataFrame, step: float = 0.02, max_af: float = 0.2, block: int =
         bad = _boundary_mismatch(out, rows)
         if bad.isEmpty():
             break
+        # only the first failing block of a symbol has an exact predecessor; later blocks
+        # are checked again once it is repaired
+        first = bad.groupBy("symbol").agg(F.min("_blk").alias("_blk"))
+        bad = bad.join(first, ["symbol", "_blk"], "left_semi")
         redo = rows.join(bad, ["symbol", "_blk"])
         fixed = redo.groupBy("symbol", "_blk").applyInPandas(_block_fn(step, max_af), OUT_SCHEMA)
         keep = out.join(bad.select("symbol", "_blk"), ["symbol", "_blk"], "left_anti")

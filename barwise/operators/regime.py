@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.core import div, flag, lag, rstd, sma, with_cols
+from barwise.functions.core import bar_cols, div, flag, lag, rstd, sma, with_cols
 
-c, v = F.col("close"), F.col("volume")
 EPS = 1e-6
 
 
@@ -21,6 +20,7 @@ def _guard(x, eps: float = EPS):
 
 
 def _returns():
+    c, = bar_cols('close')
     return div(c, lag(c)) - 1
 
 
@@ -66,6 +66,7 @@ def jump(df: DataFrame, w: int = 20, k: float = 3.0) -> DataFrame:
 
 def price_volume(df: DataFrame) -> DataFrame:
     """Price x volume; price / (volume + eps) with both eps of the reference."""
+    c, v = bar_cols('close', 'volume')
     return with_cols(df, {"price_volume_interaction": c * v,
                           "price_volume_ratio": c / (v + F.lit(1e-8)),
                           "price_volume_ratio_adv": c / (v + F.lit(1e-6))})
@@ -109,6 +110,7 @@ def joint_signals(df: DataFrame) -> DataFrame:
 
 def volume_return(df: DataFrame, w: int = 20) -> DataFrame:
     """Volume ratio x return, volume x return."""
+    v, = bar_cols('volume')
     df = df.withColumn("_vs", sma("volume", w))
     r = _returns()
     return with_cols(df, {"volume_price_momentum": div(v, F.col("_vs")) * r,

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwise.functions.candles import returns as _returns, true_range_col
-from barwise.functions.core import (c as col_, div, flag, full, lag, rmax, rmedian, rmin,
+from barwise.functions.core import (bar_cols, c as col_, div, flag, full, lag, rmax, rmedian, rmin,
                                     rstd, sma, win, with_cols)
 
-c, h, l, v = (F.col(x) for x in ("close", "high", "low", "volume"))
 
 
 def ensure_returns(df: DataFrame) -> DataFrame:
@@ -28,12 +27,14 @@ def sma_cols(ws=(3, 5, 10, 20, 50, 100, 200), x: str = "close", prefix: str = "s
 
 def volume_sma(df: DataFrame, ws=(5, 10, 20, 50)) -> DataFrame:
     """Volume SMA and volume / SMA."""
+    v, = bar_cols('volume')
     df = with_cols(df, {f"volume_sma_{w}": sma("volume", w) for w in ws})
     return with_cols(df, {f"volume_ratio_{w}": div(v, F.col(f"volume_sma_{w}")) for w in ws})
 
 
 def price_sma_ratios(df: DataFrame, ws=(5, 10, 20, 50)) -> DataFrame:
     """Close / SMA_W and SMA5 / SMA20."""
+    c, = bar_cols('close')
     need = sorted(set(ws) | {5, 20})
     df = with_cols(df, {f"_sma_{w}": sma("close", w) for w in need})
     cols = {f"close_sma_{w}_ratio": div(c, F.col(f"_sma_{w}")) for w in ws}
@@ -107,12 +108,14 @@ def lags(df: DataFrame, feats=LAG_FEATURES, ks=(1, 2, 3, 5, 10)) -> DataFrame:
 
 def momentum(df: DataFrame, ks=(1, 3, 5, 10, 20), smooth: int = 5) -> DataFrame:
     """K-bar momentum and its 5-bar mean."""
+    c, = bar_cols('close')
     df = with_cols(df, {f"momentum_{k}": div(c, lag(c, k)) - 1 for k in ks})
     return with_cols(df, {f"momentum_{k}_sma_{smooth}": sma(f"momentum_{k}", smooth) for k in ks})
 
 
 def support_resistance(df: DataFrame, w: int = 20) -> DataFrame:
     """W-bar max high / min low and the distance of close to them."""
+    c, = bar_cols('close')
     df = with_cols(df, {f"resistance_{w}": rmax("high", w), f"support_{w}": rmin("low", w)})
     return with_cols(df, {f"resistance_distance_{w}": div(F.col(f"resistance_{w}") - c, c),
                           f"support_distance_{w}": div(c - F.col(f"support_{w}"), c)})
@@ -120,6 +123,7 @@ def support_resistance(df: DataFrame, w: int = 20) -> DataFrame:
 
 def range_position(df: DataFrame, ws=(10, 20), floor: float | None = None) -> DataFrame:
     """(close - min low) / (max high - min low); ``floor`` guards the range."""
+    c, = bar_cols('close')
     cols = {}
     for w in ws:
         rng = rmax("high", w) - rmin("low", w)
@@ -137,6 +141,7 @@ def high_low_ratio(df: DataFrame, ws=(5, 10, 20)) -> DataFrame:
 
 def mean_ranges(df: DataFrame, ws=(5, 10, 14, 20)) -> DataFrame:
     """Mean bar range and mean true range over W."""
+    h, l = bar_cols('high', 'low')
     df = with_cols(df, {"_range": h - l, "_tr": true_range_col()})
     df = with_cols(df, {**{f"avg_range_{w}": sma("_range", w) for w in ws},
                         **{f"avg_true_range_{w}": sma("_tr", w) for w in ws}})
@@ -145,6 +150,7 @@ def mean_ranges(df: DataFrame, ws=(5, 10, 14, 20)) -> DataFrame:
 
 def trend_slope(df: DataFrame, w: int = 20) -> DataFrame:
     """|OLS slope of close on 0..W-1| over the last W bars."""
+    c, = bar_cols('close')
     df = df.withColumn("_i", F.row_number().over(win()).cast("double"))
     slope = full(F.regr_slope(c, F.col("_i")), "close", w)
     return df.withColumn(f"trend_strength_{w}", F.abs(slope)).drop("_i")
@@ -152,6 +158,7 @@ def trend_slope(df: DataFrame, w: int = 20) -> DataFrame:
 
 def trend_vs_atr(df: DataFrame, w: int = 20, atr_w: int = 14) -> DataFrame:
     """|close - SMA20| / ATR14 (Wilder ATR from the scan module)."""
+    c, = bar_cols('close')
     from barwise.operators.scan import atr
     df = atr(df, (atr_w,))
     return df.withColumn(f"trend_atr_{w}", div(F.abs(c - sma("close", w)), F.col(f"atr_{atr_w}")))
@@ -159,6 +166,7 @@ def trend_vs_atr(df: DataFrame, w: int = 20, atr_w: int = 14) -> DataFrame:
 
 def price_volume_trend_mean(df: DataFrame, w: int = 5) -> DataFrame:
     """5-bar mean of (close % change x volume % change); undefined changes are 0."""
+    c, v = bar_cols('close', 'volume')
     dc = F.coalesce(div(c, lag(c)) - 1, F.lit(0.0))
     dv = F.coalesce(div(v, lag(v)) - 1, F.lit(0.0))
     df = df.withColumn("_pv", dc * dv)

@@ -11,7 +11,12 @@ from barwise.sources.bars import bars_brand, bars_user, feat_dirty
 
 FEATS = ["f_close", "f_volume", "f_sparse", "f_const", "f_big", "f_ratio"]
 TRAIN_CUT = "2000-01-01"
-TRAIN = F.col("ts") < F.lit(TRAIN_CUT).cast("timestamp_ntz")
+
+
+def _train():
+    return F.col("ts") < F.lit(TRAIN_CUT).cast("timestamp_ntz")
+
+
 TRAIN_SQL = f"ts < timestamp '{TRAIN_CUT}'"
 
 
@@ -56,7 +61,7 @@ def _clip_sql(cols) -> str:
 @query("j04_clip_bounds", "feature:s, lower:d, upper:d, n_low:l, n_high:l", _clip_sql(["f_close", "f_volume"]))
 def _j04(spark, d):
     f = feat_dirty(spark, d)
-    bounds = J.clip_bounds(f, ["f_close", "f_volume"], fit_where=TRAIN)
+    bounds = J.clip_bounds(f, ["f_close", "f_volume"], fit_where=_train())
     return J.clip_counts(f, bounds)
 
 
@@ -72,7 +77,7 @@ def _j04(spark, d):
        "(select hi from b where feature = 'f_volume')) end as f_volume from feat_dirty")
 def _j04b(spark, d):
     f = feat_dirty(spark, d)
-    return J.clip(f, J.clip_bounds(f, ["f_close", "f_volume"], fit_where=TRAIN)).select("symbol", "ts", "f_close", "f_volume")
+    return J.clip(f, J.clip_bounds(f, ["f_close", "f_volume"], fit_where=_train())).select("symbol", "ts", "f_close", "f_volume")
 
 
 _CUMF = "(partition by symbol order by ts rows between unbounded preceding and current row)"
@@ -97,7 +102,7 @@ def _j06(spark, d):
        f"select symbol, ts, coalesce(f_close, (select median(f_close) from feat_dirty where {TRAIN_SQL}), 0) as f_close, "
        f"coalesce(f_sparse, (select median(f_sparse) from feat_dirty where {TRAIN_SQL}), 0) as f_sparse from feat_dirty")
 def _j07(spark, d):
-    return J.median_fill(feat_dirty(spark, d), ["f_close", "f_sparse"], fit_where=TRAIN).select(
+    return J.median_fill(feat_dirty(spark, d), ["f_close", "f_sparse"], fit_where=_train()).select(
         "symbol", "ts", "f_close", "f_sparse")
 
 
@@ -182,35 +187,35 @@ SC = "symbol:s, ts:t, close:d, volume:d"
 @query("k02_minmax", SC, _scaled_sql("minmax", False))
 def _k02(spark, d):
     b = bars_brand(spark, d)
-    p = K.fit_scaler(b, ["close", "volume"], "minmax", fit_where=TRAIN)
+    p = K.fit_scaler(b, ["close", "volume"], "minmax", fit_where=_train())
     return K.apply_scaler(b, p, "minmax").select("symbol", "ts", "close", "volume")
 
 
 @query("k02_minmax_by_symbol", SC, _scaled_sql("minmax", True))
 def _k02b(spark, d):
     b = bars_brand(spark, d)
-    p = K.fit_scaler(b, ["close", "volume"], "minmax", fit_where=TRAIN, by=["symbol"])
+    p = K.fit_scaler(b, ["close", "volume"], "minmax", fit_where=_train(), by=["symbol"])
     return K.apply_scaler(b, p, "minmax", by=["symbol"]).select("symbol", "ts", "close", "volume")
 
 
 @query("k03_standard_by_symbol", SC, _scaled_sql("standard", True))
 def _k03(spark, d):
     b = bars_brand(spark, d)
-    p = K.fit_scaler(b, ["close", "volume"], "standard", fit_where=TRAIN, by=["symbol"])
+    p = K.fit_scaler(b, ["close", "volume"], "standard", fit_where=_train(), by=["symbol"])
     return K.apply_scaler(b, p, "standard", by=["symbol"]).select("symbol", "ts", "close", "volume")
 
 
 @query("k04_robust", SC, _scaled_sql("robust", False))
 def _k04(spark, d):
     b = bars_brand(spark, d)
-    p = K.fit_scaler(b, ["close", "volume"], "robust", fit_where=TRAIN)
+    p = K.fit_scaler(b, ["close", "volume"], "robust", fit_where=_train())
     return K.apply_scaler(b, p, "robust").select("symbol", "ts", "close", "volume")
 
 
 @query("k04_robust_by_symbol", SC, _scaled_sql("robust", True))
 def _k04b(spark, d):
     b = bars_brand(spark, d)
-    p = K.fit_scaler(b, ["close", "volume"], "robust", fit_where=TRAIN, by=["symbol"])
+    p = K.fit_scaler(b, ["close", "volume"], "robust", fit_where=_train(), by=["symbol"])
     return K.apply_scaler(b, p, "robust", by=["symbol"]).select("symbol", "ts", "close", "volume")
 
 
@@ -221,7 +226,7 @@ def _k04b(spark, d):
        f"from (select *, {_LEAD} as t from bars_brand) as _b left join p using (symbol)")
 def _k05(spark, d):
     b = K.targets(bars_brand(spark, d), drop_last=False).select("symbol", "ts", "close", "target_price")
-    p = K.fit_scaler(b, ["close", "target_price"], "standard", fit_where=TRAIN, by=["symbol"])
+    p = K.fit_scaler(b, ["close", "target_price"], "standard", fit_where=_train(), by=["symbol"])
     scaled = K.apply_scaler(b, p, "standard", by=["symbol"])
     back = K.inverse_scaler(scaled, p, "standard", by=["symbol"])
     # the round trip restores the inputs up to float noise: report scaled value and error
