@@ -13,16 +13,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _as_number(df: DataFrame, col: str) -> Column:
+    """Order-preserving numeric view of a column (timestamps as epoch microseconds)."""
+    from pyspark.sql.types import TimestampNTZType, TimestampType
+    t = df.schema[col].dataType
+    if isinstance(t, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return F.col(col).cast("double")
+
+
 def _bucketed(df: DataFrame, group: list[str], order: str, buckets: int) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
+    num = _as_number(df, order)
     # one array of bucket bounds per group: bounded by `buckets`, not by the data
     if not group:                      # a constant key instead of a cartesian product
         df, group = df.withColumn("_g0", F.lit(0)), ["_g0"]
-    bounds = df.groupBy(*group).agg(F.approx_percentile(F.col(order).cast("double"), probs, 10000)
-                                    .alias("_bounds"))
+    bounds = df.groupBy(*group).agg(F.approx_percentile(num, probs, 10000).alias("_bounds"))
     j = df.join(bounds, group, "left")
-    return j.withColumn("_bkt", F.size(F.filter("_bounds", lambda b: b < F.col(order).cast("double")))) \
-            .drop("_bounds")
+    return j.withColumn("_bkt", F.size(F.filter("_bounds", lambda b: b < num))).drop("_bounds")
 
 
 def ordered_cumsum(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column],

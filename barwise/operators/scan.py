@@ -43,6 +43,8 @@ def linear_scan(df: DataFrame, name: str, x: str, q: float, a: float, seed: Colu
     * ``min_j``: null for rows ``j < min_j`` (warm-up)
     """
     parts = list(part_cols())
+    if len(parts) != 1:
+        raise ValueError("the recursive scan needs the whole history of a symbol: run it outside `segmented`")
     w = win()
     K = block_len(q)
     tmp = df.withColumns({"_rn": F.row_number().over(w), "_seed": seed,

@@ -165,6 +165,11 @@ def _pack_sql(feats=E.ROLL_FEATURES, ws=(5, 10, 20)) -> tuple[str, list[str]]:
 _PACK_SQL, _PACK_NAMES = _pack_sql()
 query("e05_rolling_pack", _spec(_PACK_NAMES), _PACK_SQL)(_df(E.rolling_pack))
 
+# the same pack with the skew-safe runner: windows by (symbol, block of 512 bars) + halo
+query("e05_rolling_pack_segmented", _spec(_PACK_NAMES), _PACK_SQL)(_df(
+    lambda b: __import__("barwise.operators.segments", fromlist=["segmented"]).segmented(
+        b, E.rolling_pack, lookback=20, block=512)))
+
 query("e06_rolling_ratios", _spec([n for n in _PACK_NAMES if "ratio_mean" in n or "zscore" in n]),
       _PACK_SQL)(_df(lambda b: E.rolling_pack(b).select(
           "symbol", "ts", *[n for n in _PACK_NAMES if "ratio_mean" in n or "zscore" in n])))
