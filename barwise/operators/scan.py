@@ -42,33 +42,71 @@ def linear_scan(df: DataFrame, name: str, x: str, q: float, a: float, seed: Colu
       gives the weight-normalised EMA ``sum a q^k x / sum a q^k``)
     * ``min_j``: null for rows ``j < min_j`` (warm-up)
     """
+    return linear_scans(df, x, seed, [(name, q, a, seed_weight, normalise, min_j)], seed_value)
+
+
+# |ln q| * block length must stay below this, so q^-jj stays far inside double range
+_MAX_EXP = 600.0
+
+
+def _groups(specs):
+    """Group recurrences that can share one block length."""
+    out, cur = [], []
+    for sp in sorted(specs, key=lambda t: t[1], reverse=True):     # q descending: longest blocks first
+        trial = cur + [sp]
+        k = max(block_len(t[1]) for t in trial)
+        if all(k * -math.log(t[1]) <= _MAX_EXP for t in trial):
+            cur = trial
+        else:
+            out.append(cur)
+            cur = [sp]
+    if cur:
+        out.append(cur)
+    return out
+
+
+def linear_scans(df: DataFrame, x: str, seed: Column, specs, seed_value: Column | None = None) -> DataFrame:
+    """Several recurrences of the same input and seed in one pass.
+
+    ``specs`` = [(name, q, a, seed_weight, normalise, min_j), ...].  Recurrences whose block
+    lengths are compatible share the block windows, so e.g. the fast and slow EMAs of MACD
+    cost one sort and one window pass instead of two.
+    """
     parts = list(part_cols())
     if len(parts) != 1:
         raise ValueError("the recursive scan needs the whole history of a symbol: run it outside `segmented`")
     w = win()
-    K = block_len(q)
     tmp = df.withColumns({"_rn": F.row_number().over(w), "_seed": seed,
                           "_sv": seed_value if seed_value is not None else col_(x)})
     seed_rn = F.min(F.when(F.col("_seed"), F.col("_rn"))).over(Window.partitionBy(*parts))
     tmp = tmp.withColumn("_j", F.col("_rn") - seed_rn)
     j = F.col("_j")
     u = F.when(j == 0, F.col("_sv")).otherwise(col_(x))
-    wt = F.when(j == 0, F.lit(seed_weight)).otherwise(F.lit(a))
-    tmp = tmp.withColumn("_blk", F.floor(j / K)).withColumn("_jj", F.pmod(j, F.lit(K)))
-    jj = F.col("_jj").cast("double")
-    term = F.when(j >= 0, wt * u * F.pow(F.lit(q), -jj))
-    wb = Window.partitionBy(*parts, "_blk").orderBy("_jj").rowsBetween(Window.unboundedPreceding, 0)
-    tmp = tmp.withColumn("_loc", F.pow(F.lit(q), jj) * F.sum(term).over(wb))
-    # value entering the block = last loc of the previous (complete) block; a running
-    # "last non-null" over the symbol's rows, so no self-join and no lineage doubling
-    ends = F.when(F.col("_jj") == K - 1, F.col("_loc"))
     prev = Window.partitionBy(*parts).orderBy("_j").rowsBetween(Window.unboundedPreceding, -1)
-    out = tmp.withColumn("_carry", F.last(ends, ignorenulls=True).over(prev))
-    y = F.col("_loc") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(F.lit(q), jj + 1)
-    if normalise:
-        y = y / (1 - F.pow(F.lit(q), F.col("_j").cast("double") + 1))
-    y = F.when((F.col("_j") >= min_j), y)
-    return out.withColumn(name, y).drop("_rn", "_seed", "_sv", "_j", "_blk", "_jj", "_loc", "_carry")
+    for gi, group in enumerate(_groups(specs)):
+        K = max(block_len(t[1]) for t in group)
+        tmp = tmp.withColumns({"_blk": F.floor(j / K), "_jj": F.pmod(j, F.lit(K))})
+        jj = F.col("_jj").cast("double")
+        wb = Window.partitionBy(*parts, "_blk").orderBy("_jj").rowsBetween(Window.unboundedPreceding, 0)
+        locs = {}
+        for name, q, a, sw, _norm, _mj in group:
+            wt = F.when(j == 0, F.lit(sw)).otherwise(F.lit(a))
+            term = F.when(j >= 0, wt * u * F.pow(F.lit(q), -jj))
+            locs[f"_loc_{name}"] = F.pow(F.lit(q), jj) * F.sum(term).over(wb)
+        tmp = tmp.withColumns(locs)
+        # value entering a block = last loc of the previous (complete) block; a running
+        # "last non-null" over the symbol's rows, so no self-join and no lineage doubling
+        tmp = tmp.withColumns({f"_carry_{name}": F.last(F.when(F.col("_jj") == K - 1, F.col(f"_loc_{name}")),
+                                                        ignorenulls=True).over(prev)
+                               for name, *_ in group})
+        outs = {}
+        for name, q, a, sw, norm, mj in group:
+            y = F.col(f"_loc_{name}") + F.coalesce(F.col(f"_carry_{name}"), F.lit(0.0)) * F.pow(F.lit(q), jj + 1)
+            if norm:
+                y = y / (1 - F.pow(F.lit(q), j.cast("double") + 1))
+            outs[name] = F.when(j >= mj, y)
+        tmp = tmp.withColumns(outs).drop(*[f"_loc_{t[0]}" for t in group], *[f"_carry_{t[0]}" for t in group])
+    return tmp.drop("_rn", "_seed", "_sv", "_j", "_blk", "_jj")
 
 
 def _first_nonnull(x) -> Column:
@@ -94,6 +132,19 @@ def ema(df: DataFrame, x: str, span: int | None = None, name: str | None = None,
                        min_j=(span - 1) if (warmup and span) else 0)
 
 
+def emas(df: DataFrame, x: str, spans, adjust: bool = False, names=None, warmup: bool = True) -> DataFrame:
+    """Several EMAs of one column in one pass (shared seed and block windows)."""
+    names = names or [(f"ema_{s}" if not adjust else f"ema_adj_{s}") for s in spans]
+    specs = []
+    for s_, nm in zip(spans, names):
+        a = 2.0 / (s_ + 1)
+        if adjust:
+            specs.append((nm, 1.0 - a, a, a, True, 0))
+        else:
+            specs.append((nm, 1.0 - a, a, 1.0, False, (s_ - 1) if warmup else 0))
+    return linear_scans(df, x, _first_nonnull(x), specs)
+
+
 def wilder(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
     """Wilder mean: null until the n-th non-null x; there the mean of the first n;
     then ``((n-1)*prev + x)/n``."""
@@ -143,8 +194,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, adjust:
     """line = EMA fast - EMA slow; signal = EMA of the line; histogram; bullish flag."""
     p = prefix or ("macd" if (fast, slow, signal) == (12, 26, 9) and not adjust
                    else f"macd_{fast}_{slow}_{signal}" + ("_adj" if adjust else ""))
-    df = ema(df, "close", fast, "_ef", adjust=adjust)
-    df = ema(df, "close", slow, "_es", adjust=adjust)
+    df = emas(df, "close", [fast, slow], adjust=adjust, names=["_ef", "_es"])
     df = df.withColumn(p, F.col("_ef") - F.col("_es")).drop("_ef", "_es")
     df = ema(df, p, signal, f"{p}_signal", adjust=adjust)
     return with_cols(df, {f"{p}_histogram": F.col(p) - F.col(f"{p}_signal"),
@@ -153,8 +203,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, adjust:
 
 def close_ema_ratio(df: DataFrame, spans=(5, 10, 20, 50)) -> DataFrame:
     """close / weight-normalised EMA."""
-    for s in spans:
-        df = ema(df, "close", s, f"ema_adj_{s}", adjust=True)
+    df = emas(df, "close", list(spans), adjust=True)
     return with_cols(df, {f"close_ema_{s}_ratio": div(F.col("close"), F.col(f"ema_adj_{s}")) for s in spans})
 
 

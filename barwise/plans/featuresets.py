@@ -27,8 +27,7 @@ CORE_TRIM = ["sma_20", "ema_12", "rsi_14", "atr_14", "obv", "adx", "macd_signal"
 def core_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, with_psar: bool = True) -> DataFrame:
     """Trend, momentum, volatility, volume, pattern and trend-strength groups."""
     df = bars.withColumns({**E.sma_cols((5, 10, 20, 50)), **C.returns((1,))})
-    df = S.ema(df, "close", 12)
-    df = S.ema(df, "close", 26)
+    df = S.emas(df, "close", [12, 26])
     df = S.macd(df)
     df = S.rsi(df, 14)
     df = G.stochastic(df)
@@ -83,8 +82,7 @@ def full_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM) -> DataFrame:
 def extended_set(bars: DataFrame) -> DataFrame:
     """The multi-setting set (several RSI, MACD, Bollinger, stochastic settings)."""
     df = bars.withColumns(C.returns((1, 2, 3, 5, 10, 20)))
-    for w in (5, 10, 20, 50, 100, 200):
-        df = S.ema(df, "close", w, f"ema_{w}", adjust=True)
+    df = S.emas(df, "close", [5, 10, 20, 50, 100, 200], adjust=True, names=[f"ema_{w}" for w in (5, 10, 20, 50, 100, 200)])
     df = df.withColumns(E.sma_cols((5, 10, 20, 50, 100, 200)))
     for n in (7, 14, 21, 30):
         df = S.rsi(df, n, method="sma")
@@ -116,8 +114,7 @@ def simple_set(bars: DataFrame) -> DataFrame:
     df = df.withColumnRenamed("returns", "return_1")
     df = E.high_low_ratio(df, (1, 2, 3, 5, 10, 20))
     df = E.range_position(df, (1, 2, 3, 5, 10, 20))
-    for w in (5, 10, 20, 50, 100):
-        df = S.ema(df, "close", w, f"ema_{w}", adjust=True)
+    df = S.emas(df, "close", [5, 10, 20, 50, 100], adjust=True, names=[f"ema_{w}" for w in (5, 10, 20, 50, 100)])
     df = df.withColumns(E.sma_cols((5, 10, 20, 50, 100)))
     df = with_cols(df, {**{f"close_sma_{w}_ratio": div(c, F.col(f"sma_{w}")) for w in (5, 10, 20, 50, 100)},
                         **{f"close_ema_{w}_ratio": div(c, F.col(f"ema_{w}")) for w in (5, 10, 20, 50, 100)},

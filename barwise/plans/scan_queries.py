@@ -27,10 +27,7 @@ _F01 = [12, 26, 50]
 @query("f01_ema", KEY + "".join(f", ema_{w}:d" for w in _F01),
        _join([G.ema(f"ema_{w}", "b", '"close"', w) for w in _F01], [f"ema_{w}" for w in _F01]))
 def _f01(spark, d):
-    df = bars_brand(spark, d)
-    for w in _F01:
-        df = S.ema(df, "close", w)
-    return df
+    return S.emas(bars_brand(spark, d), "close", _F01)
 
 
 # F02 -----------------------------------------------------------------------------
@@ -42,9 +39,7 @@ _F02 = [5, 10, 20, 50, 100, 200]
              + [G.ema("ema_adj_a01", "b", '"close"', None, adjust=True, alpha=0.1)],
              [f"ema_adj_{w}" for w in _F02] + ["ema_adj_a01"]))
 def _f02(spark, d):
-    df = bars_brand(spark, d)
-    for w in _F02:
-        df = S.ema(df, "close", w, adjust=True)
+    df = S.emas(bars_brand(spark, d), "close", _F02, adjust=True)
     return S.ema(df, "close", None, "ema_adj_a01", adjust=True, alpha=0.1)
 
 
