@@ -244,3 +244,68 @@ def garch_vol(df: DataFrame, alpha: float = 0.1) -> DataFrame:
     c = F.col("close")
     df = df.withColumn("returns_squared", F.pow(div(c, lag(c)) - 1, 2))
     return ema(df, "returns_squared", None, "garch_vol", adjust=True, alpha=alpha)
+
+
+# ---------------------------------------------------------------- skew-safe form
+def linear_scans_segmented(df: DataFrame, x: str, specs, nth: int = 1, buckets: int = 64) -> DataFrame:
+    """The blocked scan without any per-symbol window: for a symbol holding a third of the rows.
+
+    Row numbers come from the bucketed global rank; the seed row (the ``nth`` non-null
+    ``x``; inputs have leading nulls only) and, for Wilder means, the seed value (mean of
+    the first ``nth``) are per-symbol aggregates; block sums run over (symbol, block)
+    windows; the carry entering a block is the previous block's last running value,
+    joined on (symbol, block + 1).  The table is checkpointed (reliably, in the shared
+    checkpoint folder) before that self-join so chained scans keep a linear lineage.
+    ``specs`` as in :func:`linear_scans`; with ``nth > 1`` the seed weight applies to the mean.
+    """
+    from barwise.operators.ranking import global_rank
+    from barwise.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    r = global_rank(df, ["symbol"], ["ts"], buckets).drop("n").withColumnRenamed("rank", "_rn")
+    first = r.filter(col_(x).isNotNull()).groupBy("symbol").agg(F.min("_rn").alias("_first"))
+    r = r.join(first, "symbol", "left").withColumn("_srn", F.col("_first") + (nth - 1))
+    if nth > 1:
+        sv = r.filter((F.col("_rn") >= F.col("_first")) & (F.col("_rn") <= F.col("_srn"))) \
+              .groupBy("symbol").agg(F.avg(x).alias("_sv"), F.count(x).alias("_nsv"))
+        r = r.join(sv, "symbol", "left").withColumn("_srn", F.when(F.col("_nsv") == nth, F.col("_srn")))
+    else:
+        r = r.withColumn("_sv", col_(x))
+    r = r.withColumn("_j", F.col("_rn") - F.col("_srn"))
+    j = F.col("_j")
+    u = F.when(j == 0, F.col("_sv")).otherwise(col_(x))
+    for group in _groups(specs):
+        K = max(block_len(t[1]) for t in group)
+        r = r.withColumns({"_blk": F.floor(j / K), "_jj": F.pmod(j, F.lit(K))})
+        jj = F.col("_jj").cast("double")
+        wb = Window.partitionBy("symbol", "_blk").orderBy("_jj").rowsBetween(Window.unboundedPreceding, 0)
+        locs = {}
+        for name, q, a, sw, _norm, _mj in group:
+            wt = F.when(j == 0, F.lit(sw)).otherwise(F.lit(a))
+            locs[f"_loc_{name}"] = F.pow(F.lit(q), jj) * F.sum(F.when(j >= 0, wt * u * F.pow(F.lit(q), -jj))).over(wb)
+        r = r.withColumns(locs).checkpoint()
+        ends = r.filter(F.col("_jj") == K - 1).select(
+            "symbol", (F.col("_blk") + 1).alias("_blk"), *[F.col(f"_loc_{t[0]}").alias(f"_carry_{t[0]}") for t in group])
+        r = r.join(ends, ["symbol", "_blk"], "left")
+        outs = {}
+        for name, q, a, sw, norm, mj in group:
+            y = F.col(f"_loc_{name}") + F.coalesce(F.col(f"_carry_{name}"), F.lit(0.0)) * F.pow(F.lit(q), jj + 1)
+            if norm:
+                y = y / (1 - F.pow(F.lit(q), j.cast("double") + 1))
+            outs[name] = F.when(j >= mj, y)
+        r = r.withColumns(outs).drop(*[f"_loc_{t[0]}" for t in group], *[f"_carry_{t[0]}" for t in group])
+    return r.drop("_rn", "_first", "_srn", "_sv", "_nsv", "_j", "_blk", "_jj")
+
+
+def emas_segmented(df: DataFrame, x: str, spans, adjust: bool = False, names=None) -> DataFrame:
+    """:func:`emas` in the skew-safe form."""
+    names = names or [(f"ema_{s}" if not adjust else f"ema_adj_{s}") for s in spans]
+    specs = []
+    for s_, nm in zip(spans, names):
+        a = 2.0 / (s_ + 1)
+        specs.append((nm, 1.0 - a, a, a, True, 0) if adjust else (nm, 1.0 - a, a, 1.0, False, s_ - 1))
+    return linear_scans_segmented(df, x, specs)
+
+
+def wilder_segmented(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
+    """:func:`wilder` in the skew-safe form."""
+    return linear_scans_segmented(df, x, [(name, (n - 1) / n, 1.0 / n, 1.0, False, 0)], nth=n)

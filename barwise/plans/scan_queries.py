@@ -30,6 +30,13 @@ def _f01(spark, d):
     return S.emas(bars_brand(spark, d), "close", _F01)
 
 
+@query("f01_ema_segmented", KEY + "".join(f", ema_{w}:d" for w in _F01),
+       _join([G.ema(f"ema_{w}", "b", '"close"', w) for w in _F01], [f"ema_{w}" for w in _F01]))
+def _f01s(spark, d):
+    # skew-safe form: global rank + (symbol, block) windows + carry join, no per-symbol window
+    return S.emas_segmented(bars_brand(spark, d), "close", _F01)
+
+
 # F02 -----------------------------------------------------------------------------
 _F02 = [5, 10, 20, 50, 100, 200]
 

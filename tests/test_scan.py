@@ -39,3 +39,23 @@ def test_rsi_bounds(brand):
     df = S.rsi(S.rsi(brand, 14), 14, method="sma")
     r = df.selectExpr("min(rsi_14) lo", "max(rsi_14) hi", "min(rsi_sma_14) lo2", "max(rsi_sma_14) hi2").first()
     assert 0 <= r["lo"] <= r["hi"] <= 100 and 0 <= r["lo2"] <= r["hi2"] <= 100
+
+
+def test_segmented_scan_equals_windowed(brand):
+    from pyspark.sql import functions as F
+    a = S.emas(brand, "close", [3, 12, 50]).select("symbol", "ts", "ema_3", "ema_12", "ema_50")
+    b = S.emas_segmented(brand, "close", [3, 12, 50]).select(
+        "symbol", "ts", *[F.col(f"ema_{s}").alias(f"s_{s}") for s in (3, 12, 50)])
+    j = a.join(b, ["symbol", "ts"])
+    rel = [F.max(F.abs(F.col(f"ema_{s}") - F.col(f"s_{s}")) / F.greatest(F.abs(F.col(f"ema_{s}")), F.lit(1.0)))
+           for s in (3, 12, 50)]
+    nulls = F.sum((F.col("ema_50").isNull() != F.col("s_50").isNull()).cast("int"))
+    r = j.agg(*rel, nulls, F.count(F.lit(1))).first()
+    assert max(r[0], r[1], r[2]) < 1e-12 and r[3] == 0 and r[4] == brand.count()
+    tr = brand.withColumn("tr", F.col("high") - F.col("low"))
+    c = S.wilder(tr, "tr", 5, "w5").select("symbol", "ts", "w5")
+    d = S.wilder_segmented(tr, "tr", 5, "w5").select("symbol", "ts", F.col("w5").alias("v5"))
+    k = c.join(d, ["symbol", "ts"]).agg(
+        F.max(F.abs(F.col("w5") - F.col("v5")) / F.greatest(F.abs(F.col("w5")), F.lit(1.0))),
+        F.sum((F.col("w5").isNull() != F.col("v5").isNull()).cast("int"))).first()
+    assert k[0] < 1e-12 and k[1] == 0
