@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.core import (bar_cols, cum, div, flag, frame, full, lag, nfull, rmax, rmin, rn,
+from barwise.functions.core import (bar_cols, cum, div, flag, frame, lag, nfull, rmax, rmin, rn,
                                     rstd, rsum, sma, with_cols)
 
 
@@ -160,5 +160,3 @@ def mfi(df: DataFrame, w: int = 14) -> DataFrame:
     val = F.when(N == 0, F.when(P.isNotNull(), F.lit(100.0))).otherwise(100 - 100 / (1 + div(P, N)))
     return df.withColumn(f"mfi_{w}", val).drop("_pos", "_neg")
 
-
-_ = full

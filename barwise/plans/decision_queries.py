@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from barwise.operators import decide as P
 from barwise.operators import evaluation as M

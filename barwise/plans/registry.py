@@ -19,6 +19,7 @@ class Query:
     sql: str | None
 
     def spark(self, spark: SparkSession, d: str) -> DataFrame:
+        prepare(spark)
         return S.finalize(self.build(spark, d), self.spec)
 
     def oracle(self) -> str | None:
@@ -30,6 +31,19 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings every query relies on, applied to a session built elsewhere.
+
+    Bar timestamps are zone-naive: bucket, window and epoch arithmetic assume the UTC
+    session zone (a zone with daylight saving would fold an hour twice a year).  The
+    shared checkpoint folder is read from the session (set only when unset).
+    """
+    from barwise.session import ensure_checkpoint_dir
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def query(name: str, spec: str, sql: str | None = None):
     """Decorator: register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
     def deco(fn):

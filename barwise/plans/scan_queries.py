@@ -223,8 +223,6 @@ def _f09(spark, d):
     return S.garch_vol(bars_brand(spark, d))
 
 
-_ = F
-
 
 # ------------------------------------------------------------------ shared CTE builders
 def rsi_ctes(n: int = 14) -> tuple[list[str], str, str]:

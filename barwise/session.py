@@ -20,9 +20,13 @@ def build(master: str | None = None, cpus: int | None = None, app: str = "barwis
     """
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     master = master or f"local[{cpus}]"
+    # local: one shuffle partition per core; on a cluster start high (e.g. 4x the cores)
+    # and let AQE coalesce to ~64 MB partitions from the measured map output
+    parts = shuffle_partitions or (cpus if master.startswith("local") else 4 * cpus)
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+         .config("spark.sql.shuffle.partitions", str(parts))
+         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
