@@ -23,9 +23,12 @@ def matrix(p: DataFrame, models: list[str], col: str = "y_score") -> DataFrame:
 def contributions(p: DataFrame, weights: DataFrame | None = None, col: str = "y_score") -> DataFrame:
     """Each model's weighted share of the ensemble value per row."""
     w = weights if weights is not None else p.select("model").distinct().withColumn("weight", F.lit(1.0))
-    j = p.join(w, "model")
-    tot = F.sum(F.col("weight") * F.col(col)).over(Window.partitionBy(*KEY))
-    return j.select(*KEY, "model", F.try_divide(F.col("weight") * F.col(col), tot).alias("contribution"))
+    j = p.join(w, "model").withColumn("_wp", F.col("weight") * F.col(col))
+    # the models of one key (bounded by the model count) summed in sorted order: the same
+    # total whatever the row order, so shares are reproducible run to run
+    vals = F.array_sort(F.collect_list("_wp").over(Window.partitionBy(*KEY)))
+    tot = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
+    return j.select(*KEY, "model", F.try_divide(F.col("_wp"), tot).alias("contribution"))
 
 
 def simple_average(p: DataFrame, col: str = "y_score") -> DataFrame:

@@ -198,7 +198,8 @@ def _n01(spark, d):
 
 
 @query("n01_contributions", "symbol:s, ts:t, model:s, contribution:d",
-       "select symbol, ts, model, y_score / nullif(sum(y_score) over (partition by symbol, ts), 0) as contribution from preds")
+       "select symbol, ts, model, y_score / nullif(list_reduce(list_sort(list(y_score) over (partition by symbol, ts)), "
+       "lambda a, b: a + b), 0) as contribution from preds")
 def _n01b(spark, d):
     return N.contributions(_preds(spark, d))
 
