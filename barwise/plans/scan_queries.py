@@ -392,3 +392,25 @@ def _flagship_sql() -> str:
 def _flag(spark, d):
     from barwise.plans.flagship import flagship
     return flagship(spark, d)
+
+
+# warm-up-aware range read -------------------------------------------
+def _range_sql() -> str:
+    c2, j2, rsi = rsi_ctes(14)
+    c1, j1, atr = atr_ctes(14)
+    c3, j3, line, _sig = macd_ctes()
+    e12 = G.ema("ema12", "b", '"close"', 12)
+    fr = "(partition by symbol order by rn rows between 19 preceding and current row)"
+    sel = (f"select b.symbol, b.ts, case when count(\"close\") over {fr} = 20 then avg(\"close\") over {fr} end as sma_20, "
+           f"ema12.ema12 as ema_12, {rsi} as rsi_14, {atr} as atr_14, {line} as macd from b {j2} {j1} {j3} "
+           "left join ema12 using (symbol, rn)")
+    return (f"with recursive {BASE},\n" + ",\n".join(c2 + c1 + c3 + [e12]) +
+            f"\nselect * from ({sel}) as _r where ts >= timestamp '2000-01-01' and ts <= timestamp '2000-12-31'")
+
+
+@query("e01_range_read", KEY + ", sma_20:d, ema_12:d, rsi_14:d, atr_14:d, macd:d4", _range_sql())
+def _range(spark, d):
+    import datetime as dt
+    from barwise.plans.feature_registry import features
+    return features(bars_brand(spark, d), ["sma_20", "ema_12", "rsi_14", "atr_14", "macd"],
+                    dt.datetime(2000, 1, 1), dt.datetime(2000, 12, 31))
