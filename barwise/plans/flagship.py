@@ -15,10 +15,15 @@ SPEC = ("symbol:s, ts:t, close:d, sma_5:d, sma_20:d, macd:d4, macd_signal:d4, si
         "n_signals:l, hit_rate:d")
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
+def flagship(spark: SparkSession, d: str, max_rows_per_task: int = 20_000_000) -> DataFrame:
+    from barwise.operators.scan import macd_segmented
+    from barwise.operators.segments import frames, largest_group
     bars = bars_brand(spark, d)
-    f = bars.withColumns({"sma_5": sma("close", 5), "sma_20": sma("close", 20)})
-    f = macd(f)
+    # plan by measured skew: per-symbol windows unless one brand is larger than a task
+    hot = largest_group(bars)[0] > max_rows_per_task
+    f = frames(bars, lambda b: b.withColumns({"sma_5": sma("close", 5), "sma_20": sma("close", 20)}), 19,
+               max_rows_per_task=max_rows_per_task)
+    f = macd_segmented(f) if hot else macd(f)
     f = targets(f, horizon=1, drop_last=False)
     up = (F.col("macd") > F.col("macd_signal")) & (F.col("sma_5") > F.col("sma_20"))
     dn = (F.col("macd") < F.col("macd_signal")) & (F.col("sma_5") < F.col("sma_20"))
