@@ -329,3 +329,46 @@ def emas_auto(df: DataFrame, x: str, spans, adjust: bool = False, names=None,
     if biggest <= max_rows_per_task:
         return emas(df, x, spans, adjust=adjust, names=names)
     return emas_segmented(df, x, spans, adjust=adjust, names=names)
+
+
+def _lagged(df: DataFrame, cols: dict) -> DataFrame:
+    """Columns that need the previous bar, computed with the skew-safe frame runner."""
+    from barwise.operators.segments import segmented
+    return segmented(df, lambda b: b.withColumns({k: v() for k, v in cols.items()}), lookback=1, block=1_000_000)
+
+
+def rsi_segmented(df: DataFrame, n: int = 14, name: str | None = None) -> DataFrame:
+    """:func:`rsi` (Wilder) in the skew-safe form."""
+    name = name or f"rsi_{n}"
+    c = F.col("close")
+    df = _lagged(df, {"_g": lambda: gmax(c - lag(c), F.lit(0.0)), "_b": lambda: gmax(lag(c) - c, F.lit(0.0))})
+    df = wilder_segmented(wilder_segmented(df, "_g", n, "_gm"), "_b", n, "_bm")
+    val = F.when(F.col("_bm") > 0, 100 - 100 / (1 + F.col("_gm") / F.col("_bm"))) \
+           .when(F.col("_gm").isNotNull(), F.lit(100.0))
+    return df.withColumn(name, val).drop("_g", "_b", "_gm", "_bm")
+
+
+def atr_segmented(df: DataFrame, n: int = 14) -> DataFrame:
+    """:func:`atr` in the skew-safe form."""
+    df = _lagged(df, {"_tr": true_range_col})
+    return wilder_segmented(df, "_tr", n, f"atr_{n}").drop("_tr")
+
+
+def adx_segmented(df: DataFrame, n: int = 14) -> DataFrame:
+    """:func:`adx` in the skew-safe form."""
+    h, l = F.col("high"), F.col("low")
+
+    def pdm():
+        up, dn = h - lag(h), lag(l) - l
+        return F.when(up.isNotNull(), F.when((up > dn) & (up > 0), up).otherwise(0.0))
+
+    def mdm():
+        up, dn = h - lag(h), lag(l) - l
+        return F.when(dn.isNotNull(), F.when((dn > up) & (dn > 0), dn).otherwise(0.0))
+    df = _lagged(df, {"_tr": true_range_col, "_pdm": pdm, "_mdm": mdm})
+    df = wilder_segmented(wilder_segmented(wilder_segmented(df, "_tr", n, "_atr"), "_pdm", n, "_ps"), "_mdm", n, "_ms")
+    df = with_cols(df, {"adx_pos": 100 * div("_ps", "_atr"), "adx_neg": 100 * div("_ms", "_atr")})
+    s = F.col("adx_pos") + F.col("adx_neg")
+    df = df.withColumn("_dx", F.when(s == 0, F.lit(0.0)).otherwise(
+        100 * div(F.abs(F.col("adx_pos") - F.col("adx_neg")), s)))
+    return wilder_segmented(df, "_dx", n, "adx").drop("_tr", "_pdm", "_mdm", "_atr", "_ps", "_ms", "_dx")

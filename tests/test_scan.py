@@ -59,3 +59,16 @@ def test_segmented_scan_equals_windowed(brand):
         F.max(F.abs(F.col("w5") - F.col("v5")) / F.greatest(F.abs(F.col("w5")), F.lit(1.0))),
         F.sum((F.col("w5").isNull() != F.col("v5").isNull()).cast("int"))).first()
     assert k[0] < 1e-12 and k[1] == 0
+
+
+def test_segmented_rsi_atr_adx(brand):
+    from pyspark.sql import functions as F
+    cols = ["rsi_14", "atr_14", "adx_pos", "adx_neg", "adx"]
+    a = S.adx(S.atr(S.rsi(brand, 14), (14,)), 14).select("symbol", "ts", *cols)
+    b = S.adx_segmented(S.atr_segmented(S.rsi_segmented(brand, 14), 14), 14).select(
+        "symbol", "ts", *[F.col(c).alias(f"s_{c}") for c in cols])
+    j = a.join(b, ["symbol", "ts"])
+    r = j.agg(*[F.max(F.abs(F.col(c) - F.col(f"s_{c}")) / F.greatest(F.abs(F.col(c)), F.lit(1.0))) for c in cols],
+              *[F.sum((F.col(c).isNull() != F.col(f"s_{c}").isNull()).cast("int")) for c in cols],
+              F.count(F.lit(1))).first()
+    assert all(x < 1e-9 for x in r[:5]) and all(x == 0 for x in r[5:10]) and r[10] == brand.count()

@@ -36,3 +36,14 @@ def test_hot_symbol_path_equals_plain(spark, sf):
         F.max(F.abs(F.col("a.macd") - F.col("b.macd"))).alias("d"),
         F.max(F.abs(F.col("a.hit_rate") - F.col("b.hit_rate"))).alias("h")).first()
     assert j["d"] < 1e-9 and j["h"] < 1e-12
+
+
+def test_cumulative_lines_segmented(brand):
+    from barwise.operators import indicators as G
+    a = G.ad_line(G.vpt(G.obv(brand))).select("symbol", "ts", "obv", "vpt", "ad_line")
+    b = G.volume_lines_segmented(brand).select("symbol", "ts", F.col("obv").alias("o"), F.col("vpt").alias("p"),
+                                               F.col("ad_line").alias("a"))
+    j = a.join(b, ["symbol", "ts"])
+    r = j.agg(F.max(F.abs(F.col("obv") - F.col("o"))), F.max(F.abs(F.col("vpt") - F.col("p"))),
+              F.max(F.abs(F.col("ad_line") - F.col("a"))), F.count(F.lit(1))).first()
+    assert r[0] < 1e-6 and r[1] < 1e-6 and r[2] < 1e-6 and r[3] == brand.count()
