@@ -15,7 +15,7 @@ def _fr(n):
     return f"(partition by symbol order by rn rows between {n - 1} preceding and current row)"
 
 
-def _core_sql() -> str:
+def _core_sql(extra_ctes=(), extra_sel: str = "", extra_joins: str = "", out_cols: str = "*") -> str:
     c2, j2, rsi = rsi_ctes(14)
     c1, j1, atr = atr_ctes(14)
     c4, j4, adx = adx_ctes(14)
@@ -29,11 +29,11 @@ def _core_sql() -> str:
           "as aroon_up from b)")
     sm = f"sm as (select symbol, rn, case when count(\"close\") over {_fr(20)} = 20 then avg(\"close\") over {_fr(20)} end as sma_20 from b)"
     sel = (f"select b.symbol, b.ts, sm.sma_20, ema12.ema12 as ema_12, {rsi} as rsi_14, {atr} as atr_14, ob.obv, {adx} as adx, "
-           f"{sig} as macd_signal, ar.aroon_up from b {j2} {j1} {j4} {j3} left join ema12 using (symbol, rn) "
-           "left join ob using (symbol, rn) left join ar using (symbol, rn) left join sm using (symbol, rn)")
+           f"{sig} as macd_signal, ar.aroon_up{extra_sel} from b {j2} {j1} {j4} {j3} left join ema12 using (symbol, rn) "
+           f"left join ob using (symbol, rn) left join ar using (symbol, rn) left join sm using (symbol, rn){extra_joins}")
     cols = ["sma_20", "ema_12", "rsi_14", "atr_14", "obv", "adx", "macd_signal", "aroon_up"]
-    return (f"with recursive {BASE},\n" + ",\n".join(c2 + c1 + c4 + c3 + [e12, obv, ar, sm]) +
-            f"\nselect * from ({sel}) as _c where " + " and ".join(f"{c} is not null" for c in cols))
+    return (f"with recursive {BASE},\n" + ",\n".join(c2 + c1 + c4 + c3 + [e12, obv, ar, sm, *extra_ctes]) +
+            f"\nselect {out_cols} from ({sel}) as _c where " + " and ".join(f"{c} is not null" for c in cols))
 
 
 @query("i01_core_set", KEY + ", sma_20:d, ema_12:d, rsi_14:d, atr_14:d, obv:d2, adx:d, macd_signal:d4, aroon_up:d",
@@ -42,13 +42,58 @@ def _i01(spark, d):
     return I.core_set(bars_brand(spark, d))
 
 
-@query("i02_full_set", KEY + ", sma_20:d, rsi_14:d, close_mean_20:d, market_state:i, garch_vol:d, trend_strength_20:d")
+def _full_sql() -> str:
+    c = '"close"'
+    lagp = "over (partition by symbol order by rn)"
+
+    def full(agg, x, n):
+        return f"(case when count({x}) over {_fr(n)} = {n} then {agg}({x}) over {_fr(n)} end)"
+    eps = G.lit(1e-6)
+    ml = f"coalesce(case when abs({full('avg', c, 50)}) > {eps} then {full('avg', c, 50)} end, {eps})"
+    extra = [f"r2 as (select symbol, rn, pow({c} / nullif(lag({c}) {lagp}, 0) - 1, 2) as rsq from b)",
+             G.ema("gv", "r2", "rsq", None, adjust=True, alpha=0.1),
+             f"mst as (select symbol, rn, case when {full('avg', c, 10)} > {ml} * 1.02 then 1 "
+             f"when {full('avg', c, 10)} < {ml} * 0.98 then -1 else 0 end as market_state, "
+             f"abs(case when count({c}) over {_fr(20)} = 20 then regr_slope({c}, cast(rn as double)) over {_fr(20)} end) "
+             "as trend_strength_20 from b)"]
+    return _core_sql(extra, ", sm.sma_20 as close_mean_20, mst.market_state, gv.gv as garch_vol, mst.trend_strength_20",
+                     " left join gv using (symbol, rn) left join mst using (symbol, rn)",
+                     "symbol, ts, sma_20, rsi_14, close_mean_20, market_state, garch_vol, trend_strength_20")
+
+
+@query("i02_full_set", KEY + ", sma_20:d, rsi_14:d, close_mean_20:d, market_state:i, garch_vol:d, trend_strength_20:d",
+       _full_sql())
 def _i02(spark, d):
     return I.full_set(bars_brand(spark, d))
 
 
+def _extended_sql() -> str:
+    c = '"close"'
+    lagp = "over (partition by symbol order by rn)"
+
+    def full(agg, x, n):
+        return f"(case when count({x}) over {_fr(n)} = {n} then {agg}({x}) over {_fr(n)} end)"
+    c2, j2, rsi = rsi_ctes(14)
+    c1, j1, atr = atr_ctes(14)
+    c3, j3, line, _sig = macd_ctes()
+    ea = [G.ema("ea50", "b", c, 50, adjust=True), G.ema("ea12", "b", c, 12, adjust=True), G.ema("ea26", "b", c, 26, adjust=True)]
+    dd = f"({c} - lag({c}) {lagp})"
+    x = (f"x as (select symbol, rn, case when {dd} > 0 then {dd} else 0 end as gp, case when {dd} < 0 then -{dd} else 0 end as gn, "
+         f"100 * ({c} - {full('min', 'low', 14)}) / nullif({full('max', 'high', 14)} - {full('min', 'low', 14)}, 0) as fk, "
+         f"{full('avg', c, 20)} as m20, {full('stddev_samp', c, 20)} as sd20, {c} as cl from b)")
+    y = (f"y as (select symbol, rn, case when {full('avg', 'gn', 14)} > 0 then 100 - 100 / (1 + {full('avg', 'gp', 14)} / "
+         f"{full('avg', 'gn', 14)}) when {full('avg', 'gp', 14)} > 0 then 100 end as rsi_sma_14, "
+         f"{full('avg', 'fk', 3)} as stoch_slowk_14_3, "
+         "(cl - (m20 - 2 * sd20)) / nullif((m20 + 2 * sd20) - (m20 - 2 * sd20), 0) as bb_position_20_2 from x)")
+    sel = (f"select b.symbol, b.ts, ea50.ea50 as ema_50, y.rsi_sma_14, ea12.ea12 - ea26.ea26 as macd_12_26_9_adj, "
+           f"y.bb_position_20_2, y.stoch_slowk_14_3, {atr} / nullif(b.{c}, 0) as atr_14_ratio, "
+           f"{G.flag(f'{rsi} > 50 and {line} > 0')} as rsi_macd_signal from b {j2} {j1} {j3} left join y using (symbol, rn) "
+           "left join ea50 using (symbol, rn) left join ea12 using (symbol, rn) left join ea26 using (symbol, rn)")
+    return f"with recursive {BASE},\n" + ",\n".join(c2 + c1 + c3 + ea + [x, y]) + "\n" + sel
+
+
 @query("i03_extended_set", KEY + ", ema_50:d, rsi_sma_14:d, macd_12_26_9_adj:d4, bb_position_20_2:d, stoch_slowk_14_3:d, "
-       "atr_14_ratio:d, rsi_macd_signal:i")
+       "atr_14_ratio:d, rsi_macd_signal:i", _extended_sql())
 def _i03(spark, d):
     return I.extended_set(bars_brand(spark, d))
 
