@@ -86,13 +86,21 @@ def _block_fn(step: float, max_af: float):
 
 
 def psar(bars: DataFrame, step: float = 0.02, max_af: float = 0.2, block: int = 4096, halo: int = 512,
-         max_rounds: int = 10_000) -> DataFrame:
-    """sar, up (sar in an up-trend), down, trend (+1/-1) for every bar."""
+         max_rounds: int = 10_000, skew_safe: bool = False) -> DataFrame:
+    """sar, up (sar in an up-trend), down, trend (+1/-1) for every bar.
+
+    ``skew_safe`` numbers the bars with the bucketed global rank instead of a per-symbol
+    window (everything after that is already per block)."""
     from barwise.session import ensure_checkpoint_dir
     spark = bars.sparkSession
     ensure_checkpoint_dir(spark)
     halo = min(halo, block)
-    base = bars.select("symbol", "ts", "high", "low").withColumn("_rn", F.row_number().over(win()))
+    base = bars.select("symbol", "ts", "high", "low")
+    if skew_safe:
+        from barwise.operators.ranking import global_rank
+        base = global_rank(base, ["symbol"], ["ts"]).drop("n").withColumnRenamed("rank", "_rn")
+    else:
+        base = base.withColumn("_rn", F.row_number().over(win()))
     pos = F.pmod(F.col("_rn") - 1, F.lit(block))
     blk = F.floor((F.col("_rn") - 1) / block)
     copies = F.when(pos >= block - halo, F.array(F.struct(blk.alias("b"), F.lit(0).alias("h")),

@@ -24,22 +24,51 @@ from barwise.operators.ranking import exact_quantiles
 CORE_TRIM = ["sma_20", "ema_12", "rsi_14", "atr_14", "obv", "adx", "macd_signal", "aroon_up"]
 
 
-def core_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, with_psar: bool = True) -> DataFrame:
-    """Trend, momentum, volatility, volume, pattern and trend-strength groups."""
-    df = bars.withColumns({**E.sma_cols((5, 10, 20, 50)), **C.returns((1,))})
-    df = S.emas(df, "close", [12, 26])
-    df = S.macd(df)
-    df = S.rsi(df, 14)
+def core_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, with_psar: bool = True,
+             skew_safe: bool | None = None, max_rows_per_task: int = 20_000_000) -> DataFrame:
+    """Trend, momentum, volatility, volume, pattern and trend-strength groups.
+
+    ``skew_safe=None`` measures the largest symbol and switches to the (symbol, block)
+    forms of every family (frames, scans, cumulative lines, PSAR) when it exceeds a task.
+    """
+    if skew_safe is None:
+        from barwise.operators.segments import largest_group
+        skew_safe = largest_group(bars)[0] > max_rows_per_task
+    df = bars
+    if skew_safe:
+        from barwise.operators.segments import segmented
+        df = S.emas_segmented(df, "close", [12, 26])
+        df = S.macd_segmented(df)
+        df = S.rsi_segmented(df, 14)
+        df = S.atr_segmented(df, 14)
+        df = S.atr_segmented(df, 20)
+        df = S.adx_segmented(df)
+        df = G.volume_lines_segmented(df)
+        df = segmented(df, _core_frames, lookback=51, block=max(65536, 8 * 52))
+    else:
+        df = S.emas(df, "close", [12, 26])
+        df = S.macd(df)
+        df = S.rsi(df, 14)
+        df = S.atr(df, (14, 20))
+        df = S.adx(df)
+        df = G.ad_line(G.vpt(G.obv(df)))
+        df = _core_frames(df)
+    if with_psar:
+        from barwise.operators.path import psar
+        p = psar(bars, skew_safe=skew_safe)
+        df = df.join(p, ["symbol", "ts"], "left")
+    return df.dropna(subset=trim) if trim else df
+
+
+def _core_frames(df: DataFrame) -> DataFrame:
+    """The bounded-frame part of I01 (look-back at most 52 bars)."""
+    df = df.withColumns({**E.sma_cols((5, 10, 20, 50)), **C.returns((1,))})
     df = G.stochastic(df)
     df = G.williams_r(df, (14,))
     df = G.roc(df, (10,))
     df = G.bollinger(df)
-    df = S.atr(df, (14, 20))
     df = G.keltner(df)
     df = G.donchian(df)
-    df = G.obv(df)
-    df = G.vpt(df)
-    df = G.ad_line(df)
     df = G.cmf(df)
     df = G.mfi(df)
     df = G.vwap(df)
@@ -48,19 +77,13 @@ def core_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, with_psar: boo
                          **C.shadows(), **C.true_range()})
     df = E.momentum(df, (1, 3, 5, 10, 20))
     df = E.support_resistance(df)
-    df = S.adx(df)
     df = G.aroon(df)
-    df = G.ichimoku(df)
-    if with_psar:
-        from barwise.operators.path import psar
-        p = psar(bars)
-        df = df.join(p, ["symbol", "ts"], "left")
-    return df.dropna(subset=trim) if trim else df
+    return G.ichimoku(df)
 
 
 def full_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM) -> DataFrame:
     """Core set + calendar + lags + regime + rolling pack + interactions + cleaning."""
-    df = core_set(bars, trim=None, with_psar=False)
+    df = core_set(bars, trim=None, with_psar=False, skew_safe=False)
     df = df.withColumns({**D.parts(), **D.cyclical(), **D.weekday_flags(), **D.month_flags()})
     df = E.lags(df, ("close", "volume", "returns", "rsi_14", "macd", "bb_position"))
     df = E.rolling_pack(df)

@@ -47,3 +47,22 @@ def test_cumulative_lines_segmented(brand):
     r = j.agg(F.max(F.abs(F.col("obv") - F.col("o"))), F.max(F.abs(F.col("vpt") - F.col("p"))),
               F.max(F.abs(F.col("ad_line") - F.col("a"))), F.count(F.lit(1))).first()
     assert r[0] < 1e-6 and r[1] < 1e-6 and r[2] < 1e-6 and r[3] == brand.count()
+
+
+def test_core_set_skew_safe_equals_plain(brand):
+    from barwise.plans.featuresets import core_set
+    a = core_set(brand, skew_safe=False)
+    b = core_set(brand, skew_safe=True)
+    cols = sorted(a.columns)
+    assert sorted(b.columns) == cols
+    num = [c for c, t in a.dtypes if t == "double" and c not in ("symbol", "ts")]
+    j = a.select("symbol", "ts", *num).alias("a").join(
+        b.select("symbol", "ts", *[F.col(c).alias(f"s_{c}") for c in num]).alias("b"), ["symbol", "ts"])
+    diffs = j.agg(*[F.max(F.abs(F.col(c) - F.col(f"s_{c}")) / F.greatest(F.abs(F.col(c)), F.lit(1.0))).alias(c)
+                    for c in num],
+                  *[F.sum((F.col(c).isNull() != F.col(f"s_{c}").isNull()).cast("int")).alias(f"n_{c}") for c in num],
+                  F.count(F.lit(1)).alias("rows")).first().asDict()
+    assert diffs["rows"] == a.count() == b.count()
+    bad = {c: diffs[c] for c in num if diffs[c] is not None and diffs[c] > 1e-9}
+    bad.update({c: diffs[f"n_{c}"] for c in num if diffs[f"n_{c}"]})
+    assert not bad, bad
