@@ -61,6 +61,13 @@ def _full_sql() -> str:
                      "symbol, ts, sma_20, rsi_14, close_mean_20, market_state, garch_vol, trend_strength_20")
 
 
+@query("i01_core_set_skew_safe", KEY + ", sma_20:d, ema_12:d, rsi_14:d, atr_14:d, obv:d2, adx:d, macd_signal:d4, aroon_up:d",
+       _core_sql())
+def _i01s(spark, d):
+    # the hot-symbol plan forced on: global ranks, (symbol, block) windows, carry joins
+    return I.core_set(bars_brand(spark, d), skew_safe=True)
+
+
 @query("i02_full_set", KEY + ", sma_20:d, rsi_14:d, close_mean_20:d, market_state:i, garch_vol:d, trend_strength_20:d",
        _full_sql())
 def _i02(spark, d):
