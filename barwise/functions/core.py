@@ -56,11 +56,6 @@ def cum():
     return win().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def whole():
-    """Frame over the symbol's whole history."""
-    return Window.partitionBy(*part_cols())
-
-
 def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -136,12 +131,6 @@ def rmedian(x, n: int) -> Column:
     return full(F.percentile(c(x), F.lit(0.5)), x, n)
 
 
-def rskew(x, n: int) -> Column:
-    """Bias-adjusted rolling skewness (pandas ``rolling().skew()``)."""
-    g1 = full(F.skewness(c(x)), x, n)
-    return g1 * F.lit((n * (n - 1)) ** 0.5 / (n - 2))
-
-
 def rn() -> Column:
     return F.row_number().over(win())
 

@@ -46,12 +46,6 @@ def flatten_dim(nested: DataFrame, map_col: str = "members") -> DataFrame:
     return nested.select("category", F.explode(F.col(map_col)).alias("symbol", "name"))
 
 
-def nest_dim(dim: DataFrame) -> DataFrame:
-    """Inverse of B02: one row per category with a symbol -> name map."""
-    return dim.groupBy("category").agg(
-        F.map_from_entries(F.collect_list(F.struct("symbol", "name"))).alias("members"))
-
-
 def search(dim: DataFrame, q: str) -> DataFrame:
     """Case-insensitive substring of symbol or name."""
     ql = q.lower()
