@@ -75,14 +75,17 @@ def mutual_info(df: DataFrame, feats: list[str], target: str, bins: int = 10, ke
     """Mutual information of binned features (10 equal-count bins, ties by key)
     with the class target, or with the binned target (natural log)."""
     key = list(key)
-    long = df.select(*key, F.col(target).alias("_y"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])).alias("kv")) \
+    items = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats]
+    if bin_target:
+        # the target is binned in the same pass, as one more "feature" (a data-driven group
+        # key, so the bucket-bound join stays an equi-join)
+        items.append(F.struct(F.lit("_target").alias("feature"), F.col(target).cast("double").alias("value")))
+    long = df.select(*key, F.col(target).alias("_y"), F.explode(F.array(*items)).alias("kv")) \
         .select(*key, "_y", "kv.*")
     long = _ntile_bins(long, "value", key, bins)
     if bin_target:
-        yb = _ntile_bins(df.select(*key, F.col(target).cast("double").alias("value")).withColumn("feature", F.lit("_t")),
-                         "value", key, bins).select(*key, F.col("bin").alias("_yb"))
-        long = long.join(yb, key).drop("_y").withColumnRenamed("_yb", "_y")
+        yb = long.filter(F.col("feature") == "_target").select(*key, F.col("bin").alias("_yb"))
+        long = long.filter(F.col("feature") != "_target").join(yb, key).drop("_y").withColumnRenamed("_yb", "_y")
     joint = long.groupBy("feature", "bin", "_y").agg(F.count(F.lit(1)).alias("nxy"))
     w = Window.partitionBy("feature")
     joint = joint.withColumns({"n": F.sum("nxy").over(w),

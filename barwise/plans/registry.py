@@ -38,10 +38,11 @@ def prepare(spark: SparkSession) -> None:
     session zone (a zone with daylight saving would fold an hour twice a year).  The
     shared checkpoint folder is read from the session (set only when unset).
     """
-    from barwise.session import ensure_checkpoint_dir
+    from barwise.session import ensure_checkpoint_dir, ship_package
     if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def query(name: str, spec: str, sql: str | None = None):

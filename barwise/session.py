@@ -37,6 +37,7 @@ def build(master: str | None = None, cpus: int | None = None, app: str = "barwis
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -65,3 +66,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``barwise`` importable in the Python workers (grouped maps, keyed state and
+    UDFs reference its functions): zip the package once per application and add it with
+    ``addPyFile``, the programmatic ``--py-files``; Spark distributes it to executors."""
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:  # pragma: no cover - Connect sessions ship code with addArtifacts
+        return
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import barwise
+    root = os.path.dirname(os.path.abspath(barwise.__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="barwise-pkg-"), "barwise.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    from barwise.session import ensure_checkpoint_dir
+    from barwise.session import ensure_checkpoint_dir, ship_package
     s = (SparkSession.builder.master("local[*]").appName("barwise-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.session.timeZone", "UTC")
@@ -21,6 +21,7 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
 
 
