@@ -372,3 +372,10 @@ def adx_segmented(df: DataFrame, n: int = 14) -> DataFrame:
     df = df.withColumn("_dx", F.when(s == 0, F.lit(0.0)).otherwise(
         100 * div(F.abs(F.col("adx_pos") - F.col("adx_neg")), s)))
     return wilder_segmented(df, "_dx", n, "adx").drop("_tr", "_pdm", "_mdm", "_atr", "_ps", "_ms", "_dx")
+
+
+def garch_vol_segmented(df: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """:func:`garch_vol` in the skew-safe form."""
+    c = F.col("close")
+    df = _lagged(df, {"returns_squared": lambda: F.pow(div(c, lag(c)) - 1, 2)})
+    return linear_scans_segmented(df, "returns_squared", [("garch_vol", 1.0 - alpha, alpha, alpha, True, 0)])

@@ -81,10 +81,31 @@ def _core_frames(df: DataFrame) -> DataFrame:
     return G.ichimoku(df)
 
 
-def full_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM) -> DataFrame:
-    """Core set + calendar + lags + regime + rolling pack + interactions + cleaning."""
-    df = core_set(bars, trim=None, with_psar=False, skew_safe=False)
+def full_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, skew_safe: bool | None = None,
+             max_rows_per_task: int = 20_000_000) -> DataFrame:
+    """Core set + calendar + lags + regime + rolling pack + interactions + cleaning.
+
+    ``skew_safe=None`` measures the largest symbol, as in :func:`core_set`."""
+    if skew_safe is None:
+        from barwise.operators.segments import largest_group
+        skew_safe = largest_group(bars)[0] > max_rows_per_task
+    df = core_set(bars, trim=None, with_psar=False, skew_safe=skew_safe)
     df = df.withColumns({**D.parts(), **D.cyclical(), **D.weekday_flags(), **D.month_flags()})
+    if skew_safe:
+        from barwise.operators.segments import segmented
+        df = S.garch_vol_segmented(df)
+        # the deepest frame: 50-bar mean of a 20-bar std of returns (70 bars back)
+        df = segmented(df, _full_frames, lookback=70, block=max(65536, 8 * 71))
+    else:
+        df = S.garch_vol(df)
+        df = _full_frames(df)
+    num = J.numeric_cols(df)
+    df = J.inf_to_null(df, num)
+    return df.dropna(subset=trim) if trim else df
+
+
+def _full_frames(df: DataFrame) -> DataFrame:
+    """The bounded-frame part of I02 (look-back at most 70 bars)."""
     df = E.lags(df, ("close", "volume", "returns", "rsi_14", "macd", "bb_position"))
     df = E.rolling_pack(df)
     df = H.price_volume(df)
@@ -93,13 +114,9 @@ def full_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM) -> DataFrame:
     df = H.market_state(df)
     df = H.vol_regime(df)
     df = H.realized_vol(df)
-    df = S.garch_vol(df)
     df = H.vol_cluster(df)
     df = H.jump(df)
-    df = E.trend_slope(df)
-    num = J.numeric_cols(df)
-    df = J.inf_to_null(df, num)
-    return df.dropna(subset=trim) if trim else df
+    return E.trend_slope(df)
 
 
 def extended_set(bars: DataFrame) -> DataFrame:

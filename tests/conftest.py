@@ -15,6 +15,7 @@ def spark():
     from barwise.session import ensure_checkpoint_dir, ship_package
     s = (SparkSession.builder.master("local[*]").appName("barwise-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "8g")      # the composite plans are large to analyse
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")

@@ -66,3 +66,23 @@ def test_core_set_skew_safe_equals_plain(brand):
     bad = {c: diffs[c] for c in num if diffs[c] is not None and diffs[c] > 1e-9}
     bad.update({c: diffs[f"n_{c}"] for c in num if diffs[f"n_{c}"]})
     assert not bad, bad
+
+
+def test_full_set_skew_safe_equals_plain(brand):
+    # sampled columns from every stage (scans, frames over frames, guarded regimes)
+    from barwise.plans.featuresets import full_set
+    a = full_set(brand, skew_safe=False)
+    b = full_set(brand, skew_safe=True)
+    assert sorted(a.columns) == sorted(b.columns)
+    cols = ["garch_vol", "market_state", "vol_regime", "close_mean_20", "trend_strength_20", "vol_of_vol_20",
+            "jump_indicator", "volatility_momentum", "rsi_14_lag_5", "macd"]
+    j = a.select("symbol", "ts", *cols).join(
+        b.select("symbol", "ts", *[F.col(c).alias(f"s_{c}") for c in cols]), ["symbol", "ts"])
+    d = j.agg(*[F.max(F.abs(F.col(c) - F.col(f"s_{c}")) / F.greatest(F.abs(F.col(c)), F.lit(1.0))).alias(c)
+                for c in cols],
+              *[F.sum((F.col(c).isNull() != F.col(f"s_{c}").isNull()).cast("int")).alias(f"n_{c}") for c in cols],
+              F.count(F.lit(1)).alias("rows")).first().asDict()
+    assert d["rows"] == a.count() == b.count()
+    bad = {c: d[c] for c in cols if d[c] is not None and d[c] > 1e-9}
+    bad.update({c: d[f"n_{c}"] for c in cols if d[f"n_{c}"]})
+    assert not bad, bad
