@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,20 @@ def text_groups(batches: Iterable[pa.RecordBatch], column: str = "text",
             yield batch.slice(start), texts[start:]
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text",
+                limit: int = 2 * GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """As ``text_groups``, with the texts as an Arrow string array (nulls filled)."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+            yield batch.slice(start, stop - start), texts.slice(start, stop - start)
+            start = stop
+
+
 def row_key(*cols: str):
     """Deterministic 64-bit key of a row's columns (equal rows have equal keys)."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in cols])

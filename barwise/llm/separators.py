@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwise.llm.common import prepare, table, text_groups, tokenizer_bytes, written
+from barwise.llm.common import prepare, table, text_slices, tokenizer_bytes, written
 
 BLOCK_IDS = 1 << 18
 #: blocks summed up together before the scan over a whole file
@@ -31,7 +31,6 @@ def write_flat(spark: SparkSession, docs: DataFrame, tokenizer_json: bytes, end_
     table gives no files.
     """
     shipped = spark.sparkContext.broadcast(tokenizer_json)
-    end = np.array([end_id], "<u2").tobytes()
     schema = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()),
                         ("doc_ids", pa.list_(pa.int64()))])
 
@@ -40,9 +39,12 @@ def write_flat(spark: SparkSession, docs: DataFrame, tokenizer_json: bytes, end_
         enc = encoder(shipped.value, specials_as_text=True)
         file, block, size = TaskContext.get().partitionId(), 0, 2 * BLOCK_IDS
         rest, ended = bytearray(), []
-        for rows, texts in text_groups(batches):
-            for doc, buf in zip(rows.column("doc_id").to_pylist(), enc.encode(texts)):
-                rest += np.frombuffer(buf, "<u4").astype("<u2").tobytes() + end
+        for rows, texts in text_slices(batches):
+            ids, n = enc.encode(texts)
+            ids = np.insert(ids.astype("<u2"), np.cumsum(n), np.uint16(end_id))
+            ends = np.cumsum(n + 1).tolist()
+            for doc, a, b in zip(rows.column("doc_id").to_pylist(), [0, *ends], ends):
+                rest += ids[a:b].tobytes()
                 cut = 0
                 while len(rest) - cut > size:
                     yield pa.RecordBatch.from_pylist([{"file": file, "block": block, "doc_ids": ended,
