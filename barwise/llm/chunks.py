@@ -43,7 +43,7 @@ def lower_cases(config: dict) -> bool:
 TAIL = b".,!?;:|*$%&#"
 
 
-def _plain_end(stem: bytes) -> bool:
+def plain_end(stem: bytes) -> bool:
     """Does the stem end with an ASCII digit or a Latin letter?"""
     if not stem:
         return False
@@ -64,7 +64,7 @@ class ChunkEncoder:
     many at a time, as one text, and its ids are cut after each end-of-word token.
     """
 
-    def __init__(self, tokenizer_json: bytes, specials_as_text: bool = False, memo: int = 800_000):
+    def __init__(self, tokenizer_json: bytes, specials_as_text: bool = False, memo: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -106,7 +106,7 @@ class ChunkEncoder:
         for c in chunks:
             stem = c.rstrip(TAIL)
             n = len(stem)
-            if n != len(c) and _plain_end(stem):
+            if n != len(c) and plain_end(stem):
                 apart.append((c, stem, c[n:]))
             else:
                 whole.append(c)

@@ -119,6 +119,6 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     blocks, manifest = write_flat(spark, table(spark, sf_dir, "documents"),
                                   tokenizer_bytes(public_tokenizers.path("word_bpe_49k.json")), end_id=49407)
-    counted = stitch(find_separators(blocks, 49407))
+    counted = stitch(written(spark, find_separators(blocks, 49407), "separators"))
     names = manifest.select("file", "block", F.posexplode("doc_ids").alias("nth", "doc_id"))
     return names.join(counted, ["file", "block", "nth"], "left").select("doc_id", "n_tokens")
