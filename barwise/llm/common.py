@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -35,6 +36,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def literal_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A small table of given values, as a literal of the plan (no Python on executors)."""
+    fields = [f.split() for f in schema.split(", ")]
+    data = json.dumps([dict(zip((n for n, _ in fields), r)) for r in rows])
+    kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">>"
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(data), kind)))
+
+
 def text_groups(batches: Iterable[pa.RecordBatch], column: str = "text",
                 limit: int = GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the Arrow batches with at most ``limit`` bytes of text each (one row at

@@ -19,7 +19,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import prepare, table, written
+from barwise.llm.common import literal_rows, prepare, table, written
 
 # Public notices and first lines of the licences, by family.
 TEMPLATES = [
@@ -131,13 +131,13 @@ def train(spark: SparkSession, docs: DataFrame, templates=tuple(TEMPLATES), nega
     pattern = anchor_pattern(anchors)
     families = [UNKNOWN, *sorted({f for f, _ in templates})]
 
-    base = spark.createDataFrame([(f, t, i) for i, (f, t) in enumerate(templates)], "family string, text string, no int")
+    base = literal_rows(spark, [(f, t, i) for i, (f, t) in enumerate(templates)], "family string, text string, no int")
     copies = base.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
     kept = F.filter(words(F.col("text")), lambda w, i: (F.col("copy") == 0) | (F.pmod(F.xxhash64(
         F.lit(seed), F.col("no"), F.col("copy"), i), F.lit(10)) > 0))
     good = copies.select("family", kept.alias("ws"))
     plain = sample.filter(~F.lower("paragraph").rlike(pattern)).select(F.lit(UNKNOWN).alias("family"), words(F.col("paragraph")).alias("ws"))
-    other = spark.createDataFrame([(t,) for t in OTHERS], "text string").withColumn(
+    other = literal_rows(spark, [(t,) for t in OTHERS], "text string").withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS * 4 - 1)))).select(
         F.lit(UNKNOWN).alias("family"), F.filter(words(F.col("text")), lambda w, i: F.pmod(F.xxhash64(
             F.lit(seed), F.col("text"), F.col("copy"), i), F.lit(6)) > 0).alias("ws"))
@@ -157,8 +157,8 @@ def train(spark: SparkSession, docs: DataFrame, templates=tuple(TEMPLATES), nega
     vectors = counter.transform(rows)
     fitted = lr.fit(vectors.filter(~held))
     matrix, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray().tolist()
-    weights = spark.createDataFrame(
-        [(g, [float(v) for v in matrix[:, k]]) for k, g in enumerate(vocabulary) if abs(matrix[:, k]).max() > 0],
+    weights = literal_rows(
+        spark, [(g, [float(v) for v in matrix[:, k]]) for k, g in enumerate(vocabulary) if abs(matrix[:, k]).max() > 0],
         "gram string, w array<double>")
     model = Model(families, weights, intercepts, 1.0, 0.0, pattern)
     # calibration: margin of the best family over unknown -> probability of being a licence
@@ -199,7 +199,7 @@ def scan(spark: SparkSession, docs: DataFrame, model: Model, templates=tuple(TEM
     found = _margins(asked, model, ["h", "n", "at"]).withColumn(
         "probability", 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.shift)))).filter("probability >= 0.5")
     found = found.select("h", "n", "at", F.get(names, F.col("family")).alias("family"), "probability")
-    known = spark.createDataFrame(list(templates), "family string, template string").select(
+    known = literal_rows(spark, templates, "family string, template string").select(
         "family", F.filter(grams(words(F.col("template"))), lambda g: F.contains(g, F.lit(" "))).alias("shape"))
     like = F.size(F.array_intersect("grams", "shape")) / F.size("shape")
     judged = found.join(asked, ["h", "n", "at"]).join(F.broadcast(known), "family")

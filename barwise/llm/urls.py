@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import prepare, table, written
+from barwise.llm.common import literal_rows, prepare, table, written
 
 #: Rules of the contract: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
@@ -137,7 +137,7 @@ def listed_pages(pages: DataFrame, words=tuple(LISTED_WORDS)) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     pages = table(spark, sf_dir, "pages")
-    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    rules = literal_rows(spark, RULES, "verdict string, host string, path string")
     found = filter_pages(spark, pages.select("page_id", "url"), rules, listed_pages(pages))
     return found.select(F.col("page_id").cast("long").alias("page_id"), F.col("_host").alias("host"),
                         F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
