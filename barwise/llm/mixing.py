@@ -19,6 +19,7 @@ LEVELS = 5
 HASH_BITS = LEVEL_BITS * LEVELS
 #: A source is repeated this often at most.
 MOST = 3
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -111,7 +112,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(1, 2, 3), most: int = MOS
     A null text has size 0; null sources are one source; rows of size 0 are taken like any
     other under the threshold; rows of equal doc_id and text are decided alike.
     Only (source, size, hash) is shuffled; the documents themselves are read twice and stay
-    where they are.
+    where they are (but for more than ``BROADCAST_SOURCES`` sources).
     """
     slim = written(spark, docs.select(F.col("source").cast("string").alias("source"),
                                       word_count(F.col("text")).alias("size"), row_hash().alias("hash")), "sizes")
@@ -121,6 +122,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(1, 2, 3), most: int = MOS
     plan = wanted.join(cut.withColumnRenamed("source", "_c"), F.col("source").eqNullSafe(F.col("_c"))).select(
         F.col("source").alias("_source"), F.col("size").alias("_source_size"), F.col("target").alias("_target"),
         "whole", "below")
+    # a row a source: sent to every task while that is small (counted), else both sides meet
+    plan = F.broadcast(plan) if wanted.count() <= BROADCAST_SOURCES else plan
     out = docs.withColumns({"_size": word_count(F.col("text")), "_hash": row_hash()}).join(
         plan, F.col("source").cast("string").eqNullSafe(F.col("_source")))
     times = F.least(F.col("whole") + (F.col("_hash") < F.col("below")).cast("long"), F.lit(most))
