@@ -64,7 +64,7 @@ class ChunkEncoder:
     many at a time, as one text, and its ids are cut after each end-of-word token.
     """
 
-    def __init__(self, tokenizer_json: bytes, specials_as_text: bool = False, memo: int = 400_000):
+    def __init__(self, tokenizer_json: bytes, specials_as_text: bool = False, memo: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -211,7 +211,7 @@ class Codec:
     ``memo`` bounds the remembered chunks; a full memo is emptied.
     """
 
-    def __init__(self, tokenizer_json: bytes, lexicon: Lexicon | None, memo: int = 400_000):
+    def __init__(self, tokenizer_json: bytes, lexicon: Lexicon | None, memo: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
