@@ -69,10 +69,10 @@ def direction(p: DataFrame, t: float = 0.5) -> DataFrame:
                           "confidence": F.greatest(F.col("y_score"), 1 - F.col("y_score")) * 100})
 
 
-def class_decision(p: DataFrame, t: float = 0.5) -> DataFrame:
+def class_decision(p: DataFrame, t: float = 0.5, require_agreement: bool = False) -> DataFrame:
     """P05-P07, P09-P10 for classification: per row key over the models.
 
-    agreement gate (HOLD when models disagree), ensemble mean, agreement share,
+    agreement gate (an option, off by default: HOLD when models disagree), ensemble mean, agreement share,
     probability spread (population std), signal strength, risk level, recommendation,
     position size and stop loss.
     """
@@ -99,7 +99,9 @@ def class_decision(p: DataFrame, t: float = 0.5) -> DataFrame:
     conf = F.col("confidence")
     single = (F.when(conf > 80, F.when(upd, "STRONG BUY").otherwise("STRONG SELL"))
               .when(conf > 60, F.when(upd, "MODERATE BUY").otherwise("MODERATE SELL")).otherwise("HOLD"))
-    rec = F.when(F.col("disagree") == 1, "HOLD").when(n > 1, multi).otherwise(single)
+    rec = F.when(n > 1, multi).otherwise(single)
+    if require_agreement:
+        rec = F.when(F.col("disagree") == 1, "HOLD").otherwise(rec)
     a = a.withColumn("recommendation", rec)
     a = a.withColumn("position_size", F.when(conf > 80, "large").when(conf > 60, "medium").otherwise("small"))
     return a.withColumn("stop_loss", stop_loss(F.col("recommendation"), F.col("price_now")))

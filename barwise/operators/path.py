@@ -86,7 +86,7 @@ def _block_fn(step: float, max_af: float):
 
 
 def psar(bars: DataFrame, step: float = 0.02, max_af: float = 0.2, block: int = 4096, halo: int = 512,
-         max_rounds: int = 10_000, skew_safe: bool = False) -> DataFrame:
+         skew_safe: bool = False) -> DataFrame:
     """sar, up (sar in an up-trend), down, trend (+1/-1) for every bar.
 
     ``skew_safe`` numbers the bars with the bucketed global rank instead of a per-symbol
@@ -112,7 +112,8 @@ def psar(bars: DataFrame, step: float = 0.02, max_af: float = 0.2, block: int =
     real = rows.filter(F.col("_halo") == 0).select("symbol", "_blk").distinct()
     rows = rows.join(real, ["symbol", "_blk"], "left_semi")
     out = rows.groupBy("symbol", "_blk").applyInPandas(_block_fn(step, max_af), OUT_SCHEMA).checkpoint()
-    for _ in range(max_rounds):
+    # every round makes the first failing block of each symbol exact, so this ends
+    while True:
         bad = _boundary_mismatch(out, rows)
         if bad.isEmpty():
             break

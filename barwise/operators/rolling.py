@@ -79,9 +79,9 @@ def rolling_ratio_cols(feats=ROLL_FEATURES, ws=(5, 10, 20)) -> dict:
     return out
 
 
-def rolling_skew(df: DataFrame, ws=(5, 10, 20), x: str = "returns") -> DataFrame:
-    """Bias-adjusted skewness (null when the frame is constant)."""
-    df = ensure_returns(df)
+def rolling_skew(df: DataFrame, ws=(5, 10, 20), x: str = "close") -> DataFrame:
+    """Bias-adjusted skewness of a column (null when the frame is constant)."""
+    df = ensure_returns(df) if x == "returns" else df
     cols = {}
     for w in ws:
         g1 = full(F.skewness(col_(x)), x, w)

@@ -149,7 +149,7 @@ def wilder(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
     """Wilder mean: null until the n-th non-null x; there the mean of the first n;
     then ``((n-1)*prev + x)/n``."""
     seed = _nth_nonnull(x, n)
-    seed_val = F.avg(col_(x)).over(win().rowsBetween(-(n - 1), 0))
+    seed_val = F.avg(col_(x)).over(win().rowsBetween(Window.unboundedPreceding, 0))
     return linear_scan(df, name, x, (n - 1) / n, 1.0 / n, seed, seed_value=seed_val)
 
 
@@ -251,7 +251,7 @@ def linear_scans_segmented(df: DataFrame, x: str, specs, nth: int = 1, buckets:
     """The blocked scan without any per-symbol window: for a symbol holding a third of the rows.
 
     Row numbers come from the bucketed global rank; the seed row (the ``nth`` non-null
-    ``x``; inputs have leading nulls only) and, for Wilder means, the seed value (mean of
+    ``x``, nulls may lie before and between) and, for Wilder means, the seed value (mean of
     the first ``nth``) are per-symbol aggregates; block sums run over (symbol, block)
     windows; the carry entering a block is the previous block's last running value,
     joined on (symbol, block + 1).  The table is checkpointed (reliably, in the shared
@@ -265,9 +265,15 @@ def linear_scans_segmented(df: DataFrame, x: str, specs, nth: int = 1, buckets:
     first = r.filter(col_(x).isNotNull()).groupBy("symbol").agg(F.min("_rn").alias("_first"))
     r = r.join(first, "symbol", "left").withColumn("_srn", F.col("_first") + (nth - 1))
     if nth > 1:
-        sv = r.filter((F.col("_rn") >= F.col("_first")) & (F.col("_rn") <= F.col("_srn"))) \
-              .groupBy("symbol").agg(F.avg(x).alias("_sv"), F.count(x).alias("_nsv"))
-        r = r.join(sv, "symbol", "left").withColumn("_srn", F.when(F.col("_nsv") == nth, F.col("_srn")))
+        # the first nth non-null inputs, wherever nulls lie between them; the limit on the row
+        # number keeps nth rows of a symbol in each task before the shuffle
+        upto = Window.partitionBy("symbol").orderBy("_rn")
+        known = (r.filter(col_(x).isNotNull()).select("symbol", "_rn", col_(x).alias("_x"))
+                 .withColumn("_k", F.row_number().over(upto)).filter(F.col("_k") <= nth))
+        sv = known.groupBy("symbol").agg(F.avg("_x").alias("_sv"), F.count(F.lit(1)).alias("_nsv"),
+                                         F.max("_rn").alias("_nth"))
+        r = r.drop("_srn").join(sv, "symbol", "left").withColumn(
+            "_srn", F.when(F.col("_nsv") == nth, F.col("_nth"))).drop("_nth")
     else:
         r = r.withColumn("_sv", col_(x))
     r = r.withColumn("_j", F.col("_rn") - F.col("_srn"))

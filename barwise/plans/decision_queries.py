@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from barwise.operators import decide as P
 from barwise.operators import evaluation as M
 from barwise.plans.registry import query
@@ -65,7 +67,7 @@ _CD = ("with a as (select symbol, ts, count(*) as n_models, sum(cast(y_score >=
        "round(greatest(ensemble, 1 - ensemble) * 100, 9) as confidence from a), "
        "c as (select *, case when agreement >= 0.80 and signal_strength >= 0.30 and spread <= 0.08 then 'low' "
        "when agreement >= 0.60 and signal_strength >= 0.15 and spread <= 0.15 then 'medium' else 'high' end as risk from b), "
-       "e as (select *, case when disagree = 1 then 'HOLD' when n_models > 1 then "
+       "e as (select *, case when n_models > 1 then "
        "(case when risk = 'low' then (case when direction = 'UP' then 'STRONG BUY' else 'STRONG SELL' end) "
        "when risk = 'medium' then (case when direction = 'UP' then 'MODERATE BUY' else 'MODERATE SELL' end) else 'HOLD' end) "
        "else (case when confidence > 80 then (case when direction = 'UP' then 'STRONG BUY' else 'STRONG SELL' end) "
@@ -103,6 +105,22 @@ def _p09(spark, d):
     return _cd(spark, d)
 
 
+@query("p09_recommendation_gated", "symbol:s, ts:t, direction:s, confidence:d, recommendation:s, stop_loss:d",
+       _CD.replace("case when n_models > 1 then", "case when disagree = 1 then 'HOLD' when n_models > 1 then")
+       + "select symbol, ts, direction, confidence, recommendation, stop_loss from f")
+def _p09_gated(spark, d):
+    return P.class_decision(_preds(spark, d), require_agreement=True)
+
+
+@query("p09_recommendation_single", "symbol:s, ts:t, n_models:l, direction:s, confidence:d, recommendation:s, stop_loss:d",
+       _CD.replace("from preds group by", "from preds where model = (select min(model) from preds) group by")
+       + "select symbol, ts, n_models, direction, confidence, recommendation, stop_loss from f")
+def _p09_single(spark, d):
+    p = _preds(spark, d)
+    first = p.agg(F.min("model")).first()[0]
+    return P.class_decision(p.filter(F.col("model") == first))
+
+
 @query("p10_position", "symbol:s, ts:t, position_size:s, stop_loss:d",
        _CD + "select symbol, ts, position_size, stop_loss from f")
 def _p10(spark, d):

@@ -174,10 +174,12 @@ query("e06_rolling_ratios", _spec([n for n in _PACK_NAMES if "ratio_mean" in n o
       _PACK_SQL)(_df(lambda b: E.rolling_pack(b).select(
           "symbol", "ts", *[n for n in _PACK_NAMES if "ratio_mean" in n or "zscore" in n])))
 
-_SKW = {f"returns_skew_{w}": (f"case when {G.full('stddev_pop', 'r', w)} > 0 then "
-                              f"{G.full('skewness', 'r', w)} end") for w in (5, 10, 20)}
-query("e07_rolling_skew", _spec(list(_SKW)),
-      _sel(_SKW, f"(select symbol, ts, {RET} as r from bars_brand) as _r"))(_df(E.rolling_skew))
+for _x, _key, _expr in (("close", "e07_rolling_skew", CL), ("returns", "e07_rolling_skew_returns", RET)):
+    _SKW = {f"{_x}_skew_{w}": (f"case when {G.full('stddev_pop', 'r', w)} > 0 then "
+                               f"{G.full('skewness', 'r', w)} end") for w in (5, 10, 20)}
+    query(_key, _spec(list(_SKW), {k: "d4" for k in _SKW}),
+          _sel(_SKW, f"(select symbol, ts, {_expr} as r from bars_brand) as _r"))(
+        _df(lambda b, x=_x: E.rolling_skew(b, x=x)))
 
 _reg("e08_volatility", {f"volatility_{w}": G.full("stddev_samp", "r", w) for w in (5, 10, 20)},
      _df(E.volatility), src=f"(select symbol, ts, {RET} as r from bars_brand) as _r")

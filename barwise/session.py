@@ -20,12 +20,12 @@ def build(master: str | None = None, cpus: int | None = None, app: str = "barwis
     """
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     master = master or f"local[{cpus}]"
-    # local: one shuffle partition per core; on a cluster start high (e.g. 4x the cores)
-    # and let AQE coalesce to ~64 MB partitions from the measured map output
-    parts = shuffle_partitions or (cpus if master.startswith("local") else 4 * cpus)
-    b = (SparkSession.builder.master(master).appName(app)
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.shuffle.partitions", str(parts))
+    # local: one shuffle partition per core
+    parts = shuffle_partitions or (cpus if master.startswith("local") else None)
+    b = SparkSession.builder.master(master).appName(app)
+    if parts:       # a cluster keeps its own setting unless one is given
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
+    b = (b.config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -45,13 +45,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder and is
-    used as is.  Only when it is unset (local tests) a private folder under the
-    system temp dir is created and registered.
+    used as is.  When it is unset, a local master (tests) gets a private folder under the
+    system temp dir; any other master is refused.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
         cur = spark.sparkContext.getCheckpointDir()
     if not cur:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         cur = tempfile.mkdtemp(prefix="barwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     try:

@@ -13,14 +13,6 @@ from pyspark.sql import functions as F
 from barwise.sources.bars import table
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` after checking its row count; refuse beyond the bound."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows exceed the broadcast bound {max_rows}")
-    return F.broadcast(df)
-
-
 def dim_symbols(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
@@ -52,19 +44,41 @@ def search(dim: DataFrame, q: str) -> DataFrame:
     return dim.filter(F.lower("symbol").contains(ql) | F.lower("name").contains(ql))
 
 
+def _grams(text, n: int):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
+                                        lambda i: F.substring(text, i, F.lit(n))))
+
+
+def substring_hits(queries: DataFrame, dim: DataFrame, q_col: str = "q") -> DataFrame:
+    """Distinct queries that are a case-insensitive substring of some symbol or name.
+
+    An index holds the 1-, 2- and 3-grams of the dimension's strings.  A query of up to three
+    characters hits if it is a gram; a longer one meets, by an equality join, the strings that
+    hold its rarest 3-gram and is verified there.  The empty query hits if there is any string.
+    """
+    ql = F.lower(F.col(q_col))
+    asked = queries.select(F.col(q_col), ql.alias("_q")).filter(F.col("_q").isNotNull()).distinct()
+    texts = dim.select(F.explode(F.array(F.lower("symbol"), F.lower("name"))).alias("_t")).filter(
+        F.col("_t").isNotNull()).distinct()
+    index = texts.select("_t", F.explode(F.array_distinct(F.concat(
+        F.array(F.lit("")), *[_grams(F.col("_t"), n) for n in (1, 2, 3)]))).alias("_g"))
+    counts = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    short = asked.filter(F.length("_q") <= 3).join(counts, F.col("_q") == F.col("_g"), "left_semi").select(q_col)
+    grams = asked.filter(F.length("_q") > 3).select(q_col, "_q", F.explode(_grams(F.col("_q"), 3)).alias("_g"))
+    rare = (grams.join(counts, "_g", "left").groupBy(q_col, "_q")
+            .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
+            .filter(F.col("_r.n") > 0).select(q_col, "_q", F.col("_r.g").alias("_g")))
+    long_ = rare.join(index, "_g").filter(F.contains(F.col("_t"), F.col("_q"))).select(q_col)
+    return short.unionAll(long_).distinct()
+
+
 def expand_candidates(queries: DataFrame, dim: DataFrame, q_col: str = "q") -> DataFrame:
     """For queries with no search hit, candidate market symbols.
 
     Alphabetic/numeric base query -> base + '.NS', base + '.BO'; suffixed query -> its base.
     Keeps candidates that exist in the dimension's market symbols.
     """
-    # substring search cannot be an equi-join: the typed queries (bounded, checked)
-    # are broadcast and the dimension streams past them once
-    qb = checked_broadcast(queries.select(q_col).distinct(), max_rows=100_000)
-    dm = dim.select(F.lower("symbol").alias("_s"), F.lower("name").alias("_n"))
-    ql = F.lower(F.col(q_col))
-    hits = dm.join(qb, F.col("_s").contains(ql) | F.col("_n").contains(ql), "inner") \
-             .select(q_col).distinct()
+    hits = substring_hits(queries, dim, q_col)
     empty = queries.join(hits, q_col, "left_anti")
     up = F.upper(F.col(q_col))
     suffixed = up.endswith(".NS") | up.endswith(".BO")

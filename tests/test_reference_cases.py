@@ -71,3 +71,12 @@ def test_guard_raises_on_nan_and_inf(spark):
         J.assert_ok(J.input_guard(df2, ["x"])).collect()
     ok = spark.createDataFrame([(1.0,), (2.0,)], "x double")
     assert J.assert_ok(J.input_guard(ok, ["x"])).first()["ok"] == 1
+
+
+def test_substring_hits_of_any_length(spark):
+    from barwise.sources.dims import substring_hits
+    dim = spark.createDataFrame([("AAPL", "Apple Inc"), ("msft", None), ("x1", "Customer#000")], "symbol string, name string")
+    asked = ["", "a", "pp", "APP", "appl", "e inc", "customer#000", "zz", "applx", "0000", None, "sft"]
+    got = substring_hits(spark.createDataFrame([(q,) for q in asked], "q string"), dim)
+    want = {q for q in asked if q is not None and any(q.lower() in t for t in ("aapl", "apple inc", "msft", "x1", "customer#000"))}
+    assert {r["q"] for r in got.collect()} == want and got.count() == len(want)

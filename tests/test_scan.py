@@ -72,3 +72,17 @@ def test_segmented_rsi_atr_adx(brand):
               *[F.sum((F.col(c).isNull() != F.col(f"s_{c}").isNull()).cast("int")) for c in cols],
               F.count(F.lit(1))).first()
     assert all(x < 1e-9 for x in r[:5]) and all(x == 0 for x in r[5:10]) and r[10] == brand.count()
+
+
+def test_seed_among_interior_nulls(spark):
+    """Nulls among the first n inputs: the windowed and the skew-safe form agree."""
+    import datetime as dt
+    t0 = dt.datetime(2020, 1, 1)
+    rows = [("a", t0 + dt.timedelta(days=i), None if i in (0, 6, 9, 30) else 10 + (i * 7 % 11) / 3) for i in range(60)]
+    rows += [("b", t0 + dt.timedelta(days=i), None if i % 2 else float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double")
+    for n in (3, 14):
+        one = {(r["symbol"], r["ts"]): r["w"] for r in S.wilder(df, "x", n, "w").collect()}
+        two = {(r["symbol"], r["ts"]): r["w"] for r in S.wilder_segmented(df, "x", n, "w").collect()}
+        assert one.keys() == two.keys() and sum(v is not None for v in one.values()) > 40
+        assert all((one[k] is None) == (two[k] is None) and (one[k] is None or abs(one[k] - two[k]) < 1e-9) for k in one)
