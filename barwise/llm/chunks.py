@@ -64,7 +64,7 @@ class ChunkEncoder:
     many at a time, as one text, and its ids are cut after each end-of-word token.
     """
 
-    def __init__(self, tokenizer_json: bytes, specials_as_text: bool = False, memo: int = 300_000):
+    def __init__(self, tokenizer_json: bytes, specials_as_text: bool = False, memo: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -174,10 +174,10 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(tokenizer_json: bytes, specials_as_text: bool = False) -> ChunkEncoder:
+def encoder(tokenizer_json: bytes, specials_as_text: bool = False, memo: int = 400_000) -> ChunkEncoder:
     """The worker's encoder; Spark reuses Python workers, so its memo outlives a task."""
-    key = (hash(tokenizer_json), specials_as_text)
+    key = (hash(tokenizer_json), specials_as_text, memo)
     if key not in _ENCODERS:
         gc.set_threshold(200_000, 20, 20)     # millions of small objects here, and no cycles
-        _ENCODERS[key] = ChunkEncoder(tokenizer_json, specials_as_text)
+        _ENCODERS[key] = ChunkEncoder(tokenizer_json, specials_as_text, memo)
     return _ENCODERS[key]

@@ -33,6 +33,8 @@ BLOCK = 1024
 _PAD = 64          # no window of a selector in use reaches further
 #: A segment is closed at this many ids (a longer document makes a longer segment).
 SEGMENT_IDS = 1 << 18
+#: Distinct chunks a worker remembers (about 200 bytes each); it bears on time only.
+MEMO = 800_000
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -183,7 +185,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: bytes, end_i
 
     def encode(batches):
         from barwise.llm.chunks import encoder
-        enc = encoder(shipped.value)
+        enc = encoder(shipped.value, memo=MEMO)
         part, seg, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, held, total = [], [], [], 0
         for rows, texts in text_slices(batches):
