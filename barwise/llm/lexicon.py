@@ -325,12 +325,12 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(file: str | None, tokenizer_json: bytes) -> Codec:
-    key = f"{file}-{hash(tokenizer_json)}"
+def _codec(file: str | None, tokenizer_json: bytes, memo: int = 250_000) -> Codec:
+    key = f"{file}-{hash(tokenizer_json)}-{memo}"
     if key not in _CODECS:
         _CODECS.clear()
         gc.set_threshold(200_000, 20, 20)     # millions of small objects here, and no cycles
-        _CODECS[key] = Codec(tokenizer_json, Lexicon(SparkFiles.get(file)) if file else None)
+        _CODECS[key] = Codec(tokenizer_json, Lexicon(SparkFiles.get(file)) if file else None, memo)
     return _CODECS[key]
 
 
@@ -390,13 +390,14 @@ def ship_lexicon(spark: SparkSession, docs: DataFrame, tokenizer_json: bytes,
     return name
 
 
-def _mapped(spark: SparkSession, docs: DataFrame, tokenizer_json: bytes, words: int, schema: str, columns, row):
+def _mapped(spark: SparkSession, docs: DataFrame, tokenizer_json: bytes, words: int, schema: str, columns, row,
+            memo: int = 250_000):
     name = ship_lexicon(spark, docs, tokenizer_json, words)
     shipped = spark.sparkContext.broadcast(tokenizer_json)
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *columns])
 
     def run(batches):
-        codec = _codec(name, shipped.value)
+        codec = _codec(name, shipped.value, memo)
         for rows, texts in text_slices(batches):
             ids, n = codec.encode(texts)
             cells = [row(codec, i) for i in np.split(ids, np.cumsum(n)[:-1])]
@@ -440,7 +441,7 @@ def round_trip_digests(spark: SparkSession, docs: DataFrame, tokenizer_json: byt
 
     return _mapped(spark, docs, tokenizer_json, words,
                    "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-                   [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], digests)
+                   [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], digests, memo=400_000)
 
 
 def op3_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
