@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwise.session import ensure_checkpoint_dir, scratch_path, ship_package
@@ -36,6 +36,24 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file into the shared folder, whatever store that is; returns its full path."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, f"llm/{name}"))
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = store.create(path, True)
+    out.write(bytearray(data))
+    out.close()
+    return store.makeQualified(path).toString()
+
+
+def aliased(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """``df`` with its columns called c0, c1, ...; the new name of each; and what selects them
+    back.  Columns that an operator adds in between clash with none, whatever they are called."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names)), [F.col(n).alias(c) for n, c in zip(names, df.columns)]
+
+
 def literal_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A small table of given values, as a literal of the plan (no Python on executors)."""
     fields = [f.split() for f in schema.split(", ")]

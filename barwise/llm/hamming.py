@@ -115,7 +115,8 @@ def _probe(radius: int, low_bits: int, k: int):
 
 def search(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``(query_id, rank, vec_id, distance)``: for each of ``queries (vec_id, code)`` the k
-    nearest rows of ``index (vec_id, code)`` other than itself, ties by vec_id.
+    nearest rows of ``index (vec_id, code)`` other than itself, ties by vec_id.  Queries of
+    equal code are searched once, with one neighbour more, and told apart at the end.
 
     Exact.  Repeated (vec_id, code) count once.  With fewer than k others all are returned; an
     empty side gives nothing.  Equal codes are one entry of the segment tables, with their
@@ -136,7 +137,10 @@ def search(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int = K
                     "blocks")
     table_ = written(spark, placed.join(parts, ["seg", "hi"]).select(
         "seg", "hi", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int").alias("part"), "code", "least", "n"), "segments")
-    asked = written(spark, queries.select(F.col("vec_id").alias("qid"), "code").distinct().withColumn(
+    wanted = written(spark, queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("qid")).distinct(),
+                     "wanted")
+    # a query's number is its code
+    asked = written(spark, wanted.select("qid", F.col("qid").alias("code")).distinct().withColumn(
         "bound", F.lit(BITS).cast("long")), "queries")
     best, masks = None, _balls(high)
     done_best = []
@@ -176,10 +180,13 @@ def search(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int = K
     final = done_best[0]
     for more in done_best[1:]:
         final = final.unionByName(more)
-    rank = Window.partitionBy("qid").orderBy("distance", "vec_id")
-    return (final.select("qid", "code", "distance").join(ids.select("code", "vec_id"), "code").filter("qid <> vec_id")
+    near = (final.select("qid", "code", "distance").join(ids.select("code", "vec_id"), "code")
+            .withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id")))
+            .filter(F.col("nth") <= k + 1).select("qid", "vec_id", "distance"))
+    rank = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return (wanted.join(near, "qid").filter("query_id <> vec_id")
             .withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-            .select(F.col("qid").alias("query_id"), "rank", "vec_id", "distance"))
+            .select("query_id", "rank", "vec_id", "distance"))
 
 
 def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import json
 import mmap
 import os
 import re
-import tempfile
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwise.llm.chunks import TAIL, plain_end
-from barwise.llm.common import prepare, table, text_slices, tokenizer_bytes, written
+from barwise.llm.common import prepare, shared_file, table, text_slices, tokenizer_bytes, written
 
 #: Words compiled into the automaton at most: the most frequent of the whole corpus (of words
 #: that tie at the limit, none).
@@ -382,11 +382,8 @@ def ship_lexicon(spark: SparkSession, docs: DataFrame, tokenizer_json: bytes,
     asked = Codec(tokenizer_json, None).merge(chunks)
     data = compile_lexicon({c: np.frombuffer(i, "<u4").tolist() for c, i in zip(chunks, asked)})
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    with open(path, "wb") as f:
-        f.write(data)
     if not any(str(f).endswith(name) for f in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(path)
+        spark.sparkContext.addFile(shared_file(spark, f"lexicon-{uuid.uuid4().hex}/{name}", data))
     return name
 
 

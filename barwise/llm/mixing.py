@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwise.llm.common import prepare, row_key, table, written
+from barwise.llm.common import aliased, prepare, row_key, table, written
 
 LEVEL_BITS = 12
 LEVELS = 5
@@ -26,9 +26,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def row_hash() -> Column:
+def row_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Hash that decides about a row; equal (doc_id, text) have equal hashes."""
-    return F.shiftrightunsigned(row_key("doc_id", "text"), 64 - HASH_BITS)
+    return F.shiftrightunsigned(row_key(doc_id, text), 64 - HASH_BITS)
 
 
 def targets(spark: SparkSession, sizes: DataFrame, weights=(1, 2, 3), most: int = MOST) -> DataFrame:
@@ -105,17 +105,12 @@ def thresholds(spark: SparkSession, slim: DataFrame, wanted: DataFrame) -> DataF
     return state.select("source", "whole", below.alias("below"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights=(1, 2, 3), most: int = MOST) -> DataFrame:
-    """Every row of ``docs`` (its columns) with ``_size``, ``_source_size``, ``_target`` and
-    ``_times``, how often the mix takes it (0 to ``most``).
-
-    A null text has size 0; null sources are one source; rows of size 0 are taken like any
-    other under the threshold; rows of equal doc_id and text are decided alike.
-    Only (source, size, hash) is shuffled; the documents themselves are read twice and stay
-    where they are (but for more than ``BROADCAST_SOURCES`` sources).
-    """
-    slim = written(spark, docs.select(F.col("source").cast("string").alias("source"),
-                                      word_count(F.col("text")).alias("size"), row_hash().alias("hash")), "sizes")
+def _planned(spark: SparkSession, docs: DataFrame, weights, most: int) -> tuple[DataFrame, list[Column]]:
+    """The rows of ``docs`` under other column names with what ``mix`` adds, and the columns back."""
+    flat, at, back = aliased(docs)
+    size, hash_ = word_count(F.col(at["text"])), row_hash(at["doc_id"], at["text"])
+    source = F.col(at["source"]).cast("string")
+    slim = written(spark, flat.select(source.alias("source"), size.alias("size"), hash_.alias("hash")), "sizes")
     wanted = written(spark, targets(spark, slim.groupBy("source").agg(F.sum("size").alias("size")), weights, most),
                      "targets")
     cut = thresholds(spark, slim, wanted)
@@ -124,18 +119,28 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(1, 2, 3), most: int = MOS
         "whole", "below")
     # a row a source: sent to every task while that is small (counted), else both sides meet
     plan = F.broadcast(plan) if wanted.count() <= BROADCAST_SOURCES else plan
-    out = docs.withColumns({"_size": word_count(F.col("text")), "_hash": row_hash()}).join(
-        plan, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    out = flat.withColumns({"_size": size, "_hash": hash_}).join(plan, source.eqNullSafe(F.col("_source")))
     times = F.least(F.col("whole") + (F.col("_hash") < F.col("below")).cast("long"), F.lit(most))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_size", "_source_size", "_target",
-                      times.cast("int").alias("_times"))
+    return out.withColumn("_times", times.cast("int")), back
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights=(1, 2, 3), most: int = MOST) -> DataFrame:
+    """Every row of ``docs`` (its columns first, whatever their names) with ``_size``,
+    ``_source_size``, ``_target`` and ``_times``, how often the mix takes it (0 to ``most``).
+
+    A null text has size 0; null sources are one source; rows of size 0 are taken like any
+    other under the threshold; rows of equal doc_id and text are decided alike.
+    Only (source, size, hash) is shuffled; the documents themselves are read twice and stay
+    where they are (but for more than ``BROADCAST_SOURCES`` sources).
+    """
+    out, back = _planned(spark, docs, weights, most)
+    return out.select(*back, "_size", "_source_size", "_target", "_times")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, weights=(1, 2, 3), most: int = MOST) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    found = mix(spark, docs, weights, most).filter("_times > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    out, back = _planned(spark, docs, weights, most)
+    return out.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*back)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwise.llm.common import prepare, row_key, table, text_groups, written
+from barwise.llm.common import aliased, prepare, row_key, table, text_groups, written
 from barwise.llm.components import components
 
 SHINGLE = 3
@@ -147,17 +147,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` with one document of every group: the one with the least doc_id
-    (nulls last, then the least text key; of equal rows any one).  Columns and types stay."""
+    (nulls last, then the least text key; of equal rows any one).  All columns stay, whatever
+    their names, with types and values."""
     found = near_duplicates(spark, docs, shingle)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"))
 
     def key(doc_id, h):
         return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), h.cast("string"))
 
-    kept = first.select(key(F.col("k.doc_id"), F.col("k.h")).alias("_key"))
-    rows = docs.withColumn("_key", key(F.col("doc_id").cast("bigint"), row_key("text"))).join(kept, "_key")
-    one = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return one.filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = first.select(key(F.col("k.doc_id"), F.col("k.h")).alias("key"))
+    flat, at, back = aliased(docs)
+    rows = flat.withColumn("key", key(F.col(at["doc_id"]).cast("bigint"), row_key(at["text"]))).join(kept, "key")
+    one = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    return one.filter("nth = 1").select(*back)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

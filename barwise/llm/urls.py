@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import literal_rows, prepare, table, written
+from barwise.llm.common import aliased, literal_rows, prepare, table, written
 
 #: Rules of the contract: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
@@ -119,13 +119,15 @@ def judge(spark: SparkSession, urls: DataFrame, rules: DataFrame, blocked: DataF
 
 
 def filter_pages(spark: SparkSession, pages: DataFrame, rules: DataFrame, blocked: DataFrame) -> DataFrame:
-    """``pages`` (its columns) with ``_host, _path, _rule, _verdict``; every row is judged by
-    its URL, repeated URLs once."""
+    """``pages`` (its columns first, whatever their names) with ``_host, _path, _rule,
+    _verdict``; every row is judged by its URL, repeated URLs once."""
+    flat, at, back = aliased(pages)
     urls = pages.select(F.col("url").cast("string").alias("url")).distinct()
     found = judge(spark, urls, rules, blocked).select(
         F.col("url").alias("_url"), F.col("host").alias("_host"), F.col("path").alias("_path"),
         F.col("rule").alias("_rule"), F.col("verdict").alias("_verdict"))
-    return pages.join(found, pages["url"].cast("string").eqNullSafe(found["_url"])).drop("_url")
+    return flat.join(found, F.col(at["url"]).cast("string").eqNullSafe(F.col("_url"))).select(
+        *back, "_host", "_path", "_rule", "_verdict")
 
 
 def listed_pages(pages: DataFrame, words=tuple(LISTED_WORDS)) -> DataFrame:

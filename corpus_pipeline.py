@@ -22,7 +22,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the pairwise ranking accepts (score of 0.5 or more)."""
     prepare(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(spark, docs, model).filter("_score >= 0.5").drop("_score")
+    return quality.accepted(spark, docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,3 +113,22 @@ def test_bloom_filter_has_a_size_bound(spark):
     blocks, n = urls.bloom(listed, 10**12)
     assert n == urls.MAX_BLOCKS and blocks.count() <= 1000
     assert np.log2(n * urls.BLOCK_BITS / 8) <= 23
+
+
+def test_clashing_columns_of_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "u1", "h1"), (2, None, "u2", "h2"), (2, None, "u2", "h2")],
+                                  "page_id long, url string, _url string, host string")
+    rules = spark.createDataFrame([("block", "net", "/")], "verdict string, host string, path string")
+    got = urls.filter_pages(spark, pages, rules, spark.createDataFrame([], "key string"))
+    assert got.columns == pages.columns + ["_host", "_path", "_rule", "_verdict"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        (1, "http://a.net/x", "u1", "h1", "a.net", "/x", "net/", "block"),
+        (2, None, "u2", "h2", "", "", None, "allow"), (2, None, "u2", "h2", "", "", None, "allow")]))
+
+
+def test_many_queries_of_one_code(spark):
+    """Queries of equal code are searched once; each still leaves out itself alone."""
+    rows = [(i, 7) for i in range(300)] + [(i, 7 ^ (1 << i % 60)) for i in range(300, 320)]
+    index = spark.createDataFrame(rows, "vec_id long, code long")
+    got = hamming.search(spark, index, index, 4)
+    assert sorted(map(tuple, got.collect())) == nearest(rows, rows, 4)

@@ -241,3 +241,31 @@ def test_registered(spark):
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
     assert set(queries.ORACLES) <= set(E.oracle_sql())
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+CLASHING = ["_key", "_score", "_size", "_hash", "_times", "_copy", "_source", "c0", "key", "nth", "quality", "x"]
+
+
+def test_clashing_columns_keep_their_values(spark, odd, sf):
+    """Stages and operators that return documents leave every column as it was."""
+    import corpus_pipeline
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), F.col("text")).alias(c) for c in CLASHING])
+    rows = set(map(str, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        assert got.count() > 0 and set(map(str, got.collect())) <= rows, name
+    plain = quality.fit(np.zeros((0, quality.FEATURES)), np.zeros(0, np.int64))
+    scored = quality.scored(spark, docs, plain)
+    assert {str(tuple(r)[:-1]) for r in scored.collect()} == set(map(str, map(tuple, docs.collect())))
+    assert mixing.mix(spark, docs).toDF(*[f"a{i}" for i in range(len(docs.columns) + 4)]).count() == docs.count()
+
+
+def test_training_sample_has_a_row_an_id(spark):
+    top = 2**63 - 1
+    docs = spark.createDataFrame([(top, "good text here")] * 3 + [(top, "another text"), (2, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(top, 1), (top, 1), (2, 0)], "doc_id long, quality int")
+    x, y = quality.training_rows(docs, labels)
+    import zlib
+    learned = [d for d in (2, top) if zlib.crc32(str(d).encode()) % 3 != 1]
+    assert len(x) == len(y) == len(learned)
