@@ -65,24 +65,42 @@ def prune(df: DataFrame, cols=None, threshold: float = 0.5) -> DataFrame:
     return df.drop(*drop)
 
 
+def _nan_to_null(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def clip_bounds(df: DataFrame, cols: list[str], fit_where: Column | None = None, k: float = 3.0) -> DataFrame:
-    """J04 fit: lower = max(q1 - 3 IQR, p0.1), upper = min(q3 + 3 IQR, p99.9) per feature."""
-    q = exact_quantiles(_fit_rows(df, fit_where), cols, [0.001, 0.25, 0.75, 0.999])
+    """J04 fit: lower = max(q1 - 3 IQR, p0.1), upper = min(q3 + 3 IQR, p99.9) per feature.
+
+    NaN counts as missing.  A side that is no number gives way to the other one of its pair; a
+    bound that is not finite then is the column's least or greatest value.  A quantile that falls
+    on a value is that value, also beside an infinite one (where pandas gives NaN).
+    """
+    rows = _fit_rows(df, fit_where).select(*[_nan_to_null(c).alias(c) for c in cols])
+    q = exact_quantiles(rows, cols, [0.001, 0.25, 0.75, 0.999])
     w = q.groupBy("feature").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
                                    for p, n in ((0.001, "p001"), (0.25, "q1"), (0.75, "q3"), (0.999, "p999"))])
+    w = w.join(profile(rows, cols).select("feature", "min", "max"), "feature")
     iqr = F.col("q3") - F.col("q1")
-    return w.select("feature", F.greatest(F.col("q1") - k * iqr, F.col("p001")).alias("lower"),
-                    F.least(F.col("q3") + k * iqr, F.col("p999")).alias("upper"))
+
+    def bound(pick, side: Column, backup: Column, extreme: Column) -> Column:
+        both = F.when(F.isnan(side), backup).when(F.isnan(backup), side).otherwise(pick(side, backup))
+        return F.when(F.isnan(both) | (F.abs(both) == INF), extreme).otherwise(both)
+
+    return w.select("feature",
+                    bound(F.greatest, F.col("q1") - k * iqr, F.col("p001"), F.col("min")).alias("lower"),
+                    bound(F.least, F.col("q3") + k * iqr, F.col("p999"), F.col("max")).alias("upper"))
 
 
 def clip(df: DataFrame, bounds: DataFrame) -> DataFrame:
-    """J04 apply: non-finite -> min/max first (the reference replaces inf by the column
-    extremes), then clip to the bounds; bounds are one row per feature (literals)."""
+    """J04 apply: values go to the bounds, which are one row per feature (literals); infinite
+    ones too, while null and NaN stay."""
     b = {r["feature"]: (r["lower"], r["upper"]) for r in bounds.collect()}
     cols = {}
     for c, (lo, hi) in b.items():
         x = F.col(c)
-        cols[c] = F.when(x.isNull(), None).otherwise(F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+        cols[c] = F.when(x.isNull() | F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
     return df.withColumns(cols)
 
 
@@ -91,7 +109,8 @@ def clip_counts(df: DataFrame, bounds: DataFrame) -> DataFrame:
     b = {r["feature"]: (r["lower"], r["upper"]) for r in bounds.collect()}
     aggs = []
     for c, (lo, hi) in b.items():
-        aggs += [F.count_if(F.col(c) < lo).alias(f"{c}__lo"), F.count_if(F.col(c) > hi).alias(f"{c}__hi")]
+        aggs += [F.count_if(F.col(c) < lo).alias(f"{c}__lo"),
+                 F.count_if((F.col(c) > hi) & ~F.isnan(c)).alias(f"{c}__hi")]
     row = df.agg(*aggs)
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(lo).alias("lower"),
                                                    F.lit(hi).alias("upper"), F.col(f"{c}__lo").alias("n_low"),

@@ -80,3 +80,34 @@ def test_substring_hits_of_any_length(spark):
     got = substring_hits(spark.createDataFrame([(q,) for q in asked], "q string"), dim)
     want = {q for q in asked if q is not None and any(q.lower() in t for t in ("aapl", "apple inc", "msft", "x1", "customer#000"))}
     assert {r["q"] for r in got.collect()} == want and got.count() == len(want)
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, 3.0, 4.0, float("inf")], [float("-inf"), 1.0, 2.0, 3.0, 4.0], [float("nan"), 1.0, 2.0, 100.0, None],
+    [1.0, 1.0, 1.0, float("inf"), float("nan")], [1.0, 2.0, 3.0, 4.0, 1e6]])
+def test_clip_of_values_that_are_not_finite(spark, values):
+    import numpy as np
+    import pandas as pd
+    x = pd.Series(values, dtype="float64")
+    v = sorted(x.dropna())
+
+    def quantile(p):       # a value at its own rank is not mixed with an infinite neighbour
+        at = p * (len(v) - 1)
+        low, part = int(at), at - int(at)
+        return np.float64(v[low]) + (np.float64(v[low + 1]) - v[low]) * part if part else np.float64(v[low])
+
+    with np.errstate(invalid="ignore"):
+        q1, q3, p1, p9 = map(quantile, (0.25, 0.75, 0.001, 0.999))
+        low, high = q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)
+    low = p1 if np.isnan(low) else low if np.isnan(p1) else max(low, p1)
+    high = p9 if np.isnan(high) else high if np.isnan(p9) else min(high, p9)
+    low = low if np.isfinite(low) else x.min()
+    high = high if np.isfinite(high) else x.max()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, x double")
+    bounds = J.clip_bounds(df, ["x"])
+    r = bounds.first()
+    assert (r["lower"], r["upper"]) == (pytest.approx(low), pytest.approx(high))
+    got = [row["x"] for row in J.clip(df, bounds).orderBy("i").collect()]
+    want = x.clip(low, high)
+    assert [g is None or np.isnan(g) for g in got] == list(want.isna())
+    assert [g for g in got if g is not None and not np.isnan(g)] == pytest.approx(list(want.dropna()))
