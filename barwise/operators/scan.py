@@ -250,7 +250,7 @@ def garch_vol(df: DataFrame, alpha: float = 0.1) -> DataFrame:
 def linear_scans_segmented(df: DataFrame, x: str, specs, nth: int = 1, buckets: int = 64) -> DataFrame:
     """The blocked scan without any per-symbol window: for a symbol holding a third of the rows.
 
-    Row numbers come from the bucketed global rank; the seed row (the ``nth`` non-null
+    Row numbers come from the bucketed global rank (or from ``ranking.numbered``); the seed row (the ``nth`` non-null
     ``x``, nulls may lie before and between) and, for Wilder means, the seed value (mean of
     the first ``nth``) are per-symbol aggregates; block sums run over (symbol, block)
     windows; the carry entering a block is the previous block's last running value,
@@ -258,10 +258,13 @@ def linear_scans_segmented(df: DataFrame, x: str, specs, nth: int = 1, buckets:
     checkpoint folder) before that self-join so chained scans keep a linear lineage.
     ``specs`` as in :func:`linear_scans`; with ``nth > 1`` the seed weight applies to the mean.
     """
-    from barwise.operators.ranking import global_rank
+    from barwise.operators.ranking import ROW, global_rank
     from barwise.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    r = global_rank(df, ["symbol"], ["ts"], buckets).drop("n").withColumnRenamed("rank", "_rn")
+    if ROW in df.columns:
+        r = df.withColumn("_rn", F.col(ROW))
+    else:
+        r = global_rank(df, ["symbol"], ["ts"], buckets).drop("n").withColumnRenamed("rank", "_rn")
     first = r.filter(col_(x).isNotNull()).groupBy("symbol").agg(F.min("_rn").alias("_first"))
     r = r.join(first, "symbol", "left").withColumn("_srn", F.col("_first") + (nth - 1))
     if nth > 1:
@@ -327,16 +330,6 @@ def macd_segmented(df: DataFrame, fast: int = 12, slow: int = 26, signal: int =
                           f"{p}_bullish": flag(F.col(p) > F.col(f"{p}_signal"))})
 
 
-def emas_auto(df: DataFrame, x: str, spans, adjust: bool = False, names=None,
-              max_rows_per_task: int = 20_000_000) -> DataFrame:
-    """EMAs with per-symbol windows, or the skew-safe scan when one symbol is hot."""
-    from barwise.operators.segments import largest_group
-    biggest, _ = largest_group(df)
-    if biggest <= max_rows_per_task:
-        return emas(df, x, spans, adjust=adjust, names=names)
-    return emas_segmented(df, x, spans, adjust=adjust, names=names)
-
-
 def _lagged(df: DataFrame, cols: dict) -> DataFrame:
     """Columns that need the previous bar, computed with the skew-safe frame runner."""
     from barwise.operators.segments import segmented

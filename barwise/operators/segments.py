@@ -24,14 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwise.functions.core import panel_window
-from barwise.operators.ranking import global_rank
+from barwise.operators.ranking import ROW, global_rank
 
 
 def segmented(df: DataFrame, fn: Callable[[DataFrame], DataFrame], lookback: int, ahead: int = 0,
               block: int = 65536, key: str = "symbol", order: str = "ts", buckets: int = 64) -> DataFrame:
     if lookback >= block or ahead >= block:
         raise ValueError("block must be longer than the operator's look-back and look-ahead")
-    r = global_rank(df, [key], [order], buckets).drop("n").withColumnRenamed("rank", "_rank")
+    if ROW in df.columns:
+        r = df.withColumn("_rank", F.col(ROW))
+    else:
+        r = global_rank(df, [key], [order], buckets).drop("n").withColumnRenamed("rank", "_rank")
     pos = F.pmod(F.col("_rank") - 1, F.lit(block))
     blk = F.floor((F.col("_rank") - 1) / block)
     copies = [F.struct(blk.alias("b"), F.lit(0).alias("h"))]
@@ -43,19 +46,3 @@ def segmented(df: DataFrame, fn: Callable[[DataFrame], DataFrame], lookback: int
     with panel_window((key, "_blk"), "_rank"):
         out = fn(ex)
     return out.filter(F.col("_halo") == 0).drop("_blk", "_halo", "_rank")
-
-
-def largest_group(df: DataFrame, key: str = "symbol") -> tuple[int, int]:
-    """(rows of the largest key, all rows): one aggregate, two numbers to the driver."""
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
-    return int(r[0] or 0), int(r[1] or 0)
-
-
-def frames(df: DataFrame, fn: Callable[[DataFrame], DataFrame], lookback: int, ahead: int = 0,
-           max_rows_per_task: int = 20_000_000, block: int = 1_000_000, key: str = "symbol") -> DataFrame:
-    """Frame operators with the cheaper plan the data allows: per-symbol windows while the
-    largest symbol fits a task, the (symbol, block) runner once one symbol is hot."""
-    biggest, _ = largest_group(df, key)
-    if biggest <= max_rows_per_task:
-        return fn(df)
-    return segmented(df, fn, lookback, ahead, block=max(block, 4 * (lookback + ahead + 1)), key=key)

@@ -64,7 +64,7 @@ def _full_sql() -> str:
 @query("i01_core_set_skew_safe", KEY + ", sma_20:d, ema_12:d, rsi_14:d, atr_14:d, obv:d2, adx:d, macd_signal:d4, aroon_up:d",
        _core_sql())
 def _i01s(spark, d):
-    # the hot-symbol plan forced on: global ranks, (symbol, block) windows, carry joins
+    # global ranks, (symbol, block) windows, carry joins
     return I.core_set(bars_brand(spark, d), skew_safe=True)
 
 
@@ -148,7 +148,9 @@ def _basic_sql(src: str) -> str:
     def full(agg, x, n):
         f = f"(partition by symbol order by ts rows between {n - 1} preceding and current row)"
         return f"(case when count({x}) over {f} = {n} then {agg}({x}) over {f} end)"
-    raw = {"sma_3": (full("avg", c, 3), 3), "sma_5": (full("avg", c, 5), 5), "sma_10": (full("avg", c, 10), 10),
+    raw = {"returns": ("r", 1), "price_change": (f'{c} - "open"', 1), "price_range": ("high - low", 1),
+           "volume_sma_3": (full("avg", "volume", 3), 3), "volume_sma_10": (full("avg", "volume", 10), 10),
+           "sma_3": (full("avg", c, 3), 3), "sma_5": (full("avg", c, 5), 5), "sma_10": (full("avg", c, 10), 10),
            "volume_sma_5": (full("avg", "volume", 5), 5), "volatility_5": (full("stddev_samp", "r", 5), 5),
            "momentum_3": (f"{c} / nullif(lag({c}, 3) over {w}, 0) - 1", 3)}
     a = ", ".join(f"case when n >= {k} then {e} end as {name}" for name, (e, k) in raw.items())
@@ -161,7 +163,7 @@ def _basic_sql(src: str) -> str:
             f"{c} / nullif(lag({c}) over {w}, 0) - 1 as r from {src}) as _0) as _1) as _2) as _3")
 
 
-_BASIC = KEY + ", sma_3:d, sma_5:d, sma_10:d, volume_sma_5:d, volatility_5:d, momentum_3:d"
+_BASIC = KEY + ", returns:d, price_change:d, price_range:d, volume_sma_3:d, volume_sma_10:d, sma_3:d, sma_5:d, sma_10:d, volume_sma_5:d, volatility_5:d, momentum_3:d"
 
 
 @query("i05_basic_set", _BASIC, _basic_sql("bars_user"))
@@ -174,8 +176,7 @@ SELECTED = ["sma_5", "momentum_3", "ma_cross_7", "rsi_custom_9", "volume_trend_x
 
 @query("i06_serving_transform", KEY + "".join(f", {s}:d" for s in SELECTED),
        "select symbol, ts, sma_5, momentum_3, \"close\" as ma_cross_7, 50.0 as rsi_custom_9, medv as volume_trend_x, "
-       "0.01 as volatility_custom, 0.0 as other_feature from (" + _basic_sql("bars_event").replace(
-           "select symbol, ts, sma_3, sma_5", "select symbol, ts, sma_5", 1) + ") as f join "
+       "0.01 as volatility_custom, 0.0 as other_feature from (" + _basic_sql("bars_event") + ") as f join "
        "(select symbol, ts, \"close\", median(volume) over (partition by symbol) as medv from bars_event) as e using (symbol, ts)")
 def _i06(spark, d):
     bars = bars_event(spark, d)

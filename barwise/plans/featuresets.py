@@ -8,37 +8,43 @@ indicators are undefined by design, e.g. the down-trend SAR in an up-trend).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.functions import calendar as D
 from barwise.functions import candles as C
-from barwise.functions.core import div, lag, sma, with_cols
+from barwise.functions.core import div, flag, lag, sma, with_cols
 from barwise.operators import clean as J
 from barwise.operators import indicators as G
 from barwise.operators import regime as H
 from barwise.operators import rolling as E
 from barwise.operators import scan as S
-from barwise.operators.ranking import exact_quantiles
+from barwise.operators.ranking import ROW, exact_quantiles, numbered
 
 CORE_TRIM = ["sma_20", "ema_12", "rsi_14", "atr_14", "obv", "adx", "macd_signal", "aroon_up"]
 
 
 def core_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, with_psar: bool = True,
-             skew_safe: bool | None = None, max_rows_per_task: int = 20_000_000) -> DataFrame:
+             skew_safe: bool = True) -> DataFrame:
     """Trend, momentum, volatility, volume, pattern and trend-strength groups.
 
-    ``skew_safe=None`` measures the largest symbol and switches to the (symbol, block)
-    forms of every family (frames, scans, cumulative lines, PSAR) when it exceeds a task.
+    Every family (frames, scans, cumulative lines, PSAR) runs in its (symbol, block) form,
+    whatever the sizes; ``skew_safe=False`` asks for plain per-symbol windows (same results).
+    The block forms read the bars several times, so these are ranked and checkpointed once.
     """
-    if skew_safe is None:
-        from barwise.operators.segments import largest_group
-        skew_safe = largest_group(bars)[0] > max_rows_per_task
-    df = bars
+    df = _core(bars, with_psar, skew_safe).drop(ROW)
+    return df.dropna(subset=trim) if trim else df
+
+
+def _core(bars: DataFrame, with_psar: bool, skew_safe: bool) -> DataFrame:
+    """I01 untrimmed; the block form still has its row numbers."""
+    df = numbered(bars) if skew_safe else bars
+    bars = df.drop(ROW)
     if skew_safe:
         from barwise.operators.segments import segmented
-        df = S.emas_segmented(df, "close", [12, 26])
+        df = S.emas_segmented(df, "close", [12, 26, 50])
         df = S.macd_segmented(df)
+        df = S.rsi_segmented(df, 7)
         df = S.rsi_segmented(df, 14)
         df = S.atr_segmented(df, 14)
         df = S.atr_segmented(df, 20)
@@ -46,8 +52,9 @@ def core_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, with_psar: boo
         df = G.volume_lines_segmented(df)
         df = segmented(df, _core_frames, lookback=51, block=max(65536, 8 * 52))
     else:
-        df = S.emas(df, "close", [12, 26])
+        df = S.emas(df, "close", [12, 26, 50])
         df = S.macd(df)
+        df = S.rsi(df, 7)
         df = S.rsi(df, 14)
         df = S.atr(df, (14, 20))
         df = S.adx(df)
@@ -57,22 +64,24 @@ def core_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, with_psar: boo
         from barwise.operators.path import psar
         p = psar(bars, skew_safe=skew_safe)
         df = df.join(p, ["symbol", "ts"], "left")
-    return df.dropna(subset=trim) if trim else df
+    return df
 
 
 def _core_frames(df: DataFrame) -> DataFrame:
     """The bounded-frame part of I01 (look-back at most 52 bars)."""
     df = df.withColumns({**E.sma_cols((5, 10, 20, 50)), **C.returns((1,))})
+    df = E.price_sma_ratios(df, (5, 20))
     df = G.stochastic(df)
     df = G.williams_r(df, (14,))
-    df = G.roc(df, (10,))
+    df = G.roc(df, (10, 20))
+    df = G.cci(df)
     df = G.bollinger(df)
     df = G.keltner(df)
     df = G.donchian(df)
     df = G.cmf(df)
     df = G.mfi(df)
     df = G.vwap(df)
-    df = E.volume_sma(df, (20,))
+    df = E.volume_sma(df, (10, 20))
     df = df.withColumns({**C.close_position(), **C.gaps(), **C.doji(), **C.hammer(1), **C.shooting_star(),
                          **C.shadows(), **C.true_range()})
     df = E.momentum(df, (1, 3, 5, 10, 20))
@@ -81,15 +90,13 @@ def _core_frames(df: DataFrame) -> DataFrame:
     return G.ichimoku(df)
 
 
-def full_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, skew_safe: bool | None = None,
-             max_rows_per_task: int = 20_000_000) -> DataFrame:
-    """Core set + calendar + lags + regime + rolling pack + interactions + cleaning.
+def full_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, skew_safe: bool = True,
+             with_psar: bool = True) -> DataFrame:
+    """Core set + calendar + lags + regime + rolling pack + interactions, inf -> null.
 
-    ``skew_safe=None`` measures the largest symbol, as in :func:`core_set`."""
-    if skew_safe is None:
-        from barwise.operators.segments import largest_group
-        skew_safe = largest_group(bars)[0] > max_rows_per_task
-    df = core_set(bars, trim=None, with_psar=False, skew_safe=skew_safe)
+    The fitted cleaning steps are :func:`cleaned`.  C17 fractals (next bar) stay out.
+    ``skew_safe`` as in :func:`core_set`."""
+    df = _core(bars, with_psar, skew_safe)
     df = df.withColumns({**D.parts(), **D.cyclical(), **D.weekday_flags(), **D.month_flags()})
     if skew_safe:
         from barwise.operators.segments import segmented
@@ -99,6 +106,7 @@ def full_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, skew_safe: boo
     else:
         df = S.garch_vol(df)
         df = _full_frames(df)
+    df = df.drop(ROW)
     num = J.numeric_cols(df)
     df = J.inf_to_null(df, num)
     return df.dropna(subset=trim) if trim else df
@@ -111,6 +119,9 @@ def _full_frames(df: DataFrame) -> DataFrame:
     df = H.price_volume(df)
     df = H.indicator_products(df)
     df = E.ma_cross(df)
+    df = E.price_volume_trend_mean(df)
+    df = E.range_position(df, (20,), floor=1e-6)
+    df = df.withColumns(C.gap_flags_2pct())
     df = H.market_state(df)
     df = H.vol_regime(df)
     df = H.realized_vol(df)
@@ -119,13 +130,35 @@ def _full_frames(df: DataFrame) -> DataFrame:
     return E.trend_slope(df)
 
 
-def extended_set(bars: DataFrame) -> DataFrame:
+def cleaned(df: DataFrame, cols: list[str] | None = None, fit_where: Column | None = None,
+            backward: bool = False) -> DataFrame:
+    """The cleaning that follows I02: inf -> null, columns that are mostly null or constant
+    dropped, clip, forward fill, medians (then 0) and rescaling of large values.
+
+    Clip bounds and medians are fitted on ``fit_where`` rows.  ``backward`` adds the backward
+    fill, which leaks later bars; off, the medians fill what leads a symbol's history.
+    """
+    cols = cols or J.numeric_cols(df)
+    df = J.prune(J.inf_to_null(df, cols), cols)
+    cols = [c for c in cols if c in df.columns]
+    df = J.ffill(J.clip(df, J.clip_bounds(df, cols, fit_where)), cols)
+    if backward:
+        df = J.bfill(df, cols)
+    return J.rescale_large(J.median_fill(df, cols, fit_where), cols)
+
+
+def extended_set(bars: DataFrame, with_psar: bool = True) -> DataFrame:
     """The multi-setting set (several RSI, MACD, Bollinger, stochastic settings)."""
     df = bars.withColumns(C.returns((1, 2, 3, 5, 10, 20)))
     df = S.emas(df, "close", [5, 10, 20, 50, 100, 200], adjust=True, names=[f"ema_{w}" for w in (5, 10, 20, 50, 100, 200)])
     df = df.withColumns(E.sma_cols((5, 10, 20, 50, 100, 200)))
+    c = F.col("close")
+    df = with_cols(df, {**{f"close_sma_{w}_ratio": div(c, F.col(f"sma_{w}")) for w in (5, 10, 20, 50, 100, 200)},
+                        **{f"close_ema_{w}_ratio": div(c, F.col(f"ema_{w}")) for w in (5, 10, 20, 50, 100, 200)}})
     for n in (7, 14, 21, 30):
         df = S.rsi(df, n, method="sma")
+        r = F.col(f"rsi_sma_{n}")
+        df = with_cols(df, {f"rsi_sma_{n}_oversold": flag(r < 30), f"rsi_sma_{n}_overbought": flag(r > 70)})
     for f, s, g in ((12, 26, 9), (5, 35, 5), (19, 39, 9)):
         df = S.macd(df, f, s, g, adjust=True)
     for w, k, sfx in ((20, 2.0, "_20_2"), (20, 1.5, "_20_1_5"), (10, 2.0, "_10_2")):
@@ -134,16 +167,24 @@ def extended_set(bars: DataFrame) -> DataFrame:
     df = G.williams_r(df, (14, 21))
     df = G.roc(df, (5, 10, 20))
     df = S.atr(df, (14, 21), ratio=True)
-    df = E.volume_sma(df, (5, 10, 20))
+    df = E.volume_sma(df, (5, 10, 20, 50))
+    df = H.volume_return(df)
     df = G.obv(df)
     df = E.obv_smoothed(df)
     df = G.ad_line(df)
-    df = E.high_low_ratio(df, (5, 10, 20))
+    df = E.high_low_ratio(df, (1, 2, 3, 5, 10, 20))
+    df = E.support_resistance(df)
+    df = E.range_position(df, (20,))
     df = E.range_position(df, (20,), floor=1e-6)
     df = E.trend_vs_atr(df)
+    df = df.withColumns({**C.doji(), **C.hammer(2), **C.gap_flags()})
+    df = E.rolling_pack(df, ("close",), ratios=False)
     df = E.rolling_skew(df)
-    df = E.lags(df, ("rsi_sma_14", "volume_ratio_20"), (1, 2, 3, 5))
+    df = E.lags(df, ("rsi_sma_14", "macd_12_26_9_adj", "bb_position_20_2", "volume_ratio_20"), (1, 2, 3, 5))
     df = H.joint_signals(df)
+    if with_psar:
+        from barwise.operators.path import psar
+        df = df.join(psar(bars).select("symbol", "ts", "psar", "psar_trend"), ["symbol", "ts"], "left")
     return J.inf_to_null(df, J.numeric_cols(df))
 
 
@@ -173,10 +214,17 @@ def simple_set(bars: DataFrame) -> DataFrame:
     df = df.withColumns({**C.shadow_ratios(), **C.doji(), **C.gap_flags(), **C.trend_flags()})
     df = E.support_resistance(df)
     df = E.lags(df, ("rsi_14", "macd", "bb_position_20", "volume_ratio_20"), (1, 2, 3, 5))
-    return df
+    r, bb = F.col("rsi_14"), F.col("bb_position_20")
+    return with_cols(df, {"rsi_macd_bullish": flag((r > 50) & (F.col("macd_bullish") == 1)),
+                          "volume_momentum": F.col("volume_ratio_20") * F.col("return_1"),
+                          "bb_rsi_oversold": flag((bb < 0.2) & (r < 30)),
+                          "bb_rsi_overbought": flag((bb > 0.8) & (r > 70))})
 
 
-BASIC = {"sma_3": ("close", 3), "sma_5": ("close", 5), "sma_10": ("close", 10), "volume_sma_5": ("volume", 5),
+#: Feature -> the column it reads and the bars a symbol needs for it.
+BASIC = {"returns": ("close", 1), "price_change": ("close", 1), "price_range": ("high", 1),
+         "sma_3": ("close", 3), "sma_5": ("close", 5), "sma_10": ("close", 10),
+         "volume_sma_3": ("volume", 3), "volume_sma_5": ("volume", 5), "volume_sma_10": ("volume", 10),
          "volatility_5": ("returns", 5), "momentum_3": ("close", 3)}
 
 
@@ -187,8 +235,10 @@ def basic_set(bars: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     df = bars.withColumns({**C.returns((1,)), "_n": n})
     c = F.col("close")
-    raw = {"sma_3": sma("close", 3), "sma_5": sma("close", 5), "sma_10": sma("close", 10),
-           "volume_sma_5": sma("volume", 5), "volatility_5": rstd("returns", 5), "momentum_3": div(c, lag(c, 3)) - 1}
+    raw = {"returns": F.col("returns"), "price_change": c - F.col("open"), "price_range": F.col("high") - F.col("low"),
+           "sma_3": sma("close", 3), "sma_5": sma("close", 5), "sma_10": sma("close", 10),
+           "volume_sma_3": sma("volume", 3), "volume_sma_5": sma("volume", 5), "volume_sma_10": sma("volume", 10),
+           "volatility_5": rstd("returns", 5), "momentum_3": div(c, lag(c, 3)) - 1}
     df = df.withColumns({k: F.when(F.col("_n") >= BASIC[k][1], v) for k, v in raw.items()})
     cols = list(BASIC)
     df = J.bfill(J.ffill(df, cols), cols)

@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 
 from barwise.functions.core import flag, sma
 from barwise.operators.labels import targets
-from barwise.operators.scan import macd
+from barwise.operators.ranking import numbered
+from barwise.operators.scan import macd, macd_segmented
+from barwise.operators.segments import segmented
 from barwise.sources.bars import bars_brand
 
 SPEC = ("symbol:s, ts:t, close:d, sma_5:d, sma_20:d, macd:d4, macd_signal:d4, signal:s, "
         "n_signals:l, hit_rate:d")
 
 
-def flagship(spark: SparkSession, d: str, max_rows_per_task: int = 20_000_000) -> DataFrame:
-    from barwise.operators.scan import macd_segmented
-    from barwise.operators.segments import frames, largest_group
+def flagship(spark: SparkSession, d: str, skew_safe: bool = True) -> DataFrame:
+    """Windows by (symbol, block); ``skew_safe=False`` asks for plain per-symbol windows.
+
+    The block plan reads the bars several times, so they are built, ranked and checkpointed
+    once."""
     bars = bars_brand(spark, d)
-    # plan by measured skew: per-symbol windows unless one brand is larger than a task
-    hot = largest_group(bars)[0] > max_rows_per_task
-    f = frames(bars, lambda b: b.withColumns({"sma_5": sma("close", 5), "sma_20": sma("close", 20)}), 19,
-               max_rows_per_task=max_rows_per_task)
-    f = macd_segmented(f) if hot else macd(f)
+
+    def means(b):
+        return b.withColumns({"sma_5": sma("close", 5), "sma_20": sma("close", 20)})
+    f = macd_segmented(segmented(numbered(bars), means, lookback=19)) if skew_safe else macd(means(bars))
     f = targets(f, horizon=1, drop_last=False)
     up = (F.col("macd") > F.col("macd_signal")) & (F.col("sma_5") > F.col("sma_20"))
     dn = (F.col("macd") < F.col("macd_signal")) & (F.col("sma_5") < F.col("sma_20"))

@@ -60,4 +60,5 @@ def load_all() -> dict[str, Query]:
     from barwise.plans import (  # noqa: F401
         ingest_queries, feature_queries, scan_queries, prep_queries, model_queries,
         decision_queries, stream_queries, selection_queries, composite_queries, ml_queries)
+    from barwise.plans import composite_full_queries  # noqa: F401  (reads the others' oracles)
     return REGISTRY

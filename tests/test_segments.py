@@ -26,10 +26,10 @@ def test_segmented_equals_plain(brand):
 
 
 def test_hot_symbol_path_equals_plain(spark, sf):
-    # force the skew-safe plans with a tiny task limit: same flagship result
+    # the (symbol, block) plan and plain per-symbol windows: same flagship result
     from barwise.plans.flagship import flagship
-    a = flagship(spark, sf)
-    b = flagship(spark, sf, max_rows_per_task=10)
+    a = flagship(spark, sf, skew_safe=False)
+    b = flagship(spark, sf)
     cols = ["symbol", "ts", "signal", "n_signals"]
     assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
     j = a.alias("a").join(b.alias("b"), "symbol").select(
