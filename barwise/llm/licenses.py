@@ -5,9 +5,10 @@ licence family or "unknown"; its margin over unknown is calibrated on held-out p
 a family counts only if one of its templates is found in the paragraph.  Training and
 scoring are DataFrame functions and Spark ML.
 
-Features are 1- and 2-grams of template words that hold at least one *anchor*: a template
-word that is rare in the corpus' paragraphs.  A paragraph without an anchor has no feature,
-so the model gives it the same answer (unknown) without being asked.
+Features are the listed licence words and the templates' 2-grams, but for those of function
+words alone.  They follow from the templates, never from the corpus.  A paragraph without any
+has no feature, so the model gives it the same answer (unknown) without being asked, and no
+template could be found in it.
 """
 
 from __future__ import annotations
@@ -60,8 +61,16 @@ UNKNOWN = "unknown"
 SAMPLE_DOCS = 2_000
 NEGATIVES = 4_000
 VARIANTS = 12
-#: A template word is an anchor if under this share of sampled paragraphs has it.
-RARE = 0.01
+#: Template words that make a paragraph a candidate on their own.
+LICENSE_WORDS = frozenset(
+    "license licensed mit apache gnu lesser affero mozilla bsd 3-clause cc cc0 by-nc by-sa creative commons attribution "
+    "attribution-noncommercial attribution-sharealike copyright permission hereby granted redistribution redistribute "
+    "unencumbered waived".split())
+#: Words that are everywhere: a 2-gram of these alone makes no candidate.
+FUNCTION_WORDS = frozenset("a all and any are as by can following for free has in into is it its may not of on or that the "
+                           "this to under use with without you".split())
+#: A sampled paragraph with as many features is no example of an unknown one.
+AMBIGUOUS = 3
 #: Share of a template's 2-grams that a paragraph must hold to be confirmed.
 CONFIRM = 0.6
 
@@ -85,14 +94,29 @@ def _python_words(text: str) -> list[str]:
     return [x for x in (re.sub(r"^[.+-]+|[.+-]+$", "", w) for w in re.split(r"[^\w.+-]+", text.lower())) if x]
 
 
-def anchor_pattern(anchors: list[str]) -> str:
-    """Matches a text that holds an anchor; alternatives are grouped by first character."""
-    first: dict[str, list[str]] = {}
-    for a in sorted(anchors):
-        first.setdefault(a[0], []).append(a[1:])
+def features(templates) -> list[str]:
+    """The listed words of the templates, and their 2-grams that are not of function words alone."""
+    found = set()
+    for _, t in templates:
+        ws = _python_words(t)
+        found |= LICENSE_WORDS.intersection(ws)
+        found |= {f"{a} {b}" for a, b in zip(ws, ws[1:]) if not {a, b} <= FUNCTION_WORDS}
+    return sorted(found)
+
+
+def candidate_pattern(vocabulary: list[str]) -> str:
+    """Matches a text that holds one of the words or 2-grams, whatever stands between two words;
+    alternatives are grouped by first character and first word."""
+    first: dict[str, dict[str, list[str]]] = {}
+    for g in vocabulary:
+        a, _, b = g.partition(" ")
+        first.setdefault(a[0], {}).setdefault(a, []).append(b)
+    def word(a: str, after: list[str]) -> str:
+        rest = "" if "" in after else r"[^\p{L}\p{N}]+(?:" + "|".join(map(re.escape, after)) + ")"
+        return re.escape(a[1:]) + rest + r"(?![\p{L}\p{N}])"
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(
-        re.escape(c) + "(?:" + "|".join(re.escape(r) for r in rest) + ")" for c, rest in sorted(first.items())
-    ) + r")(?![\p{L}\p{N}])"
+        re.escape(c) + "(?:" + "|".join(word(a, bs) for a, bs in sorted(ws.items())) + ")" for c, ws in sorted(first.items())
+    ) + ")"
 
 
 class Model:
@@ -118,17 +142,13 @@ def train(spark: SparkSession, docs: DataFrame, templates=tuple(TEMPLATES), nega
     A variant drops about one word in ten and may sit between corpus-like words.  An empty
     corpus trains on the templates and ``OTHERS`` alone.
     """
-    known = {w for _, t in templates for w in _python_words(t)}
+    vocabulary = features(templates)
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     some = docs.select(key.alias("_key")).distinct().orderBy("_key").limit(SAMPLE_DOCS)
     sampled = docs.select("text", key.alias("_key")).join(F.broadcast(some), "_key").dropDuplicates(["_key"])
     sample = written(spark, paragraphs(sampled).select("paragraph").distinct()
                      .orderBy(F.xxhash64("paragraph"), "paragraph").limit(negatives), "license-sample")
-    size = max(1, sample.count())
-    seen = {r["w"]: r["n"] for r in sample.select(F.explode(F.array_distinct(words(F.col("paragraph")))).alias("w"))
-            .filter(F.col("w").isin(sorted(known))).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    anchors = sorted(w for w in known if len(w) > 1 and seen.get(w, 0) < RARE * size)
-    pattern = anchor_pattern(anchors)
+    pattern, listed = candidate_pattern(vocabulary), candidate_pattern([g for g in vocabulary if " " not in g])
     families = [UNKNOWN, *sorted({f for f, _ in templates})]
 
     base = literal_rows(spark, [(f, t, i) for i, (f, t) in enumerate(templates)], "family string, text string, no int")
@@ -136,7 +156,9 @@ def train(spark: SparkSession, docs: DataFrame, templates=tuple(TEMPLATES), nega
     kept = F.filter(words(F.col("text")), lambda w, i: (F.col("copy") == 0) | (F.pmod(F.xxhash64(
         F.lit(seed), F.col("no"), F.col("copy"), i), F.lit(10)) > 0))
     good = copies.select("family", kept.alias("ws"))
-    plain = sample.filter(~F.lower("paragraph").rlike(pattern)).select(F.lit(UNKNOWN).alias("family"), words(F.col("paragraph")).alias("ws"))
+    plain = sample.filter(~F.lower("paragraph").rlike(listed)).select(
+        F.lit(UNKNOWN).alias("family"), words(F.col("paragraph")).alias("ws")).filter(
+        F.size(F.array_intersect(grams(F.col("ws")), F.array(*map(F.lit, vocabulary)))) < AMBIGUOUS)
     other = literal_rows(spark, [(t,) for t in OTHERS], "text string").withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS * 4 - 1)))).select(
         F.lit(UNKNOWN).alias("family"), F.filter(words(F.col("text")), lambda w, i: F.pmod(F.xxhash64(
@@ -146,9 +168,6 @@ def train(spark: SparkSession, docs: DataFrame, templates=tuple(TEMPLATES), nega
         grams(F.col("ws")).alias("grams"), F.monotonically_increasing_id().alias("id")).withColumn("label", F.col("place") - 1),
         "license-train")
 
-    wanted = set(anchors)
-    vocabulary = sorted({g for _, t in templates for ws in [_python_words(t)]
-                         for g in [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))] if wanted & set(g.split(" "))})
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="x")
     counter = counter.setMinTF(1.0)
     held = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(3)) == 0

@@ -137,6 +137,27 @@ def test_licences_of_odd_rows_and_unknown_paragraphs(spark, odd, empty, model):
     assert licenses.document_licenses(spark, odd, licenses.train(spark, empty)).filter("licenses <> ''").count() == 0
 
 
+def test_every_confirmable_licence_is_a_candidate():
+    known = set(licenses.features(licenses.TEMPLATES))
+    for _, t in licenses.TEMPLATES:
+        ws = licenses._python_words(t)
+        two = {f"{a} {b}" for a, b in zip(ws, ws[1:])}
+        # a paragraph with the confirming share of the 2-grams holds a feature: its 2-gram or one of its words
+        bare = {g for g in two if g not in known and not known.intersection(g.split(" "))}
+        assert len(bare) < licenses.CONFIRM * len(two), t
+
+
+@pytest.mark.parametrize("notices", [1, 400])
+def test_licences_are_found_however_few_or_many_texts_speak_of_them(spark, notices):
+    texts = [f"Plain prose number {i} about rivers and hills." for i in range(9)]
+    texts += [f"Tool {i} is licensed under the MIT license of its author." for i in range(notices - 1)]
+    texts += ["Released under the MIT License."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.document_licenses(spark, df, licenses.train(spark, df)).collect()}
+    assert [got[i] for i in range(9)] == [""] * 9
+    assert [got[i] for i in range(9, len(texts))] == ["mit"] * notices
+
+
 # ---- 9: mixing
 
 def water(sizes, weights=(1, 2, 3), most=3):
