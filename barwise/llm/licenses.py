@@ -1,6 +1,7 @@
 """Operator 7: licence scans with a trained paragraph classifier.
 
-Paragraphs are lines.  A sparse (L1) multinomial logistic regression on word n-grams names a
+Paragraphs are runs of lines between blank ones (lines without a letter or digit), and each
+line by itself.  A sparse (L1) multinomial logistic regression on word n-grams names a
 licence family or "unknown"; its margin over unknown is calibrated on held-out paragraphs;
 a family counts only if one of its templates is found in the paragraph.  Training and
 scoring are DataFrame functions and Spark ML.
@@ -74,6 +75,8 @@ AMBIGUOUS = 3
 #: Share of a template's 2-grams that a paragraph must hold to be confirmed.
 CONFIRM = 0.6
 
+#: From the end of a paragraph to the start of the next: at least one line without letter or digit.
+BLANK = r"\n[^\p{L}\p{N}]*\n"
 _WORD = r"[^\p{L}\p{N}.+-]+"
 
 
@@ -84,10 +87,12 @@ def words(text: Column) -> Column:
 
 
 def grams(ws: Column) -> Column:
-    """Distinct 1- and 2-grams."""
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 1, F.lit(1))),
-                      lambda i: F.concat_ws(" ", F.slice(ws, i, F.lit(2))))
-    return F.array_distinct(F.concat(ws, two))
+    """Distinct 1- and 2-grams.  ``ws`` is bound first, so that its words are made once."""
+    def made(w: Column) -> Column:
+        # the last word has no next and stays alone, a 1-gram once more
+        two = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+        return F.array_distinct(F.concat(w, two))
+    return F.get(F.transform(F.array(ws), made), 0)
 
 
 def _python_words(text: str) -> list[str]:
@@ -128,10 +133,15 @@ class Model:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(h, n, at, paragraph) of every non-blank line; h and n identify the text."""
+    """(h, n, run, line, paragraph) of every non-blank line, and of every run of lines between
+    blank ones (line -1; a run of one line is that line); h and n identify the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return (docs.select(F.xxhash64(text).alias("h"), F.length(text).alias("n"),
-                        F.posexplode(F.split(text, r"\n")).alias("at", "paragraph"))
+    runs = docs.select(F.xxhash64(text).alias("h"), F.length(text).alias("n"),
+                       F.posexplode(F.split(text, BLANK)).alias("run", "body"))
+    lines = F.split("body", r"\n")
+    each = F.transform(lines, lambda l, i: F.struct(i.alias("line"), l.alias("paragraph")))
+    whole = F.struct(F.lit(-1).alias("line"), F.col("body").alias("paragraph"))
+    return (runs.select("h", "n", "run", F.inline(F.when(F.size(lines) > 1, F.array_append(each, whole)).otherwise(each)))
             .filter(F.length(F.trim("paragraph")) > 0))
 
 
@@ -146,7 +156,7 @@ def train(spark: SparkSession, docs: DataFrame, templates=tuple(TEMPLATES), nega
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     some = docs.select(key.alias("_key")).distinct().orderBy("_key").limit(SAMPLE_DOCS)
     sampled = docs.select("text", key.alias("_key")).join(F.broadcast(some), "_key").dropDuplicates(["_key"])
-    sample = written(spark, paragraphs(sampled).select("paragraph").distinct()
+    sample = written(spark, paragraphs(sampled).filter("line >= 0").select("paragraph").distinct()
                      .orderBy(F.xxhash64("paragraph"), "paragraph").limit(negatives), "license-sample")
     pattern, listed = candidate_pattern(vocabulary), candidate_pattern([g for g in vocabulary if " " not in g])
     families = [UNKNOWN, *sorted({f for f, _ in templates})]
@@ -208,32 +218,47 @@ def _margins(rows: DataFrame, model: Model, key: list[str]) -> DataFrame:
 
 
 def scan(spark: SparkSession, docs: DataFrame, model: Model, templates=tuple(TEMPLATES)) -> DataFrame:
-    """Licence paragraphs ``(h, n, at, family, probability, likeness, confirmed)`` of all texts,
-    each distinct text once (h, n: its hash and length); unknown ones are left out."""
+    """Licence paragraphs ``(h, n, run, line, family, probability, likeness, confirmed)`` of all
+    texts, each distinct text once (h, n: its hash and length); unknown ones are left out."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     some = docs.filter(F.lower(text).rlike(model.pattern))
-    asked = written(spark, paragraphs(some).filter(F.lower("paragraph").rlike(model.pattern)), "license-paragraphs")
-    asked = asked.dropDuplicates(["h", "n", "at"]).select("h", "n", "at", grams(words(F.col("paragraph"))).alias("grams"))
+    of_templates = sorted({g for _, t in templates for ws in [_python_words(t)]
+                           for g in [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))]})
+    key = ["h", "n", "run", "line"]
+    asked = written(spark, paragraphs(some).filter(F.lower("paragraph").rlike(model.pattern)).select(*key, F.array_intersect(
+        grams(words(F.col("paragraph"))), F.array(*map(F.lit, of_templates))).alias("grams")), "license-paragraphs")
+    asked = asked.dropDuplicates(key)
     names = F.array(*[F.lit(f) for f in model.families])
-    found = _margins(asked, model, ["h", "n", "at"]).withColumn(
+    found = _margins(asked, model, key).withColumn(
         "probability", 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.shift)))).filter("probability >= 0.5")
-    found = found.select("h", "n", "at", F.get(names, F.col("family")).alias("family"), "probability")
+    found = found.select(*key, F.get(names, F.col("family")).alias("family"), "probability")
     known = literal_rows(spark, templates, "family string, template string").select(
         "family", F.filter(grams(words(F.col("template"))), lambda g: F.contains(g, F.lit(" "))).alias("shape"))
     like = F.size(F.array_intersect("grams", "shape")) / F.size("shape")
-    judged = found.join(asked, ["h", "n", "at"]).join(F.broadcast(known), "family")
-    return judged.groupBy("h", "n", "at", "family", "probability").agg(F.max(like).alias("likeness")).withColumn(
+    judged = found.join(asked, key).join(F.broadcast(known), "family")
+    return judged.groupBy(*key, "family", "probability").agg(F.max(like).alias("likeness")).withColumn(
         "confirmed", F.col("likeness") >= CONFIRM)
 
 
 def document_licenses(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """A row for each row of ``docs``: doc_id, ``licenses`` (confirmed families, sorted and
     comma-joined; empty for none), ``n_confirmed`` and ``n_unconfirmed`` paragraphs.
+    A run of lines counts only for what its lines do not show: confirmed, if none of them is
+    for its family (whose unconfirmed lines are then parts of it); unconfirmed, if none is named.
     Null texts are empty; repeated rows, ties and null ids are kept."""
-    found = scan(spark, docs, model).groupBy("h", "n").agg(
-        F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family"))))).alias("licenses"),
-        F.count(F.when(F.col("confirmed"), 1)).alias("n_confirmed"),
-        F.count(F.when(~F.col("confirmed"), 1)).alias("n_unconfirmed"))
+    line, sure = F.col("line") >= 0, F.col("confirmed")
+    of_family = scan(spark, docs, model).groupBy("h", "n", "run", "family").agg(
+        F.count(F.when(line & sure, 1)).alias("yes"), F.count(F.when(line & ~sure, 1)).alias("no"),
+        F.count(F.when(~line & sure, 1)).alias("run_yes"), F.count(F.when(~line & ~sure, 1)).alias("run_no"))
+    joined = (F.col("yes") == 0) & (F.col("run_yes") > 0)
+    of_run = of_family.groupBy("h", "n", "run").agg(
+        F.collect_set(F.when((F.col("yes") > 0) | joined, F.col("family"))).alias("families"),
+        F.sum(F.when(joined, 1).otherwise(F.col("yes"))).alias("yes"), F.sum(F.when(joined, 0).otherwise(F.col("no"))).alias("no"),
+        F.sum(F.col("yes") + F.col("no")).alias("lines"), F.sum("run_no").alias("run_no"))
+    found = of_run.groupBy("h", "n").agg(
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_list("families"))))).alias("licenses"),
+        F.sum("yes").alias("n_confirmed"),
+        F.sum(F.when(F.col("lines") == 0, F.col("run_no")).otherwise(F.col("no"))).alias("n_unconfirmed"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
     return rows.join(found, ["h", "n"], "left").select(

@@ -147,6 +147,37 @@ def test_every_confirmable_licence_is_a_candidate():
         assert len(bare) < licenses.CONFIRM * len(two), t
 
 
+WRAPPED = [
+    ("gpl", """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""),
+    ("lgpl", """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either"""),
+    ("bsd", """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions
+// are met:"""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any\r
+purpose with or without fee is hereby granted, provided that the above\r
+copyright notice and this permission notice appear in all copies."""),
+    ("mit", """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software"""),
+]
+
+
+def test_wrapped_notices_are_put_together(spark, model):
+    before, after = "int main() { return 0; }\n\nSome prose above.\n", "\nProse below.\n \nThe end."
+    texts = [(i, before + t + after) for i, (_, t) in enumerate(WRAPPED)]
+    texts += [(10, "Prose.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.\nProse."),
+              (11, "This program is free software: you can redistribute\n\nit under the terms of the harbour office")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.document_licenses(spark, df, model).collect()}
+    assert [(got[i]["licenses"], got[i]["n_confirmed"]) for i in range(len(WRAPPED))] == [(f, 1) for f, _ in WRAPPED]
+    assert (got[10]["licenses"], got[10]["n_confirmed"]) == ("apache,mit", 2) and got[11]["licenses"] == ""
+
+
 @pytest.mark.parametrize("notices", [1, 400])
 def test_licences_are_found_however_few_or_many_texts_speak_of_them(spark, notices):
     texts = [f"Plain prose number {i} about rivers and hills." for i in range(9)]
