@@ -38,6 +38,10 @@ def lower_cases(config: dict) -> bool:
     return any(p.get("type") == "Lowercase" for p in norm.get("normalizers", [norm]))
 
 
+#: An ASCII capital before a combining mark: the library composes the two before it lower-cases,
+#: and some composed forms have lower case only.
+COMPOSES = r"[A-Z]\p{M}"
+
 #: ASCII punctuation that may follow a letter or digit without touching its ids (no
 #: apostrophe: it binds to letters).
 TAIL = b".,!?;:|*$%&#"
@@ -137,15 +141,17 @@ class ChunkEncoder:
         """ids of all texts (strings without nulls) in a row, and the number of each."""
         low = pc.ascii_lower(texts)
         held = np.ones(len(texts), bool) if not self.by_chunk else self._held(low)
+        # lower-cased early for more hits of the memo, where that changes no id
+        asked = pc.if_else(pc.match_substring_regex(texts, COMPOSES), texts, low) if self.lower else texts
         if not held.any():
-            return self._by_chunk(low if self.lower else texts)
+            return self._by_chunk(asked)
         # texts one after the other, those that are asked whole in their places
         parts = []
         for i, whole in enumerate(held.tolist()):
             if whole:
                 parts.append(np.frombuffer(self._ask([texts[i].as_py().encode()])[0], "<u4"))
             else:
-                parts.append(self._by_chunk((low if self.lower else texts).slice(i, 1))[0])
+                parts.append(self._by_chunk(asked.slice(i, 1))[0])
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
     def _by_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -48,6 +48,16 @@ def test_chunk_ids_equal_the_librarys(t):
 ENC, CODEC = ChunkEncoder(WORD), lexicon.Codec(BYTE, None)
 
 
+def test_capitals_before_combining_marks_keep_the_library_s_ids():
+    lib = Tokenizer.from_str(WORD.decode())
+    texts = [f"{c}{mark}{end}" for c in "AHIJKTWYZ" for mark in "\u0301\u0307\u0308\u030a\u030c\u0331\u0308\u0301"
+             for end in ("", "arim Plain WORDS", ".", "\u0323 x")] + ["J\u030carir Plain", "PLAIN Ünd TH\u0331"]
+    ids, n = ENC.encode(pa.array(texts))
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_codec_equals_the_library(t):
