@@ -38,14 +38,26 @@ def root(tree: Column) -> Column:
     return F.sha2(F.concat_ws("", section_hashes(tree)), 256)
 
 
+def runs(text: Column) -> Column:
+    """Distinct hashes of the text's runs of three characters; none for an empty text."""
+    def made(c: Column) -> Column:
+        return F.transform(F.slice(c, F.lit(1), F.greatest(F.lit(1), F.size(c) - 2)), lambda x, i: F.xxhash64(
+            F.concat_ws("", x, F.get(c, i + 1), F.get(c, i + 2))))
+    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(
+        F.array_distinct(F.get(F.transform(F.array(F.split(text, "")), made), 0)))
+
+
 def phrases(text: Column) -> Column:
-    """Distinct phrase hashes of the text; of a text under ``SHORT`` code points, those of its
-    runs of three characters; none for an empty one."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)),
-                       lambda i: F.xxhash64(F.substring(text, i, F.lit(3))))
+    """Distinct phrase hashes of the text; none for an empty one."""
     cut = F.transform(F.split(text, PHRASE), lambda x: F.xxhash64(F.trim(x)))
-    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.array_distinct(F.when(F.length(text) < SHORT, runs).otherwise(cut)))
+    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(cut))
+
+
+def pieces(a: Column, b: Column) -> tuple[Column, Column]:
+    """Hashes of two texts by the same kind of pieces: runs of three characters if either
+    text is under ``SHORT`` code points, else phrases."""
+    short = F.least(F.length(a), F.length(b)) < SHORT
+    return F.when(short, runs(a)).otherwise(phrases(a)), F.when(short, runs(b)).otherwise(phrases(b))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -144,11 +156,12 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     pairs = with_next(spark, table(spark, sf_dir, "documents"))
     made = pairs.withColumn("changed", edited(F.col("text"), F.col("next")))
+    old, new = pieces(F.col("text"), F.col("changed"))
+    here, there = pieces(F.col("text"), F.col("next"))
     trees = made.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"),
                         sections(F.col("text")).alias("tree"), sections(F.col("changed")).alias("edited_tree"),
-                        phrases(F.col("text")).alias("a"), phrases(F.col("changed")).alias("b"),
-                        phrases(F.col("next")).alias("c"))
+                        old.alias("old"), new.alias("new"), here.alias("here"), there.alias("there"))
     return trees.select("doc_id", "n_chars", "edited_sha256", root(F.col("tree")).alias("fingerprint"),
                         root(F.col("edited_tree")).alias("edited_fingerprint"),
-                        likeness(F.col("a"), F.col("b")).alias("near_edited"),
-                        likeness(F.col("a"), F.col("c")).alias("near_next"))
+                        likeness(F.col("old"), F.col("new")).alias("near_edited"),
+                        likeness(F.col("here"), F.col("there")).alias("near_next"))

@@ -39,6 +39,20 @@ def test_op5_edits(spark, sf, docs, monkeypatch, size):
     assert np.mean([r["near_edited"] > r["near_next"] for r in got]) > 0.97
 
 
+def near(spark, a, b):
+    left, right = merkle.pieces(F.col("a"), F.col("b"))
+    return spark.createDataFrame([(a, b)], "a string, b string").select(merkle.likeness(left, right)).first()[0]
+
+
+def test_texts_on_either_side_of_the_short_length_are_compared(spark):
+    text = "".join(f"word{i} and more, " for i in range(20))[:229]
+    assert near(spark, text, text[:165]) > 0.7 and near(spark, text[:205], text[:195]) > 0.9
+    assert near(spark, text, "QQQ") == 0 and near(spark, text, "") == 0 and near(spark, "", "") == 1
+    got = spark.createDataFrame([("äb😀d",), ("ab",), ("",)], "t string").select(merkle.runs(F.col("t")), F.array(
+        F.xxhash64(F.lit("äb😀")), F.xxhash64(F.lit("b😀d"))), F.array(F.xxhash64("t"))).collect()
+    assert got[0][0] == got[0][1] and got[1][0] == got[1][2] and got[2][0] == []
+
+
 @pytest.mark.parametrize("size", [2, 1024])
 def test_next_of_odd_rows(spark, odd, empty, monkeypatch, size):
     monkeypatch.setattr(merkle, "ROWS_A_BUCKET", size)
