@@ -53,6 +53,17 @@ def test_texts_on_either_side_of_the_short_length_are_compared(spark):
     assert got[0][0] == got[0][1] and got[1][0] == got[1][2] and got[2][0] == []
 
 
+@pytest.mark.parametrize("alphabet", ["的一是不了人我在有他这为之大来以个中上们", "のにはをたがでてとしれさあいうえお", "αβγδεζηθικλμ",
+                                      "бвгдежзиклмн ", "ACGT", "0123456789abcdf"])
+def test_likeness_of_long_texts_without_latin_phrases(spark, alphabet):
+    drawn = np.random.default_rng(5).integers(0, len(alphabet), (2, 600))
+    text, other = ("".join(alphabet[i] for i in row) for row in drawn)
+    assert near(spark, text, text[:400] + other[:200]) > 0.4
+    assert near(spark, text, text[:250] + "!" + text[251:]) > 0.9
+    assert near(spark, text, other) < near(spark, text, text[:400] + other[:200])
+    assert "".join(spark.createDataFrame([(text,)], "t string").select(merkle.finer(F.col("t"))).first()[0]) == text
+
+
 @pytest.mark.parametrize("size", [2, 1024])
 def test_next_of_odd_rows(spark, odd, empty, monkeypatch, size):
     monkeypatch.setattr(merkle, "ROWS_A_BUCKET", size)
