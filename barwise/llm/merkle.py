@@ -1,4 +1,4 @@
-"""Operator 5: document fingerprints as Merkle trees over sections, paragraphs and phrases.
+"""Operator 5: document fingerprints as Merkle trees over sections and paragraphs.
 
 A text is cut at content: sections end at blank lines and before lines that start with a
 mark or with a letter of ``SECTION_STARTS``; paragraphs are lines; phrases end at white space
@@ -6,7 +6,7 @@ after a mark or after one of a few common last letters, and long ones, whatever
 also after runs of characters with a fixed hash residue.  So an edit moves no other border.
 A paragraph's hash is SHA-256 of its text, a section's of its paragraphs' hashes, and the
 root's of its sections': equal roots mean equal texts, and unequal branches lead to the
-edits.  Phrase hashes give the likeness of two trees.  All of it is DataFrame functions.
+edits.  Phrase hashes, beside the tree, give the likeness of two texts.  All of it is DataFrame functions.
 """
 
 from __future__ import annotations
