@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barwise.llm.alignment import op13_alignment
 from barwise.llm.hamming import OP1_SQL, op1_hamming_topk
 from barwise.llm.lexicon import op3_bpe_lexicon
 from barwise.llm.licenses import op7_licenses
@@ -19,6 +20,6 @@ from barwise.llm.urls import OP2_SQL, op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_hamming_topk, op2_url_filter, op3_bpe_lexicon, op4_simhash, op5_merkle, op6_quality,
-                            op7_licenses, op8_simple8b, op9_mixing, op10_separator_scan)}
+                            op7_licenses, op8_simple8b, op9_mixing, op10_separator_scan, op13_alignment)}
 
 ORACLES: dict[str, str] = {"op1_hamming_topk": OP1_SQL, "op2_url_filter": OP2_SQL}
