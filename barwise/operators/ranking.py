@@ -76,32 +76,162 @@ def numbered(bars: DataFrame, key: str = "symbol", order: str = "ts") -> DataFra
     return r.checkpoint()
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], group: list[str] | None = None,
-                    buckets: int = 64) -> DataFrame:
+#: Rank error of the first look at a column, as a share of its rows: one in so many; brackets stand MARGIN errors away.
+ACCURACY, MARGIN = 10_000, 10
+#: Values of a column, or between a wanted rank's brackets, that are collected and sorted at last; more are bracketed
+#: (again).  A column of more values has MARGIN / ACCURACY * HELD ranks between rank and bracket at least.
+HELD = 8_192
+#: Steps of the grid by which too wide brackets are narrowed.
+GRID = 128
+#: Features looked at together: the width of one aggregate.
+TOGETHER = 16
+
+
+def _known(c: str) -> Column:
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _between(x: Column, lo: Column, hi: Column) -> Column:
+    return F.when((x > lo) & (x < hi), x)
+
+
+def _ranks(n: Column, p: float) -> tuple[Column, Column]:
+    """0-based ranks around the quantile, NaN counted last."""
+    at = (n - 1) * F.lit(p)
+    return F.floor(at), F.ceil(at)
+
+
+def _brackets(df: DataFrame, cols: list[str], probs: list[float], group: list[str]) -> DataFrame:
+    """A row a group: count ``n<i>`` and, for every feature i and probability j, values ``lo<i>_<j>`` and ``hi<i>_<j>`` around
+    the quantile, from one bounded digest a feature."""
+    step = MARGIN / ACCURACY
+    asked = sorted({q for p in probs for q in (p - step, p + step) if 0 < q < 1})
+    look = F.approx_percentile
+    row = df.groupBy(*group).agg(*[a for i, c in enumerate(cols) for a in (
+        F.count(F.col(f"`{c}`")).alias(f"n{i}"), *([look(_known(c), asked, ACCURACY).alias(f"a{i}")] if asked else []))])
+
+    def side(i: int, q: float, end: float) -> Column:
+        return F.coalesce(F.get(f"a{i}", F.lit(asked.index(q))), F.lit(end)) if 0 < q < 1 else F.lit(end)
+
+    inf = float("inf")
+    return row.select(*group, *[f"n{i}" for i in range(len(cols))], *[s for i in range(len(cols)) for j, p in enumerate(probs) for s in (
+        side(i, p - step, -inf).alias(f"lo{i}_{j}"), side(i, p + step, inf).alias(f"hi{i}_{j}"))])
+
+
+def _counted(df: DataFrame, cols: list[str], probs: list[float], group: list[str], at, extra) -> DataFrame:
+    """A row a group: values under, at and between the brackets, and ``extra`` of those between, or all values where they are
+    few; ``at(name)`` gives the brackets."""
+    aggs = []
+    for i, c in enumerate(cols):
+        few = at(f"n{i}") <= HELD
+        x = _known(c)
+        aggs += [F.max(at(f"n{i}")).alias(f"n{i}"), F.count(x).alias(f"m{i}"), F.collect_list(F.when(few, x)).alias(f"all{i}")]
+        x = F.when(~few, x)
+        for j in range(len(probs)):
+            k = f"{i}_{j}"
+            lo, hi = at(f"lo{k}"), at(f"hi{k}")
+            aggs += [F.max(lo).alias(f"lo{k}"), F.max(hi).alias(f"hi{k}"), F.count_if(x < lo).alias(f"lt{k}"),
+                     F.count_if(x == lo).alias(f"eq{k}"), F.count(_between(x, lo, hi)).alias(f"mid{k}"),
+                     extra(_between(x, lo, hi)).alias(f"x{k}")]
+    return df.groupBy(*group).agg(*aggs)
+
+
+def _narrowed(counted: DataFrame, cols: list[str], probs: list[float], group: list[str]) -> DataFrame:
+    """Closer brackets from the grids of :func:`_counted`; brackets whose quantile is one of their ends close on it."""
+    out = [F.col(f"n{i}") for i in range(len(cols))]
+    for i in range(len(cols)):
+        for j, p in enumerate(probs):
+            k = f"{i}_{j}"
+            lo, hi, mid, grid = (F.col(f"{s}{k}") for s in ("lo", "hi", "mid", "x"))
+            first, last = (r - F.col(f"lt{k}") - F.col(f"eq{k}") for r in _ranks(F.col(f"n{i}"), p))
+            last = F.least(last, F.greatest(mid, F.lit(1)))     # NaN ranks need no bracket
+            below = F.floor(first * GRID / mid) - 1
+            above = F.floor(last * GRID / mid) + 2
+            out += [F.when(first >= mid, hi).when((first < 0) | (below < 0), lo).otherwise(F.get(grid, below.cast("int"))).alias(f"lo{k}"),
+                    F.when(last < 0, lo).when((last >= mid) | (above > GRID), hi).otherwise(F.get(grid, above.cast("int"))).alias(f"hi{k}")]
+    return counted.select(*group, *out)
+
+
+def _quantile_rows(counted: DataFrame, cols: list[str], probs: list[float], group: list[str]) -> DataFrame:
+    """``(*group, feature, prob, value)`` from counts and the sorted values between the brackets."""
+    def value(i: int, j: int, rank: Column) -> Column:
+        k = f"{i}_{j}"
+        inner = rank - F.col(f"lt{k}") - F.col(f"eq{k}")
+        return F.when(rank >= F.col(f"m{i}"), F.lit(float("nan"))).when(
+            F.col(f"n{i}") <= HELD, F.get(F.sort_array(f"all{i}"), rank.cast("int"))).when(inner < 0, F.col(f"lo{k}")).when(
+            inner < F.col(f"mid{k}"), F.get(F.sort_array(f"x{k}"), inner.cast("int"))).otherwise(F.col(f"hi{k}"))
+
+    cells = []
+    for i, c in enumerate(cols):
+        n = F.col(f"n{i}")
+        for j, p in enumerate(probs):
+            lower, upper = _ranks(n, p)
+            part = (n - 1) * F.lit(p) - lower
+            a, b = value(i, j, lower), value(i, j, upper)
+            cells.append(F.when(n > 0, F.struct(F.lit(c).alias("feature"), F.lit(p).alias("prob"),
+                                                F.when((part == 0) | (a == b), a).otherwise(a + (b - a) * part).alias("value"))))
+    return counted.select(*group, F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("_q")).select(*group, "_q.*")
+
+
+def _narrow(df: DataFrame, state: DataFrame, cols: list[str], probs: list[float], group: list[str], joined) -> DataFrame:
+    """Brackets of ``state`` with at most HELD values between each, pass after pass over the rows."""
+    grid = [k / GRID for k in range(GRID + 1)]
+    widest = F.greatest(F.lit(0), *[F.coalesce(f"mid{i}_{j}", F.lit(0)) for i in range(len(cols)) for j in range(len(probs))])
+    while True:
+        rows, at = joined(df, state)
+        counted = _counted(rows, cols, probs, group, at, lambda v: F.approx_percentile(v, grid, ACCURACY)).checkpoint()
+        if (counted.agg(F.max(widest)).first()[0] or 0) <= HELD:
+            return state
+        state = _narrowed(counted, cols, probs, group).checkpoint()
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], group: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/pandas default, DuckDB ``quantile_cont``).
 
-    Long output ``(*group, feature, prob, value)``: values are unpivoted, ranked by the
-    bucketed global rank, and only the two neighbour ranks of each quantile are kept.
+    Long output ``(*group, feature, prob, value)``; null is missing, NaN is the greatest value; a feature without
+    values has no row.  No row is multiplied by features: one wide aggregate brackets every wanted rank by a
+    bounded digest, a second one counts exactly what lies under, at and between the brackets and collects only the values
+    strictly between (ties at a bracket are counted, not kept).  Where that would be more than HELD,
+    further passes narrow the brackets first.  Groups that large are few, so their brackets are broadcast.
     """
+    from barwise.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     group = group or []
-    long = df.select(*group, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
-                                                           F.col(c).cast("double").alias("value"))
-                                                 for c in cols])).alias("_kv")) \
-             .select(*group, "_kv.feature", "_kv.value").filter(F.col("value").isNotNull())
-    ranked = global_rank(long, [*group, "feature"], ["value"], buckets)
-    pos = [((F.col("n") - 1) * p, p) for p in probs]
-    keep = F.lit(False)
-    for x, _ in pos:
-        keep = keep | (F.col("rank") == F.floor(x) + 1) | (F.col("rank") == F.ceil(x) + 1)
-    # only the neighbour ranks survive (2 rows per quantile), then pair them up
-    near = ranked.filter(keep).select(*group, "feature", "value", "rank", "n",
-                                      F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
-    x = (F.col("n") - 1) * F.col("prob")
-    near = near.filter((F.col("rank") == F.floor(x) + 1) | (F.col("rank") == F.ceil(x) + 1))
-    agg = near.groupBy(*group, "feature", "prob").agg(
-        F.max(F.when(F.col("rank") == F.floor(x) + 1, F.col("value"))).alias("_vlo"),
-        F.max(F.when(F.col("rank") == F.ceil(x) + 1, F.col("value"))).alias("_vhi"),
-        F.first("n").alias("_n"))
-    frac = (F.col("_n") - 1) * F.col("prob") - F.floor((F.col("_n") - 1) * F.col("prob"))
-    return agg.select(*group, "feature", "prob",
-                      (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("value"))
+    out = None
+    for k in range(0, len(cols), TOGETHER):
+        part = _quantiles_of(df.select(*group, *cols[k:k + TOGETHER]), cols[k:k + TOGETHER], probs, group)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _quantiles_of(df: DataFrame, cols: list[str], probs: list[float], group: list[str]) -> DataFrame:
+    # values between brackets at most
+    most = (2 * MARGIN + 2) * F.greatest(F.lit(0), *[F.col(f"n{i}") for i in range(len(cols))]) / ACCURACY
+    state = _brackets(df, cols, probs, group)
+    if not group:                           # one row: its values go into the plan
+        def literal(rows: DataFrame, known: DataFrame):
+            held = known.first()
+            return rows, lambda name: F.lit(held[name])
+
+        state = state.checkpoint()
+        if state.select(most > HELD).first()[0]:
+            state = _narrow(df, state, cols, probs, group, literal)
+        rows, at = literal(df, state)
+        return _quantile_rows(_counted(rows, cols, probs, group, at, F.collect_list), cols, probs, group)
+
+    def joined(rows: DataFrame, known: DataFrame):
+        return rows.join(known, group), F.col
+
+    def spread(rows: DataFrame, known: DataFrame):
+        return rows.join(F.broadcast(known), group), F.col
+
+    state = state.checkpoint()
+    large = state.filter(most > HELD).checkpoint()      # at most one in 3.7 million rows
+    if large.isEmpty():
+        rows, at = joined(df, state)
+        return _quantile_rows(_counted(rows, cols, probs, group, at, F.collect_list), cols, probs, group)
+    rows, at = joined(df.join(F.broadcast(large.select(*group)), group, "left_anti"), state)
+    small = _quantile_rows(_counted(rows, cols, probs, group, at, F.collect_list), cols, probs, group)
+    rows, at = spread(df, _narrow(df, large, cols, probs, group, spread))
+    return small.unionAll(_quantile_rows(_counted(rows, cols, probs, group, at, F.collect_list), cols, probs, group))
