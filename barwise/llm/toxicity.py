@@ -39,7 +39,7 @@ LEAST = 0.3
 #: A chunk without white space longer than this is read as words of ``PIECE`` characters that overlap by one n-gram.
 LONG_WORD, PIECE = 48, 24
 #: Distinct chunks a worker remembers at most, and windows scored together; both bear on time only.
-MEMO, BATCH = 300_000, 2_048
+MEMO, BATCH = 600_000, 2_048
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -57,15 +57,14 @@ def words_of(text: bytes) -> list[bytes]:
     return chunks
 
 
+#: Marks that do not belong to the word they stand beside.
+MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”„‘’…–—"
+
+
 def _bare(chunk: bytes) -> str:
     """Lower case, without marks around it."""
     s = chunk.decode("utf-8", "replace").lower()
-    a, b = 0, len(s)
-    while a < b and not s[a].isalnum():
-        a += 1
-    while b > a and not s[b - 1].isalnum():
-        b -= 1
-    return s[a:b] or s
+    return s.strip(MARKS) or s
 
 
 def rows_of(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
