@@ -8,10 +8,11 @@ reference fits on all rows; ``fit_where=None`` reproduces that).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwise.operators.ranking import exact_quantiles
+from barwise.operators.segments import carried
 
 INF = float("inf")
 
@@ -120,14 +121,12 @@ def clip_counts(df: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def ffill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Last non-null value so far, per symbol in time order."""
-    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    return carried(df, cols)
 
 
 def bfill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Next non-null value (uses the future; the reference applies it before the split)."""
-    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in cols})
+    return carried(df, cols, backward=True)
 
 
 def median_fill(df: DataFrame, cols: list[str], fit_where: Column | None = None) -> DataFrame:

@@ -11,7 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwise.operators.ranking import exact_quantiles, global_rank
+from barwise.operators.ranking import exact_quantiles
+from barwise.operators.segments import last_rows
 
 KEY = ["symbol", "ts"]
 
@@ -25,14 +26,12 @@ def stable(x):
 def latest_quote(bars: DataFrame) -> DataFrame:
     """Last close, change and change % against the previous bar, volume, high, low.
 
-    Two aggregates (last bar, then the last bar before it) instead of a per-symbol sort.
+    One pass; two bars of a symbol at most leave a task.
     """
-    last = bars.groupBy("symbol").agg(F.max_by(F.struct("ts", "close", "volume", "high", "low"), "ts").alias("l"))
-    last = last.select("symbol", "l.*")
-    prev = bars.join(last.select("symbol", F.col("ts").alias("_last")), "symbol") \
-               .filter(F.col("ts") < F.col("_last")) \
-               .groupBy("symbol").agg(F.max_by("close", "ts").alias("prev_close"))
-    q = last.join(prev, "symbol", "left")
+    one = F.struct("ts", "close", "volume", "high", "low")
+    q = last_rows(bars, 2).groupBy("symbol").agg(F.max(F.when(F.col("_k") == 1, one)).alias("l"),
+                                                 F.max(F.when(F.col("_k") == 2, F.col("close"))).alias("prev_close"))
+    q = q.select("symbol", "l.*", "prev_close")
     return q.withColumns({"change": F.col("close") - F.col("prev_close"),
                           "change_pct": F.try_divide(F.col("close") - F.col("prev_close"), F.col("prev_close")) * 100})
 
@@ -51,9 +50,8 @@ def describe(bars: DataFrame, cols=("close", "volume")) -> DataFrame:
 
 
 def tail(bars: DataFrame, n: int = 5) -> DataFrame:
-    """Last n bars of each symbol (bucketed rank, no per-symbol sort) and the extent."""
-    r = global_rank(bars.withColumn("_neg", -F.unix_micros(F.col("ts").cast("timestamp"))), ["symbol"], ["_neg"])
-    return r.filter(F.col("rank") <= n).drop("_neg", "n").withColumnRenamed("rank", "pos_from_end")
+    """Last n bars of each symbol (n of a symbol at most leave a task) and the extent."""
+    return last_rows(bars, n, place="pos_from_end")
 
 
 def extent(bars: DataFrame) -> DataFrame:
@@ -137,9 +135,8 @@ def context(bars: DataFrame, n: int = 20) -> DataFrame:
     """On each symbol's last 20 bars: MA5, MA20, trend, RSI (pct form), annualised
     volatility of the % changes and their bands."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    last = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
     r = F.try_divide(F.col("close"), F.lag("close").over(w)) - 1
-    b = bars.withColumns({"_r": r, "_k": F.row_number().over(last)})
+    b = last_rows(bars, n + 1).withColumn("_r", r)      # n + 1 rows of a symbol: the windows are as short
     b = b.withColumn("_r", F.when(F.col("_k") <= n - 1, F.col("_r")))   # changes inside the last n bars
     fr = lambda k: w.rowsBetween(-(k - 1), 0)
     g = F.when(F.col("_r") > 0, F.col("_r")).when(F.col("_r").isNotNull(), 0.0)

@@ -163,26 +163,22 @@ def mfi(df: DataFrame, w: int = 14) -> DataFrame:
 
 
 # ---------------------------------------------------------------- skew-safe cumulative forms
-def cumulative_segmented(df: DataFrame, steps: dict) -> DataFrame:
-    """Running sums over each symbol's history without a per-symbol window: the step
-    (it may need the previous bar) comes from the (symbol, block) runner, the running sum
-    from the bucketed ordered cumulative sum (bucket offsets + in-bucket windows)."""
+def volume_steps(df: DataFrame) -> DataFrame:
+    """What each bar adds to OBV, VPT and the A/D line (one bar back)."""
+    c, v = bar_cols("close", "volume")
+    return with_cols(df, {"_st_obv": F.coalesce(F.signum(c - lag(c)) * v, F.lit(0.0)),
+                          "_st_vpt": F.coalesce(v * (div(c, lag(c)) - 1), F.lit(0.0)), "_st_ad_line": _mfv()})
+
+
+def summed_steps(df: DataFrame, lines=("obv", "vpt", "ad_line")) -> DataFrame:
+    """Running sums of steps over each symbol's history without a per-symbol window: bucket offsets
+    and in-bucket windows of the ordered cumulative sum."""
     from barwise.operators.ranking import ordered_cumsum
-    from barwise.operators.segments import segmented
-    df = segmented(df, lambda b: b.withColumns({f"_st_{k}": v() for k, v in steps.items()}), lookback=1,
-                   block=1_000_000)
-    out = ordered_cumsum(df, ["symbol"], ["ts"], {k: F.col(f"_st_{k}") for k in steps})
-    return out.withColumnsRenamed({f"cum_{k}": k for k in steps}).drop(
-        *[f"_st_{k}" for k in steps], *[f"tot_{k}" for k in steps])
+    out = ordered_cumsum(df, ["symbol"], ["ts"], {k: F.col(f"_st_{k}") for k in lines})
+    return out.withColumnsRenamed({f"cum_{k}": k for k in lines}).drop("_st_obv", "_st_vpt", "_st_ad_line", *[f"tot_{k}" for k in lines])
 
 
-def volume_lines_segmented(df: DataFrame) -> DataFrame:
+def volume_lines_segmented(df: DataFrame, lines=("obv", "vpt", "ad_line")) -> DataFrame:
     """G11-G13 (OBV, VPT, A/D line) in the skew-safe form."""
-    def obv_step():
-        c, v = bar_cols("close", "volume")
-        return F.coalesce(F.signum(c - lag(c)) * v, F.lit(0.0))
-
-    def vpt_step():
-        c, v = bar_cols("close", "volume")
-        return F.coalesce(v * (div(c, lag(c)) - 1), F.lit(0.0))
-    return cumulative_segmented(df, {"obv": obv_step, "vpt": vpt_step, "ad_line": _mfv})
+    from barwise.operators.segments import segmented
+    return summed_steps(segmented(df, volume_steps, lookback=1), lines)

@@ -10,19 +10,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwise.functions.core import lead, win
 from barwise.operators.ranking import exact_quantiles, global_rank
+from barwise.operators.segments import in_block, last_rows, positions, segmented
 
 
 # ---------------------------------------------------------------- K01
 def targets(df: DataFrame, horizon: int = 1, drop_last: bool = True) -> DataFrame:
-    """Direction / price / return of ``close`` ``horizon`` bars ahead."""
+    """Direction / price / return of ``close`` ``horizon`` bars ahead, in (symbol, block) windows."""
     c = F.col("close")
-    nxt = lead(c, horizon)
-    df = df.withColumn("target_price", nxt)
+
+    def ahead(b: DataFrame) -> DataFrame:
+        return b.withColumn("target_price", lead(c, horizon))
+
+    df = ahead(df) if in_block() else segmented(df, ahead, lookback=0, ahead=horizon)
     t = F.col("target_price")
     df = df.withColumns({"target_direction": F.when(t.isNotNull(), (t > c).cast("int")),
                          "target_return": F.try_divide(t - c, c)})
@@ -106,20 +110,21 @@ def inverse_scaler(df: DataFrame, params: DataFrame, kind: str = "minmax", by: l
 # ---------------------------------------------------------------- K06-K08 sequences
 def sequences(df: DataFrame, feats: list[str], target: str, lookback: int = 10, gap: int = 1) -> DataFrame:
     """Features of rows [i-L-gap+1, i-gap] (gap=1: the L rows before i) with target of row i."""
-    fr = win().rowsBetween(-(lookback + gap - 1), -gap)
-    df = df.withColumn("_vec", F.array(*[F.col(c).cast("double") for c in feats]))
-    df = df.withColumn("seq", F.collect_list("_vec").over(fr))
+    df = _framed(df, feats, "seq", lookback, gap)
     return df.filter(F.size("seq") == lookback).select("symbol", "ts", "seq", F.col(target).alias("target"))
 
 
+def _framed(df: DataFrame, feats: list[str], name: str, lookback: int, gap: int) -> DataFrame:
+    """``df`` with ``name``, the features of the ``lookback`` rows that end ``gap`` rows back, and ``_vec``, the row's own."""
+    df = df.withColumn("_vec", F.array(*[F.col(c).cast("double") for c in feats]))
+    return segmented(df, lambda b: b.withColumn(name, F.collect_list("_vec").over(win().rowsBetween(-(lookback + gap - 1), -gap))),
+                     lookback=lookback + gap - 1)
+
+
 def adaptive_sequences(df: DataFrame, feats: list[str], target: str, lookback: int = 60) -> DataFrame:
     """Per-symbol look-back ``min(L, max(1, n-1))``; one bar -> the bar itself."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    df = df.withColumns({"_n": n, "_vec": F.array(*[F.col(c).cast("double") for c in feats]),
-                         "_i": F.row_number().over(win()) - 1})
-    df = df.withColumn("_L", F.least(F.lit(lookback), F.greatest(F.lit(1), F.col("_n") - 1)))
-    prev = F.collect_list("_vec").over(win().rowsBetween(-lookback, -1))
-    df = df.withColumn("_prev", prev)
+    df = _framed(positions(df).withColumn("_i", F.col("_pos") - 1), feats, "_prev", lookback, 1)
+    df = df.withColumn("_L", F.least(F.lit(lookback), F.greatest(F.lit(1), F.col("_n") - 1)).cast("int"))
     seq = F.when(F.col("_n") == 1, F.array(F.col("_vec"))).otherwise(
         F.slice("_prev", -F.col("_L"), F.col("_L")))
     keep = (F.col("_n") == 1) | (F.col("_i") >= F.col("_L"))
@@ -129,12 +134,10 @@ def adaptive_sequences(df: DataFrame, feats: list[str], target: str, lookback: i
 
 def latest_sequence(df: DataFrame, feats: list[str], lookback: int = 10) -> DataFrame:
     """The last L bars of each symbol, for scoring the next bar."""
-    fr = win().rowsBetween(-(lookback - 1), 0)
-    last = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
-    df = df.withColumns({"_vec": F.array(*[F.col(c).cast("double") for c in feats]),
-                         "_r": F.row_number().over(last)})
-    df = df.withColumn("seq", F.collect_list("_vec").over(fr))
-    return df.filter((F.col("_r") == 1) & (F.size("seq") == lookback)).select("symbol", "ts", "seq")
+    vec = F.struct("ts", F.array(*[F.col(c).cast("double") for c in feats]).alias("v"))
+    # `lookback` rows of a symbol at most
+    df = last_rows(df, lookback).groupBy("symbol").agg(F.max("ts").alias("ts"), F.sort_array(F.collect_list(vec)).alias("_rows"))
+    return df.filter(F.size("_rows") == lookback).select("symbol", "ts", F.col("_rows.v").alias("seq"))
 
 
 def seq_summary(seqs: DataFrame) -> DataFrame:
@@ -146,12 +149,9 @@ def seq_summary(seqs: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- K09-K12 splits
-def chrono_split(df: DataFrame, test: float = 0.2, val: float = 0.2, by: list[str] | None = None) -> DataFrame:
+def chrono_split(df: DataFrame, test: float = 0.2, val: float = 0.2, by: str = "symbol") -> DataFrame:
     """Per symbol, last ceil(n*test) rows test, then last ceil(rest*val) validation."""
-    by = by if by is not None else ["symbol"]
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    pos = F.row_number().over(Window.partitionBy(*by).orderBy("ts"))
-    df = df.withColumns({"_n": n, "_pos": pos})
+    df = positions(df, key=by)
     n_test = F.ceil(F.col("_n") * test)
     rest = F.col("_n") - n_test
     n_val = F.ceil(rest * val)

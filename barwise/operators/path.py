@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.functions.core import win
+from barwise.operators.segments import positions
 
 OUT_SCHEMA = ("symbol string, ts timestamp_ntz, _rn long, _blk long, _halo int, "
               "psar double, psar_ep double, psar_af double, psar_trend int")
@@ -162,9 +163,7 @@ def lookback_scan(labels: DataFrame, windows=(5, 10, 15, 20), label: str = "targ
                   min_seq: int = 50, train: float = 0.8) -> DataFrame:
     """per symbol, the window whose training labels have the largest majority-class
     rate (first maximum); windows with <= 50 sequences are skipped."""
-    w = win()
-    df = labels.withColumns({"_i": F.row_number().over(w) - 1,
-                             "_n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    df = positions(labels).withColumn("_i", F.col("_pos") - 1)
     ex = df.select("symbol", F.col(label).cast("double").alias("_y"), "_i", "_n",
                    F.explode(F.array(*[F.lit(x) for x in windows])).alias("window"))
     n_seq = F.col("_n") - F.col("window")

@@ -63,19 +63,6 @@ def global_rank(df: DataFrame, group: list[str], order: list[str], buckets: int
     return r.drop("_g0") if "_g0" in r.columns else r
 
 
-#: Row number of a panel's rows inside their symbol, where :func:`numbered` has added it.
-ROW = "_row_nr"
-
-
-def numbered(bars: DataFrame, key: str = "symbol", order: str = "ts") -> DataFrame:
-    """``bars`` with :data:`ROW`, ranked and checkpointed once.  The block forms of the scans
-    and frames keep every row, so a chain of them shares this number instead of ranking anew."""
-    from barwise.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(bars.sparkSession)
-    r = global_rank(bars.checkpoint(), [key], [order]).drop("n").withColumnRenamed("rank", ROW)
-    return r.checkpoint()
-
-
 #: Rank error of the first look at a column, as a share of its rows: one in so many; brackets stand MARGIN errors away.
 ACCURACY, MARGIN = 10_000, 10
 #: Values of a column, or between a wanted rank's brackets, that are collected and sorted at last; more are bracketed

@@ -181,7 +181,7 @@ def ma_cross(df: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
 
 
 def obv_smoothed(df: DataFrame, w: int = 10) -> DataFrame:
-    """SMA of on-balance volume."""
+    """SMA of on-balance volume, which is added if absent."""
     from barwise.operators.indicators import obv
     if "obv" not in df.columns:
         df = obv(df)

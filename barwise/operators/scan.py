@@ -12,8 +12,12 @@ symbol and a Python loop; instead:
 3. the value entering a block is the previous block's last ``loc`` (a running
    last-non-null over the symbol, no join); ``y = loc + carry * q^(jj+1)``.
 
-All windows share the symbol partitioning, so a chain of scans adds sorts but no
+All windows share the panel's partitioning, so a chain of scans adds sorts but no
 exchange.  Accuracy: relative error ~1e-15 against the sequential recursion.
+
+In ``segments.segmented`` the panel is cut into (symbol, block) and every block reads the rows that
+its scans remember (:func:`memory`) before its own: no carry, no join and no checkpoint, however deep
+the chain.
 """
 
 from __future__ import annotations
@@ -73,8 +77,6 @@ def linear_scans(df: DataFrame, x: str, seed: Column, specs, seed_value: Column
     cost one sort and one window pass instead of two.
     """
     parts = list(part_cols())
-    if len(parts) != 1:
-        raise ValueError("the recursive scan needs the whole history of a symbol: run it outside `segmented`")
     w = win()
     tmp = df.withColumns({"_rn": F.row_number().over(w), "_seed": seed,
                           "_sv": seed_value if seed_value is not None else col_(x)})
@@ -85,9 +87,9 @@ def linear_scans(df: DataFrame, x: str, seed: Column, specs, seed_value: Column
     prev = Window.partitionBy(*parts).orderBy("_j").rowsBetween(Window.unboundedPreceding, -1)
     for gi, group in enumerate(_groups(specs)):
         K = max(block_len(t[1]) for t in group)
-        tmp = tmp.withColumns({"_blk": F.floor(j / K), "_jj": F.pmod(j, F.lit(K))})
+        tmp = tmp.withColumns({"_run": F.floor(j / K), "_jj": F.pmod(j, F.lit(K))})
         jj = F.col("_jj").cast("double")
-        wb = Window.partitionBy(*parts, "_blk").orderBy("_jj").rowsBetween(Window.unboundedPreceding, 0)
+        wb = Window.partitionBy(*parts, "_run").orderBy("_jj").rowsBetween(Window.unboundedPreceding, 0)
         locs = {}
         for name, q, a, sw, _norm, _mj in group:
             wt = F.when(j == 0, F.lit(sw)).otherwise(F.lit(a))
@@ -106,7 +108,7 @@ def linear_scans(df: DataFrame, x: str, seed: Column, specs, seed_value: Column
                 y = y / (1 - F.pow(F.lit(q), j.cast("double") + 1))
             outs[name] = F.when(j >= mj, y)
         tmp = tmp.withColumns(outs).drop(*[f"_loc_{t[0]}" for t in group], *[f"_carry_{t[0]}" for t in group])
-    return tmp.drop("_rn", "_seed", "_sv", "_j", "_blk", "_jj")
+    return tmp.drop("_rn", "_seed", "_sv", "_j", "_run", "_jj")
 
 
 def _first_nonnull(x) -> Column:
@@ -247,134 +249,65 @@ def garch_vol(df: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 
 # ---------------------------------------------------------------- skew-safe form
-def linear_scans_segmented(df: DataFrame, x: str, specs, nth: int = 1, buckets: int = 64) -> DataFrame:
-    """The blocked scan without any per-symbol window: for a symbol holding a third of the rows.
-
-    Row numbers come from the bucketed global rank (or from ``ranking.numbered``); the seed row (the ``nth`` non-null
-    ``x``, nulls may lie before and between) and, for Wilder means, the seed value (mean of
-    the first ``nth``) are per-symbol aggregates; block sums run over (symbol, block)
-    windows; the carry entering a block is the previous block's last running value,
-    joined on (symbol, block + 1).  The table is checkpointed (reliably, in the shared
-    checkpoint folder) before that self-join so chained scans keep a linear lineage.
-    ``specs`` as in :func:`linear_scans`; with ``nth > 1`` the seed weight applies to the mean.
+def memory(*qs: float, seed: int = 1) -> int:
+    """Rows after which recurrences with these decays, each over the one before, no longer show how they began.
+
+    A block that reads so many earlier rows may begin its scans there: what the true start would add
+    weighs less than a double shows.  Inputs that are null in all but fewer than ``seed`` of these rows
+    start anew, as at the head of a symbol.
     """
-    from barwise.operators.ranking import ROW, global_rank
-    from barwise.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    if ROW in df.columns:
-        r = df.withColumn("_rn", F.col(ROW))
-    else:
-        r = global_rank(df, ["symbol"], ["ts"], buckets).drop("n").withColumnRenamed("rank", "_rn")
-    first = r.filter(col_(x).isNotNull()).groupBy("symbol").agg(F.min("_rn").alias("_first"))
-    r = r.join(first, "symbol", "left").withColumn("_srn", F.col("_first") + (nth - 1))
-    if nth > 1:
-        # the first nth non-null inputs, wherever nulls lie between them; the limit on the row
-        # number keeps nth rows of a symbol in each task before the shuffle
-        upto = Window.partitionBy("symbol").orderBy("_rn")
-        known = (r.filter(col_(x).isNotNull()).select("symbol", "_rn", col_(x).alias("_x"))
-                 .withColumn("_k", F.row_number().over(upto)).filter(F.col("_k") <= nth))
-        sv = known.groupBy("symbol").agg(F.avg("_x").alias("_sv"), F.count(F.lit(1)).alias("_nsv"),
-                                         F.max("_rn").alias("_nth"))
-        r = r.drop("_srn").join(sv, "symbol", "left").withColumn(
-            "_srn", F.when(F.col("_nsv") == nth, F.col("_nth"))).drop("_nth")
-    else:
-        r = r.withColumn("_sv", col_(x))
-    r = r.withColumn("_j", F.col("_rn") - F.col("_srn"))
-    j = F.col("_j")
-    u = F.when(j == 0, F.col("_sv")).otherwise(col_(x))
-    for group in _groups(specs):
-        K = max(block_len(t[1]) for t in group)
-        r = r.withColumns({"_blk": F.floor(j / K), "_jj": F.pmod(j, F.lit(K))})
-        jj = F.col("_jj").cast("double")
-        wb = Window.partitionBy("symbol", "_blk").orderBy("_jj").rowsBetween(Window.unboundedPreceding, 0)
-        locs = {}
-        for name, q, a, sw, _norm, _mj in group:
-            wt = F.when(j == 0, F.lit(sw)).otherwise(F.lit(a))
-            locs[f"_loc_{name}"] = F.pow(F.lit(q), jj) * F.sum(F.when(j >= 0, wt * u * F.pow(F.lit(q), -jj))).over(wb)
-        r = r.withColumns(locs).checkpoint()
-        ends = r.filter(F.col("_jj") == K - 1).select(
-            "symbol", (F.col("_blk") + 1).alias("_blk"), *[F.col(f"_loc_{t[0]}").alias(f"_carry_{t[0]}") for t in group])
-        r = r.join(ends, ["symbol", "_blk"], "left")
-        outs = {}
-        for name, q, a, sw, norm, mj in group:
-            y = F.col(f"_loc_{name}") + F.coalesce(F.col(f"_carry_{name}"), F.lit(0.0)) * F.pow(F.lit(q), jj + 1)
-            if norm:
-                y = y / (1 - F.pow(F.lit(q), j.cast("double") + 1))
-            outs[name] = F.when(j >= mj, y)
-        r = r.withColumns(outs).drop(*[f"_loc_{t[0]}" for t in group], *[f"_carry_{t[0]}" for t in group])
-    return r.drop("_rn", "_first", "_srn", "_sv", "_nsv", "_j", "_blk", "_jj")
+    return sum(block_len(q) + seed for q in qs)
+
+
+def _decay(span: int) -> float:
+    return 1.0 - 2.0 / (span + 1)
+
+
+def wilder_memory(n: int, depth: int = 1) -> int:
+    """Look-back of Wilder means of ``n`` (of means of means: ``depth``) over bar changes."""
+    return 1 + memory(*[(n - 1) / n] * depth, seed=n)
+
+
+def ema_memory(*spans: int) -> int:
+    """Look-back of an EMA, or of EMAs each over the one before."""
+    return memory(*map(_decay, spans), seed=max(spans))
+
+
+def _segmented(df: DataFrame, fn, lookback: int) -> DataFrame:
+    from barwise.operators.segments import segmented
+    return segmented(df, fn, lookback)
 
 
 def emas_segmented(df: DataFrame, x: str, spans, adjust: bool = False, names=None) -> DataFrame:
     """:func:`emas` in the skew-safe form."""
-    names = names or [(f"ema_{s}" if not adjust else f"ema_adj_{s}") for s in spans]
-    specs = []
-    for s_, nm in zip(spans, names):
-        a = 2.0 / (s_ + 1)
-        specs.append((nm, 1.0 - a, a, a, True, 0) if adjust else (nm, 1.0 - a, a, 1.0, False, s_ - 1))
-    return linear_scans_segmented(df, x, specs)
+    return _segmented(df, lambda b: emas(b, x, spans, adjust, names), ema_memory(max(spans)))
 
 
 def wilder_segmented(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
     """:func:`wilder` in the skew-safe form."""
-    return linear_scans_segmented(df, x, [(name, (n - 1) / n, 1.0 / n, 1.0, False, 0)], nth=n)
-
+    return _segmented(df, lambda b: wilder(b, x, n, name), wilder_memory(n))
 
-def macd_segmented(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """:func:`macd` (non-adjusted) in the skew-safe form."""
-    df = emas_segmented(df, "close", [fast, slow], names=["_ef", "_es"])
-    p = "macd" if (fast, slow, signal) == (12, 26, 9) else f"macd_{fast}_{slow}_{signal}"
-    df = df.withColumn(p, F.col("_ef") - F.col("_es")).drop("_ef", "_es")
-    df = emas_segmented(df, p, [signal], names=[f"{p}_signal"])
-    return with_cols(df, {f"{p}_histogram": F.col(p) - F.col(f"{p}_signal"),
-                          f"{p}_bullish": flag(F.col(p) > F.col(f"{p}_signal"))})
 
-
-def _lagged(df: DataFrame, cols: dict) -> DataFrame:
-    """Columns that need the previous bar, computed with the skew-safe frame runner."""
-    from barwise.operators.segments import segmented
-    return segmented(df, lambda b: b.withColumns({k: v() for k, v in cols.items()}), lookback=1, block=1_000_000)
+def macd_segmented(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, adjust: bool = False) -> DataFrame:
+    """:func:`macd` in the skew-safe form."""
+    return _segmented(df, lambda b: macd(b, fast, slow, signal, adjust), ema_memory(max(fast, slow), signal))
 
 
 def rsi_segmented(df: DataFrame, n: int = 14, name: str | None = None) -> DataFrame:
     """:func:`rsi` (Wilder) in the skew-safe form."""
-    name = name or f"rsi_{n}"
-    c = F.col("close")
-    df = _lagged(df, {"_g": lambda: gmax(c - lag(c), F.lit(0.0)), "_b": lambda: gmax(lag(c) - c, F.lit(0.0))})
-    df = wilder_segmented(wilder_segmented(df, "_g", n, "_gm"), "_b", n, "_bm")
-    val = F.when(F.col("_bm") > 0, 100 - 100 / (1 + F.col("_gm") / F.col("_bm"))) \
-           .when(F.col("_gm").isNotNull(), F.lit(100.0))
-    return df.withColumn(name, val).drop("_g", "_b", "_gm", "_bm")
+    return _segmented(df, lambda b: rsi(b, n, name=name), wilder_memory(n))
 
 
 def atr_segmented(df: DataFrame, n: int = 14) -> DataFrame:
     """:func:`atr` in the skew-safe form."""
-    df = _lagged(df, {"_tr": true_range_col})
-    return wilder_segmented(df, "_tr", n, f"atr_{n}").drop("_tr")
+    return _segmented(df, lambda b: atr(b, (n,)), wilder_memory(n))
 
 
 def adx_segmented(df: DataFrame, n: int = 14) -> DataFrame:
     """:func:`adx` in the skew-safe form."""
-    h, l = F.col("high"), F.col("low")
-
-    def pdm():
-        up, dn = h - lag(h), lag(l) - l
-        return F.when(up.isNotNull(), F.when((up > dn) & (up > 0), up).otherwise(0.0))
-
-    def mdm():
-        up, dn = h - lag(h), lag(l) - l
-        return F.when(dn.isNotNull(), F.when((dn > up) & (dn > 0), dn).otherwise(0.0))
-    df = _lagged(df, {"_tr": true_range_col, "_pdm": pdm, "_mdm": mdm})
-    df = wilder_segmented(wilder_segmented(wilder_segmented(df, "_tr", n, "_atr"), "_pdm", n, "_ps"), "_mdm", n, "_ms")
-    df = with_cols(df, {"adx_pos": 100 * div("_ps", "_atr"), "adx_neg": 100 * div("_ms", "_atr")})
-    s = F.col("adx_pos") + F.col("adx_neg")
-    df = df.withColumn("_dx", F.when(s == 0, F.lit(0.0)).otherwise(
-        100 * div(F.abs(F.col("adx_pos") - F.col("adx_neg")), s)))
-    return wilder_segmented(df, "_dx", n, "adx").drop("_tr", "_pdm", "_mdm", "_atr", "_ps", "_ms", "_dx")
+    return _segmented(df, lambda b: adx(b, n), wilder_memory(n, depth=2))
 
 
 def garch_vol_segmented(df: DataFrame, alpha: float = 0.1) -> DataFrame:
     """:func:`garch_vol` in the skew-safe form."""
-    c = F.col("close")
-    df = _lagged(df, {"returns_squared": lambda: F.pow(div(c, lag(c)) - 1, 2)})
-    return linear_scans_segmented(df, "returns_squared", [("garch_vol", 1.0 - alpha, alpha, alpha, True, 0)])
+    return _segmented(df, lambda b: garch_vol(b, alpha), 1 + memory(1.0 - alpha))

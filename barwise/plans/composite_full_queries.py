@@ -109,9 +109,10 @@ def _extended() -> Wide:
         w.add("i", **{f"rsi_sma_{n}_oversold": G.flag(f"rsi_sma_{n} < 30"),
                       f"rsi_sma_{n}_overbought": G.flag(f"rsi_sma_{n} > 70")})
     w.take("f04_macd", *[f"macd_12_26_9_adj{x}" for x in ("", "_signal", "_histogram", "_bullish")])
+    w.take("f04_macd_adjusted").take("e13_high_low_ratio_short")
     w.take("g05_bollinger_sample").take("g01_stochastic_slow").take("g02_williams_r").take("g03_roc")
     w.take("f06_atr", "atr_14", "atr_14_ratio", "atr_21", "atr_21_ratio").take("e02_volume_sma")
-    w.take("h09_volume_return").take("e19_obv_smoothed").take("g13_ad_line").take("e13_high_low_ratio")
+    w.take("h09_volume_return").take("e19_obv_smoothed").take("g13_ad_line")
     w.take("e11_support_resistance").take("e12_range_position", "price_position_20")
     w.take("e12_range_position_guarded", "price_position_20_guarded").take("e16_trend_vs_atr", "trend_atr_20")
     w.take("c12_doji").take("c13_hammer", "hammer_v2").take("c09_gap_flags")
@@ -124,7 +125,7 @@ def _simple() -> Wide:
     w = Wide()
     ws = (5, 10, 20, 50, 100)
     w.take("c01_returns", rename={"returns": "return_1"})
-    w.take("e13_high_low_ratio").take("e12_range_position").take("e01_sma", *[f"sma_{n}" for n in ws])
+    w.take("e13_high_low_ratio_short").take("e12_range_position_short").take("e01_sma", *[f"sma_{n}" for n in ws])
     w.take("f02_ema_adjusted", *[f"ema_adj_{n}" for n in ws], rename={f"ema_adj_{n}": f"ema_{n}" for n in ws})
     _close_ratios(w, ws)
     w.add("d4", **{f"sma_slope_{n}": f"sma_{n} - {G.lag(f'sma_{n}', 5)}" for n in ws})
@@ -146,7 +147,12 @@ def _simple() -> Wide:
     return w.add(volume_momentum="volume_ratio_20 * return_1")
 
 
+#: Columns of each set that the spec compares.
+COMPARED: dict[str, list[str]] = {}
+
+
 def _register(name: str, wide: Wide, build) -> None:
+    COMPARED[name] = list(wide.kinds)
     R.query(name, wide.spec(), wide.sql())(lambda spark, d: build(bars_brand(spark, d)))
 
 

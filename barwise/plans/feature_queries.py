@@ -8,6 +8,8 @@ from barwise.functions import candles as C
 from barwise.operators import indicators as GI
 from barwise.operators import regime as H
 from barwise.operators import rolling as E
+from barwise.operators.scan import wilder_memory
+from barwise.operators.segments import segmented
 from barwise.plans import sqlgen as G
 from barwise.plans.registry import query
 from barwise.sources.bars import bars_brand, bars_event
@@ -37,13 +39,36 @@ def _reg(name: str, exprs: dict[str, str], build, src: str = "bars_brand", ints=
     query(name, spec, _sel(exprs, src))(build)
 
 
+#: Bars that the longest frame here looks back (a mean of 200, then differences and lags on it).
+FRAMES = 260
+
+
 def _cols(fn_cols):
-    """Builder for a Column-dict operator over bars_brand."""
+    """Builder for a Column-dict operator that sees one bar at a time."""
     def build(spark, d):
         return bars_brand(spark, d).withColumns(fn_cols())
     return build
 
 
+def _df(fn, back: int = FRAMES):
+    """Builder for an operator on frames, in (symbol, block) windows."""
+    def build(spark, d):
+        return segmented(bars_brand(spark, d), fn, lookback=back, ahead=1)
+    return build
+
+
+def _line(name: str, then=None):
+    """Builder for a cumulative line: its steps by block, summed by bucket, and frames on it by block."""
+    def build(spark, d):
+        df = GI.volume_lines_segmented(bars_brand(spark, d), (name,))
+        return segmented(df, then, lookback=FRAMES) if then else df
+    return build
+
+
+def _lagged(fn_cols):
+    return _df(lambda b: b.withColumns(fn_cols()))
+
+
 # ------------------------------------------------------------------------ C
 PC = G.lag(CL)
 BODY = f"abs({CL} - {O})"
@@ -51,8 +76,8 @@ UPPER = f"(high - greatest({O}, {CL}))"
 LOWER = f"(least({O}, {CL}) - low)"
 
 _reg("c01_returns", {("returns" if k == 1 else f"return_{k}"): f"{G.div(CL, G.lag(CL, k))} - 1"
-                     for k in (1, 2, 3, 5, 10, 20)}, _cols(C.returns))
-_reg("c02_log_returns", {"log_returns": f"ln({G.div(CL, PC)})"}, _cols(C.log_returns))
+                     for k in (1, 2, 3, 5, 10, 20)}, _lagged(C.returns))
+_reg("c02_log_returns", {"log_returns": f"ln({G.div(CL, PC)})"}, _lagged(C.log_returns))
 _reg("c03_price_change", {"price_change": f"{CL} - {O}", "price_range": "high - low"}, _cols(C.price_change))
 _reg("c04_shadows", {"upper_shadow": UPPER, "lower_shadow": LOWER, "body_size": BODY, "total_range": "high - low"},
      _cols(C.shadows))
@@ -61,28 +86,28 @@ _reg("c05_shadow_ratios", {"body_ratio": G.div(BODY, "high - low"), "upper_shado
 _reg("c06_close_position", {"price_position_day": f"coalesce({G.div(f'{CL} - low', 'high - low')}, 0.5)"},
      _cols(C.close_position))
 _reg("c07_volume_change", {"volume_change": f"{G.div(V, G.lag(V))} - 1", "traded_value": f"{CL} * {V}"},
-     _cols(C.volume_change))
-_reg("c08_gaps", {"gap": f"{O} - {PC}", "gap_pct": G.div(f"{O} - {PC}", PC)}, _cols(C.gaps))
-_reg("c09_gap_flags", {"gap_up": G.flag(f"{O} > {PC}"), "gap_down": G.flag(f"{O} < {PC}")}, _cols(C.gap_flags),
+     _lagged(C.volume_change))
+_reg("c08_gaps", {"gap": f"{O} - {PC}", "gap_pct": G.div(f"{O} - {PC}", PC)}, _lagged(C.gaps))
+_reg("c09_gap_flags", {"gap_up": G.flag(f"{O} > {PC}"), "gap_down": G.flag(f"{O} < {PC}")}, _lagged(C.gap_flags),
      ints=("gap_up", "gap_down"))
 _reg("c10_gap_flags_2pct", {"gap_up_2pct": G.flag(f"{O} > {PC} and abs({O} - {PC}) > 0.02 * {PC}"),
                             "gap_down_2pct": G.flag(f"{O} < {PC} and abs({O} - {PC}) > 0.02 * {PC}")},
-     _cols(C.gap_flags_2pct), ints=("gap_up_2pct", "gap_down_2pct"))
+     _lagged(C.gap_flags_2pct), ints=("gap_up_2pct", "gap_down_2pct"))
 _reg("c11_intraday_overnight", {"intraday_return": G.div(f"{CL} - {O}", O), "overnight_return": G.div(f"{O} - {PC}", PC)},
-     _cols(C.intraday_overnight))
+     _lagged(C.intraday_overnight))
 _reg("c12_doji", {"doji": G.flag(f"{G.div(BODY, 'high - low')} < 0.1")}, _cols(C.doji), ints=("doji",))
 _reg("c13_hammer", {"hammer": G.flag(f"{LOWER} > 2 * {BODY} and {UPPER} < {BODY}"),
                     "hammer_v2": G.flag(f"{CL} > {O} and ({O} - low) > 2 * ({CL} - {O})")},
      _cols(lambda: {**C.hammer(1), **C.hammer(2)}), ints=("hammer", "hammer_v2"))
 _reg("c14_shooting_star", {"shooting_star": G.flag(f"{UPPER} > 2 * {BODY} and {LOWER} < {BODY}")},
      _cols(C.shooting_star), ints=("shooting_star",))
-_reg("c15_true_range", {"true_range": G.tr()}, _cols(C.true_range))
+_reg("c15_true_range", {"true_range": G.tr()}, _lagged(C.true_range))
 _reg("c16_trend_flags", {f"trend_{k}": G.flag(f"{CL} > {G.lag(CL, k)}") for k in (5, 10, 20)},
-     _cols(C.trend_flags), ints=("trend_5", "trend_10", "trend_20"))
+     _lagged(C.trend_flags), ints=("trend_5", "trend_10", "trend_20"))
 _LMAX = f"high > {G.lag('high')} and high > {G.lead('high')}"
 _LMIN = f"low < {G.lag('low')} and low < {G.lead('low')}"
 _reg("c17_fractals", {"local_max": G.flag(_LMAX), "local_min": G.flag(_LMIN),
-                      "fractal_score": f"{G.flag(_LMAX)} - {G.flag(_LMIN)}"}, _cols(C.fractals),
+                      "fractal_score": f"{G.flag(_LMAX)} - {G.flag(_LMIN)}"}, _lagged(C.fractals),
      ints=("local_max", "local_min", "fractal_score"))
 
 
@@ -118,15 +143,9 @@ def _d05(spark, d):
 
 
 # ------------------------------------------------------------------------ E
-def _df(fn):
-    def build(spark, d):
-        return fn(bars_brand(spark, d))
-    return build
-
-
 RET = f"({G.div(CL, PC)} - 1)"
 _E01 = (3, 5, 10, 20, 50, 100, 200)
-_reg("e01_sma", {f"sma_{w}": G.sma(CL, w) for w in _E01}, _cols(lambda: E.sma_cols(_E01)))
+_reg("e01_sma", {f"sma_{w}": G.sma(CL, w) for w in _E01}, _lagged(lambda: E.sma_cols(_E01)))
 
 _e02 = {f"volume_sma_{w}": G.sma(V, w) for w in (5, 10, 20, 50)}
 _e02.update({f"volume_ratio_{w}": G.div(V, G.sma(V, w)) for w in (5, 10, 20, 50)})
@@ -166,9 +185,8 @@ _PACK_SQL, _PACK_NAMES = _pack_sql()
 query("e05_rolling_pack", _spec(_PACK_NAMES), _PACK_SQL)(_df(E.rolling_pack))
 
 # the same pack with the skew-safe runner: windows by (symbol, block of 512 bars) + halo
-query("e05_rolling_pack_segmented", _spec(_PACK_NAMES), _PACK_SQL)(_df(
-    lambda b: __import__("barwise.operators.segments", fromlist=["segmented"]).segmented(
-        b, E.rolling_pack, lookback=20, block=512)))
+query("e05_rolling_pack_segmented", _spec(_PACK_NAMES), _PACK_SQL)(
+    lambda spark, d: segmented(bars_brand(spark, d), E.rolling_pack, lookback=20, block=512))
 
 query("e06_rolling_ratios", _spec([n for n in _PACK_NAMES if "ratio_mean" in n or "zscore" in n]),
       _PACK_SQL)(_df(lambda b: E.rolling_pack(b).select(
@@ -213,6 +231,11 @@ _reg("e12_range_position_guarded", {"price_position_10_guarded": _rp(10, 1e-6),
      _df(lambda b: E.range_position(b, floor=1e-6)))
 _reg("e13_high_low_ratio", {f"high_low_ratio_{w}": G.div(G.full("max", "high", w), G.full("min", "low", w))
                             for w in (5, 10, 20)}, _df(E.high_low_ratio))
+# the windows of the dependency-free set
+_SIX = (1, 2, 3, 5, 10, 20)
+_reg("e12_range_position_short", {f"price_position_{w}": _rp(w) for w in _SIX}, _df(lambda b: E.range_position(b, _SIX)))
+_reg("e13_high_low_ratio_short", {f"high_low_ratio_{w}": G.div(G.full("max", "high", w), G.full("min", "low", w)) for w in _SIX},
+     _df(lambda b: E.high_low_ratio(b, _SIX)))
 _e14 = {f"avg_range_{w}": G.sma("rng", w) for w in (5, 10, 14, 20)}
 _e14.update({f"avg_true_range_{w}": G.sma("tr", w) for w in (5, 10, 14, 20)})
 _reg("e14_mean_ranges", _e14, _df(E.mean_ranges),
@@ -233,7 +256,7 @@ def _e16_sql() -> str:
             "from t left join atr_14 using (symbol, rn)")
 
 
-query("e16_trend_vs_atr", _spec(["atr_14", "trend_atr_20"]), _e16_sql())(_df(E.trend_vs_atr))
+query("e16_trend_vs_atr", _spec(["atr_14", "trend_atr_20"]), _e16_sql())(_df(E.trend_vs_atr, back=wilder_memory(14) + 21))
 
 _PCT = f"coalesce({G.div(CL, PC)} - 1, 0)"
 _VCT = f"coalesce({G.div(V, G.lag(V))} - 1, 0)"
@@ -245,7 +268,7 @@ _reg("e18_ma_cross", {"ma_cross_signal": G.flag(f"{G.sma(CL, 5)} > {G.sma(CL, 20
 
 _OBV_STEP = f"coalesce(sign({CL} - {PC}) * volume, 0)"
 _CUM = "(partition by symbol order by ts rows between unbounded preceding and current row)"
-_reg("e19_obv_smoothed", {"obv": "obv", "obv_sma_10": G.sma("obv", 10)}, _df(E.obv_smoothed),
+_reg("e19_obv_smoothed", {"obv": "obv", "obv_sma_10": G.sma("obv", 10)}, _line("obv", E.obv_smoothed),
      src=f"(select symbol, ts, sum(st) over {_CUM} as obv from (select symbol, ts, {_OBV_STEP} as st from bars_brand) as _s) as _o")
 
 
@@ -337,12 +360,12 @@ _reg("g09_ichimoku", {"ichimoku_conversion": _mid(9), "ichimoku_base": _mid(26),
                       "ichimoku_a": f"(({_mid(9)} + {_mid(26)}) / 2)"}, _df(GI.ichimoku))
 _reg("g10_vwap", {"vwap_14": G.div(G.full("sum", "tpv", 14), G.full("sum", "volume", 14))}, _df(GI.vwap),
      src=f"(select symbol, ts, volume, {_TP} * volume as tpv from bars_brand) as _v")
-_reg("g11_obv", {"obv": f"sum(st) over {_CUM}"}, _df(GI.obv),
+_reg("g11_obv", {"obv": f"sum(st) over {_CUM}"}, _line("obv"),
      src=f"(select symbol, ts, {_OBV_STEP} as st from bars_brand) as _s")
-_reg("g12_vpt", {"vpt": f"sum(st) over {_CUM}"}, _df(GI.vpt), kinds={"vpt": "d4"},
+_reg("g12_vpt", {"vpt": f"sum(st) over {_CUM}"}, _line("vpt"), kinds={"vpt": "d4"},
      src=f"(select symbol, ts, coalesce(volume * ({G.div(CL, PC)} - 1), 0) as st from bars_brand) as _s")
 _MFV = f"coalesce(volume * {G.div(f'({CL} - low) - (high - {CL})', 'high - low')}, 0)"
-_reg("g13_ad_line", {"ad_line": f"sum(st) over {_CUM}"}, _df(GI.ad_line), kinds={"ad_line": "d4"},
+_reg("g13_ad_line", {"ad_line": f"sum(st) over {_CUM}"}, _line("ad_line"), kinds={"ad_line": "d4"},
      src=f"(select symbol, ts, {_MFV} as st from bars_brand) as _s")
 _reg("g14_cmf", {"cmf_20": G.div(G.full("sum", "mfv", 20), G.full("sum", "volume", 20))}, _df(GI.cmf),
      src=f"(select symbol, ts, volume, {_MFV} as mfv from bars_brand) as _s")

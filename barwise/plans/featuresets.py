@@ -19,7 +19,9 @@ from barwise.operators import indicators as G
 from barwise.operators import regime as H
 from barwise.operators import rolling as E
 from barwise.operators import scan as S
-from barwise.operators.ranking import ROW, exact_quantiles, numbered
+from barwise.operators.ranking import exact_quantiles
+from barwise.operators.segments import positions, segmented
+from barwise.session import ensure_checkpoint_dir
 
 CORE_TRIM = ["sma_20", "ema_12", "rsi_14", "atr_14", "obv", "adx", "macd_signal", "aroon_up"]
 
@@ -28,38 +30,22 @@ def core_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, with_psar: boo
              skew_safe: bool = True) -> DataFrame:
     """Trend, momentum, volatility, volume, pattern and trend-strength groups.
 
-    Every family (frames, scans, cumulative lines, PSAR) runs in its (symbol, block) form,
-    whatever the sizes; ``skew_safe=False`` asks for plain per-symbol windows (same results).
-    The block forms read the bars several times, so these are ranked and checkpointed once.
+    Frames, scans and steps of cumulative lines are one pass over (symbol, block) windows; cumulative lines and PSAR
+    follow in their block forms.  ``skew_safe=False`` asks for plain per-symbol windows (same results).
     """
-    df = _core(bars, with_psar, skew_safe).drop(ROW)
+    df = _core(bars, with_psar, skew_safe)
     return df.dropna(subset=trim) if trim else df
 
 
-def _core(bars: DataFrame, with_psar: bool, skew_safe: bool) -> DataFrame:
-    """I01 untrimmed; the block form still has its row numbers."""
-    df = numbered(bars) if skew_safe else bars
-    bars = df.drop(ROW)
+def _core(bars: DataFrame, with_psar: bool, skew_safe: bool, more=lambda b: b, back: int = 0) -> DataFrame:
+    """I01 untrimmed, and ``more`` columns on it that look ``back`` bars further."""
     if skew_safe:
-        from barwise.operators.segments import segmented
-        df = S.emas_segmented(df, "close", [12, 26, 50])
-        df = S.macd_segmented(df)
-        df = S.rsi_segmented(df, 7)
-        df = S.rsi_segmented(df, 14)
-        df = S.atr_segmented(df, 14)
-        df = S.atr_segmented(df, 20)
-        df = S.adx_segmented(df)
-        df = G.volume_lines_segmented(df)
-        df = segmented(df, _core_frames, lookback=51, block=max(65536, 8 * 52))
+        ensure_checkpoint_dir(bars.sparkSession)
+        bars = bars.checkpoint()                # the pass and PSAR read them
+        df = segmented(bars, lambda b: more(G.volume_steps(_core_frames(_core_scans(b)))), lookback=CORE_BACK + back)
+        df = G.summed_steps(df.checkpoint())    # sums read their rows more than once
     else:
-        df = S.emas(df, "close", [12, 26, 50])
-        df = S.macd(df)
-        df = S.rsi(df, 7)
-        df = S.rsi(df, 14)
-        df = S.atr(df, (14, 20))
-        df = S.adx(df)
-        df = G.ad_line(G.vpt(G.obv(df)))
-        df = _core_frames(df)
+        df = more(_core_frames(G.ad_line(G.vpt(G.obv(_core_scans(bars))))))
     if with_psar:
         from barwise.operators.path import psar
         p = psar(bars, skew_safe=skew_safe)
@@ -67,6 +53,16 @@ def _core(bars: DataFrame, with_psar: bool, skew_safe: bool) -> DataFrame:
     return df
 
 
+def _core_scans(df: DataFrame) -> DataFrame:
+    df = S.macd(S.emas(df, "close", [12, 26, 50]))
+    df = S.rsi(S.rsi(df, 7), 14)
+    return S.adx(S.atr(df, (14, 20)))
+
+
+#: Bars that the deepest recursion and the deepest frame (52 bars) of I01 look back, one after the other.
+CORE_BACK = max(S.ema_memory(50), S.ema_memory(26, 9), S.wilder_memory(14, depth=2), S.wilder_memory(20)) + 52
+
+
 def _core_frames(df: DataFrame) -> DataFrame:
     """The bounded-frame part of I01 (look-back at most 52 bars)."""
     df = df.withColumns({**E.sma_cols((5, 10, 20, 50)), **C.returns((1,))})
@@ -96,17 +92,9 @@ def full_set(bars: DataFrame, trim: list[str] | None = CORE_TRIM, skew_safe: boo
 
     The fitted cleaning steps are :func:`cleaned`.  C17 fractals (next bar) stay out.
     ``skew_safe`` as in :func:`core_set`."""
-    df = _core(bars, with_psar, skew_safe)
+    # the deepest frame: 50-bar mean of a 20-bar std of returns (70 bars back)
+    df = _core(bars, with_psar, skew_safe, lambda b: _full_frames(S.garch_vol(b)), back=70)
     df = df.withColumns({**D.parts(), **D.cyclical(), **D.weekday_flags(), **D.month_flags()})
-    if skew_safe:
-        from barwise.operators.segments import segmented
-        df = S.garch_vol_segmented(df)
-        # the deepest frame: 50-bar mean of a 20-bar std of returns (70 bars back)
-        df = segmented(df, _full_frames, lookback=70, block=max(65536, 8 * 71))
-    else:
-        df = S.garch_vol(df)
-        df = _full_frames(df)
-    df = df.drop(ROW)
     num = J.numeric_cols(df)
     df = J.inf_to_null(df, num)
     return df.dropna(subset=trim) if trim else df
@@ -147,9 +135,26 @@ def cleaned(df: DataFrame, cols: list[str] | None = None, fit_where: Column | No
     return J.rescale_large(J.median_fill(df, cols, fit_where), cols)
 
 
+#: Bars that I03 and I04 look back: the slowest smoother, or Wilder means, then a mean of 200 and lags.
+EXTENDED_BACK = max(S.ema_memory(200), S.ema_memory(39, 9), S.wilder_memory(21)) + 260
+SIMPLE_BACK = max(S.ema_memory(100), S.ema_memory(26, 9)) + 130
+
+
 def extended_set(bars: DataFrame, with_psar: bool = True) -> DataFrame:
-    """The multi-setting set (several RSI, MACD, Bollinger, stochastic settings)."""
-    df = bars.withColumns(C.returns((1, 2, 3, 5, 10, 20)))
+    """The multi-setting set (several RSI, MACD, Bollinger, stochastic settings), in (symbol, block) windows."""
+    ensure_checkpoint_dir(bars.sparkSession)
+    bars = bars.checkpoint()                    # the pass, cumulative lines and PSAR read them
+    lines = G.volume_lines_segmented(bars, ("obv", "ad_line")).checkpoint()
+    df = segmented(lines, _extended_frames, lookback=EXTENDED_BACK)
+    if with_psar:
+        from barwise.operators.path import psar
+        df = df.join(psar(bars, skew_safe=True).select("symbol", "ts", "psar", "psar_trend"), ["symbol", "ts"], "left")
+    return J.inf_to_null(df, J.numeric_cols(df))
+
+
+def _extended_frames(df: DataFrame) -> DataFrame:
+    """I03 on bars that have their cumulative lines."""
+    df = df.withColumns(C.returns((1, 2, 3, 5, 10, 20)))
     df = S.emas(df, "close", [5, 10, 20, 50, 100, 200], adjust=True, names=[f"ema_{w}" for w in (5, 10, 20, 50, 100, 200)])
     df = df.withColumns(E.sma_cols((5, 10, 20, 50, 100, 200)))
     c = F.col("close")
@@ -169,9 +174,7 @@ def extended_set(bars: DataFrame, with_psar: bool = True) -> DataFrame:
     df = S.atr(df, (14, 21), ratio=True)
     df = E.volume_sma(df, (5, 10, 20, 50))
     df = H.volume_return(df)
-    df = G.obv(df)
     df = E.obv_smoothed(df)
-    df = G.ad_line(df)
     df = E.high_low_ratio(df, (1, 2, 3, 5, 10, 20))
     df = E.support_resistance(df)
     df = E.range_position(df, (20,))
@@ -181,15 +184,16 @@ def extended_set(bars: DataFrame, with_psar: bool = True) -> DataFrame:
     df = E.rolling_pack(df, ("close",), ratios=False)
     df = E.rolling_skew(df)
     df = E.lags(df, ("rsi_sma_14", "macd_12_26_9_adj", "bb_position_20_2", "volume_ratio_20"), (1, 2, 3, 5))
-    df = H.joint_signals(df)
-    if with_psar:
-        from barwise.operators.path import psar
-        df = df.join(psar(bars).select("symbol", "ts", "psar", "psar_trend"), ["symbol", "ts"], "left")
-    return J.inf_to_null(df, J.numeric_cols(df))
+    # the joint flags read Wilder RSI and the plain MACD, which are not of this set
+    return H.joint_signals(df).drop("rsi_14", "macd", "macd_signal", "macd_histogram", "macd_bullish")
 
 
 def simple_set(bars: DataFrame) -> DataFrame:
-    """The dependency-free set (plain means, weight-normalised EMAs, sample std bands)."""
+    """The dependency-free set (plain means, weight-normalised EMAs, sample std bands), in (symbol, block) windows."""
+    return segmented(bars, _simple_frames, lookback=SIMPLE_BACK)
+
+
+def _simple_frames(bars: DataFrame) -> DataFrame:
     c = F.col("close")
     df = bars.withColumns(C.returns((1, 2, 3, 5, 10, 20)))
     df = df.withColumnRenamed("returns", "return_1")
@@ -232,17 +236,20 @@ def basic_set(bars: DataFrame) -> DataFrame:
     """Fallback for short histories: each feature only if the symbol has >= W bars,
     then forward fill, backward fill, 0."""
     from barwise.functions.core import rstd
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    df = bars.withColumns({**C.returns((1,)), "_n": n})
     c = F.col("close")
-    raw = {"returns": F.col("returns"), "price_change": c - F.col("open"), "price_range": F.col("high") - F.col("low"),
-           "sma_3": sma("close", 3), "sma_5": sma("close", 5), "sma_10": sma("close", 10),
-           "volume_sma_3": sma("volume", 3), "volume_sma_5": sma("volume", 5), "volume_sma_10": sma("volume", 10),
-           "volatility_5": rstd("returns", 5), "momentum_3": div(c, lag(c, 3)) - 1}
-    df = df.withColumns({k: F.when(F.col("_n") >= BASIC[k][1], v) for k, v in raw.items()})
+
+    def raw(b: DataFrame) -> DataFrame:
+        b = b.withColumns(C.returns((1,)))
+        found = {"returns": F.col("returns"), "price_change": c - F.col("open"), "price_range": F.col("high") - F.col("low"),
+                 "sma_3": sma("close", 3), "sma_5": sma("close", 5), "sma_10": sma("close", 10),
+                 "volume_sma_3": sma("volume", 3), "volume_sma_5": sma("volume", 5), "volume_sma_10": sma("volume", 10),
+                 "volatility_5": rstd("returns", 5), "momentum_3": div(c, lag(c, 3)) - 1}
+        return b.withColumns({k: F.when(F.col("_n") >= BASIC[k][1], v) for k, v in found.items()})
+
+    df = segmented(positions(bars), raw, lookback=10)
     cols = list(BASIC)
     df = J.bfill(J.ffill(df, cols), cols)
-    return df.withColumns({k: F.coalesce(F.col(k), F.lit(0.0)) for k in cols}).drop("_n")
+    return df.withColumns({k: F.coalesce(F.col(k), F.lit(0.0)) for k in cols}).drop("_n", "_pos")
 
 
 def default_for(name: str, close, median_volume):

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.core import flag, sma
 from barwise.operators.labels import targets
-from barwise.operators.ranking import numbered
-from barwise.operators.scan import macd, macd_segmented
+from barwise.operators.scan import ema_memory, macd
 from barwise.operators.segments import segmented
 from barwise.sources.bars import bars_brand
 
@@ -18,16 +17,14 @@ SPEC = ("symbol:s, ts:t, close:d, sma_5:d, sma_20:d, macd:d4, macd_signal:d4, si
 
 
 def flagship(spark: SparkSession, d: str, skew_safe: bool = True) -> DataFrame:
-    """Windows by (symbol, block); ``skew_safe=False`` asks for plain per-symbol windows.
+    """Windows by (symbol, block), the next bar of the target included; ``skew_safe=False`` asks for plain
+    per-symbol windows."""
+    def features(b: DataFrame) -> DataFrame:
+        b = macd(b.withColumns({"sma_5": sma("close", 5), "sma_20": sma("close", 20)}))
+        return targets(b, horizon=1, drop_last=False)
 
-    The block plan reads the bars several times, so they are built, ranked and checkpointed
-    once."""
     bars = bars_brand(spark, d)
-
-    def means(b):
-        return b.withColumns({"sma_5": sma("close", 5), "sma_20": sma("close", 20)})
-    f = macd_segmented(segmented(numbered(bars), means, lookback=19)) if skew_safe else macd(means(bars))
-    f = targets(f, horizon=1, drop_last=False)
+    f = segmented(bars, features, lookback=ema_memory(26, 9), ahead=1) if skew_safe else features(bars)
     up = (F.col("macd") > F.col("macd_signal")) & (F.col("sma_5") > F.col("sma_20"))
     dn = (F.col("macd") < F.col("macd_signal")) & (F.col("sma_5") < F.col("sma_20"))
     f = f.withColumn("signal", F.when(up, "BUY").when(dn, "SELL").otherwise("HOLD"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from barwise.operators import scan as S
 from barwise.plans import sqlgen as G
+from barwise.operators.segments import segmented
+from barwise.plans.featuresets import CORE_BACK
 from barwise.plans.registry import query
 from barwise.sources.bars import bars_brand
 
@@ -27,13 +29,13 @@ _F01 = [12, 26, 50]
 @query("f01_ema", KEY + "".join(f", ema_{w}:d" for w in _F01),
        _join([G.ema(f"ema_{w}", "b", '"close"', w) for w in _F01], [f"ema_{w}" for w in _F01]))
 def _f01(spark, d):
-    return S.emas(bars_brand(spark, d), "close", _F01)
+    return segmented(bars_brand(spark, d), lambda b: S.emas(b, "close", _F01), lookback=S.ema_memory(50))
 
 
 @query("f01_ema_segmented", KEY + "".join(f", ema_{w}:d" for w in _F01),
        _join([G.ema(f"ema_{w}", "b", '"close"', w) for w in _F01], [f"ema_{w}" for w in _F01]))
 def _f01s(spark, d):
-    # skew-safe form: global rank + (symbol, block) windows + carry join, no per-symbol window
+    # the operator's own block form
     return S.emas_segmented(bars_brand(spark, d), "close", _F01)
 
 
@@ -46,8 +48,9 @@ _F02 = [5, 10, 20, 50, 100, 200]
              + [G.ema("ema_adj_a01", "b", '"close"', None, adjust=True, alpha=0.1)],
              [f"ema_adj_{w}" for w in _F02] + ["ema_adj_a01"]))
 def _f02(spark, d):
-    df = S.emas(bars_brand(spark, d), "close", _F02, adjust=True)
-    return S.ema(df, "close", None, "ema_adj_a01", adjust=True, alpha=0.1)
+    def run(b):
+        return S.ema(S.emas(b, "close", _F02, adjust=True), "close", None, "ema_adj_a01", adjust=True, alpha=0.1)
+    return segmented(bars_brand(spark, d), run, lookback=S.ema_memory(200))
 
 
 # F03 -----------------------------------------------------------------------------
@@ -78,10 +81,11 @@ def _rsi_wilder_sql() -> str:
 @query("f03_rsi_wilder", KEY + "".join(f", rsi_{n}:d, rsi_{n}_oversold:i, rsi_{n}_overbought:i" for n in _F03),
        _rsi_wilder_sql())
 def _f03(spark, d):
-    df = bars_brand(spark, d)
-    for n in _F03:
-        df = S.rsi_flags(S.rsi(df, n), n)
-    return df
+    def run(df):
+        for n in _F03:
+            df = S.rsi_flags(S.rsi(df, n), n)
+        return df
+    return segmented(bars_brand(spark, d), run, lookback=S.wilder_memory(max(_F03)))
 
 
 def _rsi_sma_sql(method: str) -> str:
@@ -106,18 +110,20 @@ def _rsi_sma_sql(method: str) -> str:
 
 @query("f03_rsi_sma", KEY + "".join(f", rsi_sma_{n}:d" for n in _F03), _rsi_sma_sql("sma"))
 def _f03b(spark, d):
-    df = bars_brand(spark, d)
-    for n in _F03:
-        df = S.rsi(df, n, method="sma")
-    return df
+    def run(df):
+        for n in _F03:
+            df = S.rsi(df, n, method="sma")
+        return df
+    return segmented(bars_brand(spark, d), run, lookback=max(_F03) + 1)
 
 
 @query("f03_rsi_pct", KEY + "".join(f", rsi_pct_{n}:d" for n in _F03), _rsi_sma_sql("pct"))
 def _f03c(spark, d):
-    df = bars_brand(spark, d)
-    for n in _F03:
-        df = S.rsi(df, n, method="pct")
-    return df
+    def run(df):
+        for n in _F03:
+            df = S.rsi(df, n, method="pct")
+        return df
+    return segmented(bars_brand(spark, d), run, lookback=max(_F03) + 1)
 
 
 # F04 -----------------------------------------------------------------------------
@@ -128,9 +134,9 @@ def _macd_name(f, s, g, adj):
     return "macd" if (f, s, g) == (12, 26, 9) and not adj else f"macd_{f}_{s}_{g}" + ("_adj" if adj else "")
 
 
-def _macd_sql() -> str:
+def _macd_sql(settings=_F04) -> str:
     ctes, joins, sel = [], [], []
-    for f, s, g, adj in _F04:
+    for f, s, g, adj in settings:
         p = _macd_name(f, s, g, adj)
         ctes.append(G.ema(f"{p}_f", "b", '"close"', f, adjust=adj))
         ctes.append(G.ema(f"{p}_s", "b", '"close"', s, adjust=adj))
@@ -145,21 +151,30 @@ def _macd_sql() -> str:
             f"\nselect b.symbol, b.ts, {', '.join(sel)} from b {' '.join(joins)}")
 
 
-def _macd_spec() -> str:
+def _macd_spec(settings=_F04) -> str:
     out = KEY
-    for f, s, g, adj in _F04:
+    for f, s, g, adj in settings:
         p = _macd_name(f, s, g, adj)
         # a difference of two large EMAs: compared at 1e-4 (scan error ~1e-15 relative)
         out += f", {p}:d4, {p}_signal:d4, {p}_histogram:d4, {p}_bullish:i"
     return out
 
 
-@query("f04_macd", _macd_spec(), _macd_sql())
-def _f04(spark, d):
-    df = bars_brand(spark, d)
-    for f, s, g, adj in _F04:
-        df = S.macd(df, f, s, g, adjust=adj)
-    return df
+def _macds(settings):
+    def run(df):
+        for f, s, g, adj in settings:
+            df = S.macd(df, f, s, g, adjust=adj)
+        return df
+
+    back = max(S.ema_memory(max(f, s), g) for f, s, g, _ in settings)
+    return lambda spark, d: segmented(bars_brand(spark, d), run, lookback=back)
+
+
+query("f04_macd", _macd_spec(), _macd_sql())(_macds(_F04))
+
+# the other settings of the extended set
+_F04_ADJ = [(5, 35, 5, True), (19, 39, 9, True)]
+query("f04_macd_adjusted", _macd_spec(_F04_ADJ), _macd_sql(_F04_ADJ))(_macds(_F04_ADJ))
 
 
 # F05 -----------------------------------------------------------------------------
@@ -171,7 +186,7 @@ _F05 = [5, 10, 20, 50]
        + "\nselect b.symbol, b.ts, " + ", ".join(f'{G.div(chr(34) + "close" + chr(34), f"e{w}.e{w}")} as close_ema_{w}_ratio' for w in _F05)
        + " from b " + " ".join(f"left join e{w} using (symbol, rn)" for w in _F05))
 def _f05(spark, d):
-    return S.close_ema_ratio(bars_brand(spark, d), tuple(_F05))
+    return segmented(bars_brand(spark, d), lambda b: S.close_ema_ratio(b, tuple(_F05)), lookback=S.ema_memory(max(_F05)))
 
 
 # F06 -----------------------------------------------------------------------------
@@ -186,7 +201,7 @@ _TRB = (f"t as (select symbol, rn, ts, \"close\", "
        + "\nselect t.symbol, t.ts, " + ", ".join(f'atr_{n}."atr_{n}" as atr_{n}, {G.div(f"atr_{n}.atr_{n}", chr(34) + "close" + chr(34))} as atr_{n}_ratio' for n in _F06)
        + " from t " + " ".join(f"left join atr_{n} using (symbol, rn)" for n in _F06))
 def _f06(spark, d):
-    return S.atr(bars_brand(spark, d), tuple(_F06), ratio=True)
+    return segmented(bars_brand(spark, d), lambda b: S.atr(b, tuple(_F06), ratio=True), lookback=S.wilder_memory(max(_F06)))
 
 
 # F07 -----------------------------------------------------------------------------
@@ -210,7 +225,7 @@ def _adx_sql(n: int = 14) -> str:
 
 @query("f07_adx", KEY + ", adx_pos:d, adx_neg:d, adx:d", _adx_sql())
 def _f07(spark, d):
-    return S.adx(bars_brand(spark, d), 14)
+    return S.adx_segmented(bars_brand(spark, d), 14)
 
 
 # F09 -----------------------------------------------------------------------------
@@ -220,7 +235,7 @@ def _f07(spark, d):
        + G.ema("gv", "r", "rsq", None, adjust=True, alpha=0.1)
        + "\nselect r.symbol, r.ts, r.rsq as returns_squared, gv.gv as garch_vol from r left join gv using (symbol, rn)")
 def _f09(spark, d):
-    return S.garch_vol(bars_brand(spark, d))
+    return S.garch_vol_segmented(bars_brand(spark, d))
 
 
 
@@ -281,7 +296,7 @@ def _h07_sql() -> str:
 @query("h07_indicator_products", KEY + ", volatility_momentum:d4, trend_momentum:d2, bb_rsi_interaction:d4", _h07_sql())
 def _h07(spark, d):
     from barwise.operators.regime import indicator_products
-    return indicator_products(bars_brand(spark, d))
+    return segmented(bars_brand(spark, d), indicator_products, lookback=CORE_BACK)
 
 
 def _h08_sql() -> str:
@@ -298,7 +313,7 @@ def _h08_sql() -> str:
 @query("h08_joint_signals", KEY + ", rsi_macd_signal:i, bb_rsi_oversold:i, bb_rsi_overbought:i, rsi_macd_bullish:i", _h08_sql())
 def _h08(spark, d):
     from barwise.operators.regime import joint_signals
-    return joint_signals(bars_brand(spark, d))
+    return segmented(bars_brand(spark, d), joint_signals, lookback=CORE_BACK)
 
 
 # F08 ------------------------------------------------------------------------------
@@ -332,7 +347,7 @@ _PSAR_SQL = (
 @query("f08_psar", KEY + ", psar:d, psar_up:d, psar_down:d, psar_trend:i", _PSAR_SQL)
 def _f08(spark, d):
     from barwise.operators.path import psar
-    return psar(bars_brand(spark, d))
+    return psar(bars_brand(spark, d), skew_safe=True)
 
 
 @query("f08_psar_blocked", KEY + ", psar:d, psar_up:d, psar_down:d, psar_trend:i", _PSAR_SQL)
@@ -348,7 +363,7 @@ def _f08b(spark, d):
        "as psar_trend_simple from bars_brand window f as (partition by symbol order by ts rows between 19 preceding and current row)")
 def _f08c(spark, d):
     from barwise.functions.core import flag, sma
-    b = bars_brand(spark, d).withColumn("psar_sma_20", sma("close", 20))
+    b = segmented(bars_brand(spark, d), lambda b: b.withColumn("psar_sma_20", sma("close", 20)), lookback=19)
     return b.withColumn("psar_trend_simple", flag(F.col("close") > F.col("psar_sma_20")))
 
 

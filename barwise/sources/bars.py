@@ -232,8 +232,8 @@ def fresh(log: DataFrame, now: Column, ttl_hours: float = 6.0, loaded_at: str =
 # ---------------------------------------------------------------- A11 ordering
 def ordered(bars: DataFrame) -> DataFrame:
     """Row number in time order per symbol."""
-    from barwise.functions.core import rn
-    return bars.withColumn("rn", rn())
+    from barwise.operators.segments import positions
+    return positions(bars).withColumn("rn", F.col("_pos").cast("int")).drop("_pos", "_n")
 
 
 # ---------------------------------------------------------------- A12 validation
@@ -259,10 +259,9 @@ def validate(bars: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A13 history gate
 def min_history(bars: DataFrame, n: int) -> DataFrame:
-    """Keep symbols with at least n bars (a windowed HAVING, no join back)."""
-    from pyspark.sql import Window
-    return bars.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))) \
-        .filter(F.col("_n") >= n).drop("_n")
+    """Keep symbols with at least n bars (rows counted by block)."""
+    from barwise.operators.segments import positions
+    return positions(bars).filter(F.col("_n") >= n).drop("_pos", "_n")
 
 
 # ---------------------------------------------------------------- fixtures (FIXTURES.md §2, §5)
@@ -295,9 +294,8 @@ def bars_user(spark: SparkSession, d: str) -> DataFrame:
 
 def bars_dirty(spark: SparkSession, d: str) -> DataFrame:
     """bars_brand with planted defects by row number per symbol."""
-    from pyspark.sql import Window
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
-    b = bars_brand(spark, d).withColumn("_n", n)
+    from barwise.operators.segments import positions
+    b = positions(bars_brand(spark, d)).withColumn("_n", F.col("_pos"))
     swap = F.col("_n") % 101 == 0
     return b.select(
         "symbol", "ts", "open",
@@ -314,10 +312,10 @@ FIXTURES = {"bars_brand": bars_brand, "bars_event": bars_event, "bars_user": bar
 
 def feat_dirty(spark: SparkSession, d: str) -> DataFrame:
     """Feature frame with planted cleaning cases (nulls, outliers, sparse, constant, huge, inf)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("symbol").orderBy("ts")
-    b = bars_brand(spark, d).withColumn("_n", F.row_number().over(w))
-    n = F.col("_n")
+    from barwise.functions.core import lag
+    from barwise.operators.segments import positions, segmented
+    b = segmented(positions(bars_brand(spark, d)), lambda b: b.withColumn("_before", lag("close")), lookback=1)
+    n = F.col("_pos")
 
     def planted(x):
         return F.when(n % 53 == 0, F.lit(None).cast("double")).when(n % 71 == 0, F.col(x) * 1e6).otherwise(F.col(x))
@@ -325,5 +323,5 @@ def feat_dirty(spark: SparkSession, d: str) -> DataFrame:
                     F.when(n % 3 == 0, F.col("close")).alias("f_sparse"), F.lit(1.0).alias("f_const"),
                     (F.col("close") * 1e12).alias("f_big"),
                     F.when(n % 61 == 0, F.lit(float("inf"))).otherwise(
-                        div(F.col("close"), F.lag("close").over(w))).alias("f_ratio"),
+                        div("close", "_before")).alias("f_ratio"),
                     "close")

@@ -25,6 +25,47 @@ def test_segmented_equals_plain(brand):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_scans_in_blocks_equal_plain(spark, brand):
+    """Depth-two recursions in blocks hardly longer than their memory."""
+    from barwise.operators import scan as S
+
+    def ops(df):
+        return S.adx(S.rsi(S.macd(S.emas(df, "close", [3, 12])), 7), 7)
+
+    back = max(S.ema_memory(26, 9), S.wilder_memory(7, depth=2))
+    cols = ["ema_3", "ema_12", "macd", "macd_signal", "rsi_7", "adx_pos", "adx_neg", "adx"]
+    seg = segmented(brand, ops, lookback=back, block=back + 40)
+    assert seg.count() == brand.count()
+    j = ops(brand).select("symbol", "ts", *cols).join(seg.select("symbol", "ts", *[F.col(c).alias(f"s_{c}") for c in cols]), ["symbol", "ts"])
+    r = j.agg(*[F.max(F.abs(F.col(c) - F.col(f"s_{c}")) / F.greatest(F.abs(F.col(c)), F.lit(1.0))) for c in cols],
+              *[F.sum((F.col(c).isNull() != F.col(f"s_{c}").isNull()).cast("int")) for c in cols], F.count(F.lit(1))).first()
+    assert all(x < 1e-9 for x in r[:8]) and not any(r[8:16]) and r[16] == brand.count()
+
+
+def test_rows_uneven_in_time(spark):
+    """Half the rows within a second: blocks are cut by row number; and one symbol much larger than the others."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 2900, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("symbol"),
+        F.timestamp_micros(F.when(F.col("id") < 1400, F.col("id") * 3).otherwise(F.col("id") * 10_000_000)).alias("ts"),
+        (F.col("id") * 7 % 31).cast("double").alias("x"))
+
+    def op(df):
+        from barwise.functions.core import win
+        return df.withColumns({"back": F.sum("x").over(win().rowsBetween(-5, 0)), "ahead": F.lead("x", 2).over(win())})
+
+    want = op(rows)
+    for block in (50, 700):
+        got = segmented(rows, op, lookback=5, ahead=2, block=block)
+        assert got.exceptAll(want).count() == 0 and got.count() == 3000
+
+
+def test_plan_windows_by_block(brand):
+    """Symbols of more rows than a block are windowed by block, the others whole."""
+    plan = segmented(brand, _ops, lookback=26, ahead=1, block=300)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x and "close#" in x]   # others are of the layout
+    assert windows and all("_blk#" in w for w in windows)
+
+
 def test_hot_symbol_path_equals_plain(spark, sf):
     # the (symbol, block) plan and plain per-symbol windows: same flagship result
     from barwise.plans.flagship import flagship
