@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from barwise.plans import sqlgen as G
-from barwise.plans.registry import query
+from barwise.plans import scan_queries  # noqa: F401  (its oracle of RSI)
+from barwise.plans.registry import REGISTRY, query
 from barwise.session import scratch_path
 from barwise.sources.bars import BAR_SCHEMA, EVENTS_SCHEMA, bars_event
 from barwise.streaming import bars_stream as S
@@ -28,13 +29,14 @@ def _s01(spark, d):
     return S.run_upserts(bars, ["symbol", "ts"], "s01")
 
 
-@query("s01_stream_bars_append", BARS)
+@query("s01_stream_bars_append", BARS, "select * from bars_event")
 def _s01b(spark, d):
-    # append mode: a bar is written once, when the watermark passes its end; the bars still
-    # open at the end of the input stay in state until newer ticks arrive
-    bars = S.ohlcv(_ticks(spark, d), "event_type", "ts", "value", "1 hour", "1 hour",
-                   order=["ts", "event_id"])
-    return S.run(bars, "append", "s01a")
+    # append mode: a bar is written once, when the watermark passes its end; the closing row
+    # tells the stream that the session has ended, so no bar stays open
+    ticks = _ticks(spark, d)
+    closing = S.Closing(spark, ticks.schema, "ts", _after(spark, d, "3 hours"))
+    bars = S.ohlcv(ticks.unionByName(closing.stream), "event_type", "ts", "value", "1 hour", "1 hour", order=["ts", "event_id"])
+    return S.run_counted(bars, "append", "s01a", closing=closing)[0]
 
 
 @query("s02_sliding_stats", "symbol:s, window_start:t, window_end:t, mean:d, min:d, max:d, n:l",
@@ -67,32 +69,72 @@ def _s04(spark, d):
     return S.run_upserts(q, ["symbol"], "s04")
 
 
-def _bar_chunks(spark, d, n_chunks: int = 4) -> str:
-    """bars_event written as time-ordered chunks (one write per chunk, each symbol's rows of a
-    chunk in one file) so a file stream replays them in time order over several batches."""
-    bars = bars_event(spark, d)
+def _bar_chunks(spark, d, n_chunks: int = 4, mixed: bool = False, backward: bool = False) -> str:
+    """bars_event written as chunks, one write a chunk, so a file stream replays them in that order: of times in order
+    (``backward``: in reverse), or ``mixed``: every chunk holds bars of all times."""
+    bars = bars_event(spark, d).checkpoint()
     lo, hi = bars.agg(F.min("ts"), F.max("ts")).first()
     path = scratch_path(spark, f"bar-chunks-{uuid.uuid4().hex}")
-    step = (hi - lo) / n_chunks
-    for i in range(n_chunks):
-        a = lo + step * i
-        cond = F.col("ts") >= F.lit(a)
-        if i < n_chunks - 1:
-            cond = cond & (F.col("ts") < F.lit(lo + step * (i + 1)))
-        bars.filter(cond).repartition("symbol").write.mode("append").parquet(path)
+    part = F.least(F.lit(n_chunks - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp")))
+                                                * n_chunks / (F.unix_micros(F.lit(hi).cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp")))))
+    if mixed:
+        part = F.pmod(F.xxhash64("symbol", "ts"), F.lit(n_chunks))
+    bars = bars.withColumn("_part", part).checkpoint()
+    for i in range(n_chunks)[::-1 if backward else 1]:
+        bars.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-@query("s05_incremental_ema", "symbol:s, ts:t, ema_12:d",
-       "with recursive b as (select *, row_number() over (partition by symbol order by ts) as rn from bars_event),\n"
-       + G.ema("ema_12", "b", '"close"', 12) + "\nselect b.symbol, b.ts, ema_12.ema_12 from b left join ema_12 using (symbol, rn)")
+def _smoothed(spark, path: str, delay: str, end=None):
+    """Streamed EMA and RSI of the chunks in ``path``, the bars that came too late for them, and how many more the
+    engine dropped."""
+    bars = S.tick_stream(spark, f"{path}/*.parquet", BAR_SCHEMA, max_files=1)
+    closing = S.Closing(spark, bars.schema, "ts", end) if end is not None else None
+    if closing:
+        bars = bars.unionByName(closing.stream)
+    out, dropped = S.run_counted(S.incremental_smoothers(bars, 12, 14, delay), "append", "s05", closing=closing)
+    return out.filter(~F.col("late")), out.filter("late"), dropped
+
+
+def _after(spark, d, span: str):
+    return bars_event(spark, d).agg(F.max("ts") + F.expr(f"interval {span}")).first()[0]
+
+
+_EMA_SQL = ("with recursive b as (select *, row_number() over (partition by symbol order by ts) as rn from bars_event),\n"
+            + G.ema("ema_12", "b", '"close"', 12) + "\nselect b.symbol, b.ts, ema_12.ema_12 from b left join ema_12 using (symbol, rn)")
+_RSI_SQL = REGISTRY["f03_rsi_wilder"].sql.replace("bars_brand", "bars_event")
+
+
+@query("s05_incremental_ema", "symbol:s, ts:t, ema_12:d", _EMA_SQL)
 def _s05(spark, d):
-    path = _bar_chunks(spark, d)
-    bars = S.tick_stream(spark, f"{path}/*.parquet", BAR_SCHEMA, max_files=2)
-    out = S.run(S.incremental_ema(bars, 12), "append", "s05")
+    out, _, _ = _smoothed(spark, _bar_chunks(spark, d), "1 hour", _after(spark, d, "2 hours"))
+    return out.select("symbol", "ts", F.col("ema").alias("ema_12"))
+
+
+@query("s05_incremental_ema_shuffled", "symbol:s, ts:t, ema_12:d", _EMA_SQL)
+def _s05b(spark, d):
+    # every file holds bars of all times: they wait in the buffer until the watermark passes them
+    out, _, _ = _smoothed(spark, _bar_chunks(spark, d, mixed=True), "40 days", _after(spark, d, "41 days"))
     return out.select("symbol", "ts", F.col("ema").alias("ema_12"))
 
 
+@query("s05_incremental_rsi", "symbol:s, ts:t, rsi_14:d", f"select symbol, ts, rsi_14 from ({_RSI_SQL}) as _r")
+def _s05c(spark, d):
+    out, _, _ = _smoothed(spark, _bar_chunks(spark, d, mixed=True), "40 days", _after(spark, d, "41 days"))
+    return out.select("symbol", "ts", F.col("rsi").alias("rsi_14"))
+
+
+@query("s05_late_bars", "n_bars:l, n_late:l",
+       "select count(*) filter (where part > 0) as n_bars, count(*) filter (where part = 0) as n_late from (select least(2, "
+       "floor(epoch_us(ts - lo) * 3 / epoch_us(hi - lo))) as part from bars_event, (select min(ts) as lo, max(ts) as hi from bars_event) as _m) as _p")
+def _s05d(spark, d):
+    # thirds of the time arrive from the last to the first, with no delay allowed: the middle third still meets the
+    # last one in the buffer, the first third is behind the watermark
+    path = _bar_chunks(spark, d, n_chunks=3, backward=True)
+    out, late, dropped = _smoothed(spark, path, "0 seconds", _after(spark, d, "2 hours"))
+    return out.agg(F.count(F.lit(1)).alias("n_bars")).withColumn("n_late", F.lit(late.count() + dropped).cast("long"))
+
+
 @query("s06_stream_scoring", "symbol:s, ts:t, model:s, y_score:d, batch_id:l")
 def _s06(spark, d):
     from barwise.operators import labels as K

@@ -9,16 +9,21 @@ restarted query resumes exactly once.
 
 from __future__ import annotations
 
+import threading
 import uuid
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barwise.operators.scan import block_len
 from barwise.session import scratch_path
 
+
 def tick_stream(spark: SparkSession, glob: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
     """A file stream (a glob: the file source needs a directory or a pattern)."""
     r = spark.readStream.schema(schema)
@@ -30,15 +35,53 @@ def tick_stream(spark: SparkSession, glob: str, schema: T.StructType, max_files:
 def run(df: DataFrame, mode: str = "append", name: str = "q", foreach=None) -> DataFrame:
     """Drive a streaming DataFrame to completion (``availableNow``) into a parquet table;
     return the table as a batch DataFrame."""
+    return run_counted(df, mode, name, foreach)[0]
+
+
+def run_counted(df: DataFrame, mode: str = "append", name: str = "q", foreach=None,
+                closing: Closing | None = None) -> tuple[DataFrame, int]:
+    """As :func:`run`, with the number of rows that the engine found behind the watermark and dropped: input rows of keyed
+    state and of de-duplication, partial sums (a task's rows of one window) of aggregations.  With ``closing`` the
+    query goes on from its checkpoint once all data are read, to the end of the session."""
     spark = df.sparkSession
+    late = _Late()
+    spark.streams.addListener(late)
     base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex}")
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True)
-    if foreach is not None:
-        q = w.foreachBatch(lambda b, i: foreach(b, i, f"{base}/data")).start()
-    else:
-        q = w.format("parquet").option("path", f"{base}/data").start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/data")
+    w = w.foreachBatch(lambda b, i: foreach(b, i, f"{base}/data")) if foreach is not None else \
+        w.format("parquet").option("path", f"{base}/data")
+    for last in (False, True) if closing else (True,):
+        late.ended.clear()
+        q = w.start()
+        late.watched = str(q.id)
+        q.awaitTermination()
+        late.ended.wait(60)
+        if not last:
+            closing.end()
+    spark.streams.removeListener(late)
+    return spark.read.parquet(f"{base}/data"), sum(late.dropped.get(late.watched, {}).values())
+
+
+class _Late(StreamingQueryListener):
+    """Rows dropped by the watermark, by query and batch."""
+
+    def __init__(self):
+        self.dropped: dict[str, dict[int, int]] = {}
+        self.watched, self.ended = "", threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.dropped.setdefault(str(p.id), {})[p.batchId] = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) == self.watched or not self.watched:
+            self.ended.set()
 
 
 def _append_batches(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -56,12 +99,18 @@ def run_upserts(df: DataFrame, keys: list[str], name: str = "q") -> DataFrame:
     return last.select(*keys, "_v.*")
 
 
+def _keyed(key: str, ts: str) -> Column:
+    """Rows with a key.  It names the event time too, so the filter stays above the watermark and keyless rows move it."""
+    return F.when(F.col(key).isNotNull(), F.col(ts)).isNotNull()
+
+
 # ---------------------------------------------------------------- S01
 def ohlcv(ticks: DataFrame, key: str, ts: str, px: str, interval: str = "1 hour", delay: str = "1 hour",
           order: list[str] | None = None, count_volume: bool = True, qty: str | None = None) -> DataFrame:
     """Tumbling OHLCV bars with a watermark (append: a bar is final once the watermark
-    passes its end; later ticks for it are dropped and counted by the engine)."""
-    t = ticks.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    passes its end; later ticks for it are dropped and counted, see :func:`run_counted`).  Rows without a key, such as
+    the :class:`Closing` row, only move the watermark."""
+    t = ticks.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).filter(_keyed(key, ts))
     k = F.struct(*[F.col(x) for x in (order or [ts])])
     vol = F.count(F.lit(1)).cast("double") if count_volume else F.sum(qty).cast("double")
     g = t.groupBy(F.window(ts, interval).alias("w"), F.col(key).alias("symbol")).agg(
@@ -116,37 +165,122 @@ def latest_quote(ticks: DataFrame, key: str, ts: str, px: str, seq: str) -> Data
                                                        GroupStateTimeout.NoTimeout)
 
 
-EMA_SCHEMA = "symbol string, ts timestamp, ema double"
-EMA_STATE = "ema double, n long, last_ts timestamp"
+SMOOTH_SCHEMA = "symbol string, ts timestamp, ema double, rsi double, late boolean"
+SMOOTH_STATE = ("ts binary, close binary, ema double, n long, prev double, gain double, loss double, changes long, "
+                "gains binary, losses binary, last long")
+
+
+def recurrence(start: float, x: np.ndarray, q: float, a: float) -> np.ndarray:
+    """``y = q * y + a * x`` from ``start`` over a run of values, block by block as in the batch scan."""
+    out, block = np.empty(len(x)), block_len(q)
+    for k in range(0, len(x), block):
+        some = x[k:k + block]
+        i = np.arange(len(some))
+        out[k:k + block] = q ** i * (q * start + np.cumsum(a * some * q ** -i))
+        start = out[k + len(some) - 1]
+    return out
 
 
-def _ema_fn(span: int):
+def _smooth_fn(span: int, n_rsi: int):
     a = 2.0 / (span + 1)
 
+    def ema_of(ema, n, x):
+        """EMAs of new values, null for the first span - 1 values of the symbol; and the new state."""
+        first = ema is None
+        y = recurrence(x[0] if first else ema, x[1:] if first else x, 1 - a, a)
+        y = np.append(x[:1], y) if first else y
+        shown = np.where(n + 1 + np.arange(len(x)) >= span, y, np.nan)
+        return shown, float(y[-1]), n + len(x)
+
+    def rsi_of(prev, held, means, changes, x):
+        """Wilder RSI of new values; ``held`` are the changes before the first mean."""
+        d = np.diff(np.append([np.nan if prev is None else prev], x))
+        d = d[1:] if prev is None else d
+        out = np.full(len(x), np.nan)
+        at = len(x) - len(d)                    # place of the first change
+        parts, new = [], []
+        for k, v in enumerate((np.maximum(d, 0), np.maximum(-d, 0))):
+            need = max(0, n_rsi - changes)
+            held[k] = np.append(held[k], v[:need])
+            y = np.full(len(v), np.nan)
+            mean = means[k]
+            if len(held[k]) == n_rsi and need and len(v) >= need:
+                mean = held[k].mean()
+                y[need - 1] = mean
+            if mean is not None and len(v) > need:
+                y[need:] = recurrence(mean, v[need:], (n_rsi - 1) / n_rsi, 1 / n_rsi)
+            known = y[~np.isnan(y)]
+            new.append(float(known[-1]) if len(known) else mean)
+            parts.append(y)
+        g, b = parts
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[at:] = np.where(np.isnan(g), np.nan, np.where(b > 0, 100 - 100 / (1 + g / b), 100.0))
+        return out, float(x[-1]), held, new, changes + len(d)
+
     def fn(key, pdfs, state: GroupState):
-        ema, n, last_ts = state.get if state.exists else (None, 0, None)
-        out_ts, out_v = [], []
+        ts, close, ema, n, prev, gain, loss, changes, gains, losses, last = state.get if state.exists else (
+            b"", b"", None, 0, None, None, None, 0, b"", b"", None)
+        ts, close = [np.frombuffer(ts, "<i8")], [np.frombuffer(close, "<f8")]
         for pdf in pdfs:
-            pdf = pdf.sort_values("ts")
-            for t, x in zip(pdf["ts"], pdf["close"]):
-                if last_ts is not None and t <= last_ts:
-                    continue                        # a replayed bar: state already has it
-                ema = x if ema is None else a * x + (1 - a) * ema
-                n += 1
-                last_ts = t
-                out_ts.append(t)
-                out_v.append(ema if n >= span else None)
-        state.update((ema, n, last_ts))
-        yield pd.DataFrame({"symbol": [key[0]] * len(out_ts), "ts": out_ts, "ema": out_v})
+            pdf = pdf[pdf["close"].notna()]
+            ts.append(pdf["ts"].to_numpy().astype("datetime64[us]").astype("<i8"))
+            close.append(pdf["close"].to_numpy().astype("<f8"))
+        ts, close = np.concatenate(ts), np.concatenate(close)
+        order = np.argsort(ts, kind="stable")
+        ts, close = ts[order], close[order]
+        once = np.append(True, np.diff(ts) > 0) if len(ts) else np.zeros(0, bool)     # a bar delivered twice counts once
+        ts, close = ts[once], close[once]
+        if last is not None and len(ts) and ts[0] <= last:
+            old = int(np.searchsorted(ts, last, "right"))
+            yield pd.DataFrame({"symbol": key[0], "ts": ts[:old].astype("datetime64[us]"), "ema": np.nan, "rsi": np.nan, "late": True})
+            ts, close = ts[old:], close[old:]
+        passed = state.getCurrentWatermarkMs() * 1000
+        done = int(np.searchsorted(ts, passed, "right"))
+        if done:
+            x = close[:done]
+            shown, ema, n = ema_of(ema, n, x)
+            held = [np.frombuffer(gains, "<f8"), np.frombuffer(losses, "<f8")]
+            rsi, prev, held, (gain, loss), changes = rsi_of(prev, held, [gain, loss], changes, x)
+            gains, losses = (h.tobytes() if changes < n_rsi else b"" for h in held)
+            yield pd.DataFrame({"symbol": key[0], "ts": ts[:done].astype("datetime64[us]"), "ema": shown, "rsi": rsi, "late": False})
+            last = int(ts[done - 1])
+        ts, close = ts[done:], close[done:]
+        state.update((ts.tobytes(), close.tobytes(), ema, n, prev, gain, loss, changes, gains, losses, last))
+        if len(ts):
+            state.setTimeoutTimestamp(int(ts[0] // 1000) + 1)
     return fn
 
 
-def incremental_ema(bars: DataFrame, span: int = 12) -> DataFrame:
-    """EMA (y0 = x0, null for the first span-1 bars) carried across micro-batches in
-    keyed state; batch-for-batch equal to the batch scan F01."""
-    b = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close")
-    return b.groupBy("symbol").applyInPandasWithState(_ema_fn(span), EMA_SCHEMA, EMA_STATE, "append",
-                                                       GroupStateTimeout.NoTimeout)
+def incremental_smoothers(bars: DataFrame, span: int = 12, n_rsi: int = 14, delay: str = "1 hour") -> DataFrame:
+    """EMA (y0 = x0, null for the first span - 1 bars) and Wilder RSI carried across micro-batches in
+    keyed state; equal to the batch scans F01 and F03 however bars arrive inside the ``delay``.
+
+    A symbol's bars wait in an ordered buffer until the watermark has passed them (an event-time timer wakes symbols
+    without new bars), then go through the recurrences in time order.  The buffer holds the bars of one delay.
+    A bar no newer than one already released comes too late: it is a row of its own with ``late`` true (a side output; those
+    that the engine drops before are counted by :func:`run_counted`).  Bars delivered twice inside the delay
+    count once.  A :class:`Closing` row releases the last bars.
+    """
+    b = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close").withWatermark("ts", delay)
+    return b.filter(_keyed("symbol", "ts")).groupBy("symbol").applyInPandasWithState(
+        _smooth_fn(span, n_rsi), SMOOTH_SCHEMA, SMOOTH_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Closing:
+    """The end of a session as a row of its own: null but for its time, after which nothing older is to come.
+
+    ``stream`` is joined to the data stream by ``unionByName`` before the watermark; ``end(at)`` writes the row. Given to
+    :func:`run_counted`, it does so when all data are read, and append mode writes what is still open."""
+
+    def __init__(self, spark: SparkSession, like: T.StructType, ts: str, at):
+        self.path = scratch_path(spark, f"closing-{uuid.uuid4().hex}")
+        self.rows = spark.range(1, numPartitions=1).select(*[
+            (F.lit(at) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.fields])
+        self.rows.limit(0).write.parquet(self.path)
+        self.stream = tick_stream(spark, self.path, self.rows.schema)
+
+    def end(self) -> None:
+        self.rows.write.mode("append").parquet(self.path)
 
 
 # ---------------------------------------------------------------- S06

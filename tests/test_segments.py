@@ -128,3 +128,38 @@ def test_full_set_skew_safe_equals_plain(brand):
     bad = {c: d[c] for c in cols if d[c] is not None and d[c] > 1e-9}
     bad.update({c: d[f"n_{c}"] for c in cols if d[f"n_{c}"]})
     assert not bad, bad
+
+
+def _uneven(spark):
+    """Symbols of very different length, with nulls at the head, in the middle and at the end."""
+    return spark.range(2000).select(
+        F.when(F.col("id") < 1500, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 9)).alias("symbol"),
+        F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+        F.when((F.col("id") > 40) & (F.col("id") % 11 < 4) & (~F.col("id").between(300, 900)), F.col("id").cast("double")).alias("x"),
+        F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).alias("y"))
+
+
+def test_positions_and_fills_in_blocks_equal_windows(spark):
+    from pyspark.sql import Window
+
+    from barwise.operators.segments import carried, positions
+    df = _uneven(spark)
+    w = Window.partitionBy("symbol").orderBy("ts")
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    numbered = df.withColumns({"_pos": F.row_number().over(w).cast("long"), "_n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    forward = df.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in "xy"})
+    back = df.withColumns({c: F.first(c, ignorenulls=True).over(after) for c in "xy"})
+    for block in (40, 5000):
+        for got, want in ((positions(df, block=block), numbered), (carried(df, ["x", "y"], block=block), forward),
+                          (carried(df, ["x", "y"], backward=True, block=block), back)):
+            got = got.select(*want.columns)
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_last_rows_leave_tasks_limited(spark):
+    from barwise.operators.segments import last_rows
+    got = last_rows(_uneven(spark), 3)
+    assert {(r["symbol"], r["n"]) for r in got.groupBy("symbol").agg(F.count("*").alias("n")).collect()} == \
+        {("hot", 3), *((f"s{k}", 3) for k in range(9))}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2          # in the tasks, then merged
