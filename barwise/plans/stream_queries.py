@@ -135,8 +135,8 @@ def _s05d(spark, d):
     return out.agg(F.count(F.lit(1)).alias("n_bars")).withColumn("n_late", F.lit(late.count() + dropped).cast("long"))
 
 
-@query("s06_stream_scoring", "symbol:s, ts:t, model:s, y_score:d, batch_id:l")
-def _s06(spark, d):
+def _scored_stream(spark, d):
+    """Every batch's predictions, and the model."""
     from barwise.operators import labels as K
     from barwise.operators import ml as R
     from barwise.plans.featuresets import BASIC, basic_set
@@ -144,10 +144,30 @@ def _s06(spark, d):
     hist = K.targets(basic_set(bars_event(spark, d)))
     seqs = K.sequences(hist, feats, "target_direction", lookback=5)
     model = R.fit_direction(seqs, "logistic", regParam=0.01)
-    path = _bar_chunks(spark, d)
-    bars = S.tick_stream(spark, f"{path}/*.parquet", BAR_SCHEMA, max_files=2)
-    out = S.run(bars, "append", "s06", foreach=S.scoring_sink(model, feats, 5))
-    return out.select("symbol", "ts", "model", "y_score", "batch_id")
+    bars = S.tick_stream(spark, f"{_bar_chunks(spark, d)}/*.parquet", BAR_SCHEMA, max_files=1)
+    return S.run(bars, "append", "s06", foreach=S.scoring_sink(model, feats, 5)), model
+
 
+@query("s06_stream_scoring", "symbol:s, ts:t, model:s, y_score:d, batch_id:l")
+def _s06(spark, d):
+    return _scored_stream(spark, d)[0].select("symbol", "ts", "model", "y_score", "batch_id")
 
 
+# after every batch the streamed score of a symbol is the batch score on its bars so far
+@query("s06_stream_equals_batch", "symbol:s, ts:t, batch_id:l, score_error:d",
+       "with p as (select symbol, ts, least(3, floor(epoch_us(ts - lo) * 4 / epoch_us(hi - lo))) as part from bars_event, "
+       "(select min(ts) as lo, max(ts) as hi from bars_event) as _m) "
+       "select symbol, max(ts) as ts, cast(part as bigint) as batch_id, 0.0 as score_error from p group by symbol, part")
+def _s06b(spark, d):
+    from barwise.operators import labels as K
+    from barwise.operators import ml as R
+    from barwise.plans.featuresets import BASIC, basic_set
+    out, model = _scored_stream(spark, d)
+    bars = bars_event(spark, d).checkpoint()
+    # the whole history up to the last bar of each prediction, scored at once
+    cuts = out.select(F.concat_ws("|", "symbol", F.col("batch_id").cast("string")).alias("run"), "symbol", F.col("ts").alias("cut")).checkpoint()
+    upto = bars.join(cuts, "symbol").filter(F.col("ts") <= F.col("cut")).drop("cut", "symbol").withColumnRenamed("run", "symbol")
+    seq = K.latest_sequence(basic_set(upto), list(BASIC), 5).withColumn("target", F.lit(None).cast("double"))
+    want = R.score(model, seq, "logistic").select(F.col("symbol").alias("run"), F.col("y_score").alias("want"))
+    got = out.withColumn("run", F.concat_ws("|", "symbol", F.col("batch_id").cast("string")))
+    return got.join(want, "run", "left").withColumn("score_error", F.abs(F.col("y_score") - F.col("want")))

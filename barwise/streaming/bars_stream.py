@@ -284,16 +284,46 @@ class Closing:
 
 
 # ---------------------------------------------------------------- S06
+#: Bars before a sequence that its features still depend on: the longest window of the basic set, and one bar back.
+WARM_UP = 11
+
+
+def with_history(batch: DataFrame, batch_id: int, store: str, keep: int) -> DataFrame:
+    """A micro-batch's bars behind the last ``keep`` stored bars of every symbol.
+
+    The store has one folder a batch id, written whole from the folder before and the batch, so a replayed
+    batch reads the same history and replaces its own folder.  A bar delivered again replaces the stored one.
+    """
+    from barwise.operators.segments import last_rows
+    spark = batch.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getName().split("=")[1]) for s in (fs.listStatus(hadoop) if fs.exists(hadoop) else ())
+            if s.getPath().getName().startswith("after=")]
+    before = max((k for k in done if k < batch_id), default=None)
+    both = batch.withColumn("_new", F.lit(1))
+    if before is not None:
+        old = spark.read.schema(batch.schema).parquet(f"{store}/after={before}").withColumn("_new", F.lit(0))
+        both = both.unionByName(old)
+    cells = [c for c in batch.columns if c not in ("symbol", "ts")]
+    both = both.groupBy("symbol", "ts").agg(F.max_by(F.struct(*cells), "_new").alias("_b"), F.max("_new").alias("_new"))
+    both = both.select("symbol", "ts", "_b.*", "_new")
+    last_rows(both, keep).drop("_k", "_new").select(*batch.columns).write.mode("overwrite").parquet(f"{store}/after={batch_id}")
+    return both
+
+
 def scoring_sink(model, feats: list[str], lookback: int):
-    """foreachBatch body: features of the batch's bars, latest sequence per symbol,
-    score with the saved model, append predictions (idempotent per batch id)."""
+    """foreachBatch body: features of the stored and the new bars, latest sequence of every symbol with
+    new bars, score with the saved model, predictions written whole per batch id."""
     from barwise.operators import labels as K
     from barwise.operators import ml as R
     from barwise.plans.featuresets import basic_set
 
     def body(batch: DataFrame, batch_id: int, path: str):
-        f = basic_set(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
-        seq = K.latest_sequence(f, feats, lookback).withColumn("target", F.lit(None).cast("double"))
-        p = R.score(model, seq, "logistic").withColumn("batch_id", F.lit(batch_id))
+        bars = batch.filter("symbol is not null").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        rows = with_history(bars, batch_id, f"{path}-store", lookback + WARM_UP)
+        seen = rows.filter("_new = 1").select("symbol").distinct()
+        seq = K.latest_sequence(basic_set(rows.drop("_new")), feats, lookback).withColumn("target", F.lit(None).cast("double"))
+        p = R.score(model, seq.join(seen, "symbol", "left_semi"), "logistic").withColumn("batch_id", F.lit(batch_id))
         p.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return body
