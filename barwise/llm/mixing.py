@@ -60,13 +60,15 @@ def thresholds(spark: SparkSession, slim: DataFrame, wanted: DataFrame) -> DataF
     taken, and ``below``, the hash under which it is taken once more.
 
     ``slim (source, size, hash)`` has a row a document.  The bucket left at the end holds
-    rows of equal hash prefix: it is taken if that comes nearer to the target.
+    rows of equal hash prefix: it is taken if that comes nearer to the target.  Where it has several rows,
+    ``take`` of those with hashes from ``edge`` to before ``edge_end`` come nearer still.
     """
     ratio = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
     whole = F.floor(ratio)
     state = written(spark, wanted.select("source", whole.alias("whole"),
                                          F.greatest(F.col("target") - whole * F.col("size"), F.lit(0.0)).alias("budget"),
-                                         F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("words")),
+                                         F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("words"),
+                                         F.lit(0).cast("long").alias("rows")),
                     "thresholds")
     for level in range(LEVELS):
         left = HASH_BITS - LEVEL_BITS * level            # bits not yet decided
@@ -74,14 +76,14 @@ def thresholds(spark: SparkSession, slim: DataFrame, wanted: DataFrame) -> DataF
             (F.col("budget") > 0) & (F.shiftrightunsigned("hash", left) == F.col("prefix")))
         bucket = F.shiftrightunsigned("hash", left - LEVEL_BITS).alias("bucket")
         sums = inside.groupBy("source", bucket).agg(
-            F.sum("size").alias("n"), F.first("budget").alias("budget"),
+            F.sum("size").alias("n"), F.count(F.when(F.col("size") > 0, 1)).alias("rows"), F.first("budget").alias("budget"),
             F.min("hash").alias("lo"), F.max("hash").alias("hi"))
         running = Window.partitionBy("source").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("n").over(running))
         # the first bucket in which the budget runs out; the last one if it never does
         edge = sums.groupBy("source").agg(
             F.min(F.when(F.col("upto") > F.col("budget"),
-                         F.struct("bucket", "upto", "n", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("e"))
+                         F.struct("bucket", "upto", "n", "rows", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("e"))
         moved = state.join(edge.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
         state = written(spark, moved.select(
             "source", "whole",
@@ -93,6 +95,7 @@ def thresholds(spark: SparkSession, slim: DataFrame, wanted: DataFrame) -> DataF
                 F.col("e.bucket")).alias("prefix"),
             F.when(F.col("budget") <= 0, F.lit(0)).when(F.col("e").isNull(), F.lit(0)).otherwise(
                 F.col("e.n")).alias("words"),
+            F.when((F.col("budget") <= 0) | F.col("e").isNull(), F.lit(0)).otherwise(F.col("e.rows")).alias("rows"),
             F.coalesce(F.col("e.mixed"), F.lit(False)).alias("mixed"),
             # decided: nothing left to refine
             F.when(F.col("e").isNull(), F.lit(0.0)).otherwise(F.lit(1.0)).alias("open")).withColumn(
@@ -100,9 +103,28 @@ def thresholds(spark: SparkSession, slim: DataFrame, wanted: DataFrame) -> DataF
         if not state.filter("mixed").take(1):
             break
     bits = HASH_BITS - LEVEL_BITS * (level + 1)
+    several = F.col("rows") > 1
     nearer = (F.col("words") > 0) & (F.col("budget") * 2 >= F.col("words"))
     below = F.shiftleft(F.col("prefix") + nearer.cast("long"), bits)
-    return state.select("source", "whole", below.alias("below"))
+    edge = F.when(several, F.shiftleft("prefix", bits))
+    take = F.when(several, F.floor(F.col("budget") * F.col("rows") / F.col("words") + 0.5)).otherwise(0)
+    return state.select("source", "whole", below.alias("below"), edge.alias("edge"),
+                        (edge + F.lit(1 << bits)).alias("edge_end"), take.alias("take"))
+
+
+def _counted(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows of one hash a source, of which the first ``take`` are taken once more.  They are written, so
+    that their places are the same whenever they are read, and counted by written part: a group of any size is
+    many short lists."""
+    rows = written(spark, rows.withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}), "edge-rows")
+    parts = rows.filter("_size > 0").groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    here = Window.partitionBy("_source", "_part").orderBy(F.col("_size") == 0, "_seq")
+    rows = rows.withColumn("_nth", F.row_number().over(here))
+    rows = rows.join(parts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")), "left")
+    more = (F.col("_size") > 0) & (F.col("_nth") + F.col("_before") <= F.col("take"))
+    return rows.withColumn("_more", F.coalesce(more, F.lit(False)))
 
 
 def _planned(spark: SparkSession, docs: DataFrame, weights, most: int) -> tuple[DataFrame, list[Column]]:
@@ -116,11 +138,16 @@ def _planned(spark: SparkSession, docs: DataFrame, weights, most: int) -> tuple[
     cut = thresholds(spark, slim, wanted)
     plan = wanted.join(cut.withColumnRenamed("source", "_c"), F.col("source").eqNullSafe(F.col("_c"))).select(
         F.col("source").alias("_source"), F.col("size").alias("_source_size"), F.col("target").alias("_target"),
-        "whole", "below")
+        "whole", "below", "edge", "edge_end", "take")
     # a row a source: sent to every task while that is small (counted), else both sides meet
     plan = F.broadcast(plan) if wanted.count() <= BROADCAST_SOURCES else plan
     out = flat.withColumns({"_size": size, "_hash": hash_}).join(plan, source.eqNullSafe(F.col("_source")))
-    times = F.least(F.col("whole") + (F.col("_hash") < F.col("below")).cast("long"), F.lit(most))
+    out = out.withColumn("_more", F.col("_hash") < F.col("below"))
+    if cut.filter("edge is not null").take(1):
+        # equal rows at the threshold are few or many: they are told apart by their number
+        edge = F.coalesce((F.col("_hash") >= F.col("edge")) & (F.col("_hash") < F.col("edge_end")), F.lit(False))
+        out = out.filter(~edge).unionByName(_counted(spark, out.filter(edge)).select(*out.columns))
+    times = F.least(F.col("whole") + F.col("_more").cast("long"), F.lit(most))
     return out.withColumn("_times", times.cast("int")), back
 
 
@@ -129,7 +156,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(1, 2, 3), most: int = MOS
     ``_source_size``, ``_target`` and ``_times``, how often the mix takes it (0 to ``most``).
 
     A null text has size 0; null sources are one source; rows of size 0 are taken like any
-    other under the threshold; rows of equal doc_id and text are decided alike.
+    other under the threshold; rows of equal doc_id and text are decided alike, but for those at the threshold,
+    of which as many are taken as come nearest to the target.
     Only (source, size, hash) is shuffled; the documents themselves are read twice and stay
     where they are (but for more than ``BROADCAST_SOURCES`` sources).
     """
@@ -144,6 +172,7 @@ def mixed(spark: SparkSession, docs: DataFrame, weights=(1, 2, 3), most: int = M
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each of the ``documents``, in words; odd rows as in ``mix``."""
     prepare(spark)
     found = mix(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"),

@@ -7,6 +7,8 @@ documents that cross block borders are stitched by a prefix scan over block summ
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,16 +22,26 @@ BLOCK_IDS = 1 << 18
 SUPER = 256
 
 
+def id_width(tokenizer_json: bytes, end_id: int) -> int:
+    """Bytes of an id in the files: two if all ids of the vocabulary and ``end_id`` fit, else four."""
+    config = json.loads(tokenizer_json)
+    most = max([end_id, *config["model"]["vocab"].values(), *(t["id"] for t in config.get("added_tokens", []))])
+    if not 0 <= end_id < 1 << 32 or most >= 1 << 32:
+        raise ValueError(f"ids up to {most} and the separator {end_id} do not fit four bytes")
+    return 2 if most < 1 << 16 else 4
+
+
 def write_flat(spark: SparkSession, docs: DataFrame, tokenizer_json: bytes, end_id: int,
                name: str = "flat") -> tuple[DataFrame, DataFrame]:
-    """Token files of ``docs``: one per partition, blocks of ``BLOCK_IDS`` 16-bit ids.
+    """Token files of ``docs``: one per partition, blocks of ``BLOCK_IDS`` ids.
 
     Returns the blocks ``(file, block, ids)`` and the manifest ``(file, block, doc_ids)``,
     the ids of the documents that end in a block, in order and without lengths.  Strings of
     special tokens inside a text are ordinary text, so only real separators have ``end_id``.
     Null texts are empty (a separator alone); null ids and repeated rows are kept; an empty
-    table gives no files.
+    table gives no files.  Ids have two bytes, or four for a vocabulary that needs them (:func:`id_width`).
     """
+    width = id_width(tokenizer_json, end_id)
     shipped = spark.sparkContext.broadcast(tokenizer_json)
     schema = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()),
                         ("doc_ids", pa.list_(pa.int64()))])
@@ -37,11 +49,11 @@ def write_flat(spark: SparkSession, docs: DataFrame, tokenizer_json: bytes, end_
     def encode(batches):
         from barwise.llm.chunks import encoder
         enc = encoder(shipped.value, specials_as_text=True)
-        file, block, size = TaskContext.get().partitionId(), 0, 2 * BLOCK_IDS
+        file, block, size = TaskContext.get().partitionId(), 0, width * BLOCK_IDS
         rest, ended = bytearray(), []
         for rows, texts in text_slices(batches):
             ids, n = enc.encode(texts)
-            ids = np.insert(ids.astype("<u2"), np.cumsum(n), np.uint16(end_id))
+            ids = np.insert(ids.astype(f"<u{width}"), np.cumsum(n), end_id)
             ends = np.cumsum(n + 1).tolist()
             for doc, a, b in zip(rows.column("doc_id").to_pylist(), [0, *ends], ends):
                 rest += ids[a:b].tobytes()
@@ -118,7 +130,7 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     prepare(spark)
     blocks, manifest = write_flat(spark, table(spark, sf_dir, "documents"),
-                                  tokenizer_bytes(public_tokenizers.path("word_bpe_49k.json")), end_id=49407)
-    counted = stitch(written(spark, find_separators(blocks, 49407), "separators"))
+                                  tokens := tokenizer_bytes(public_tokenizers.path("word_bpe_49k.json")), end_id=49407)
+    counted = stitch(written(spark, find_separators(blocks, 49407, id_width(tokens, 49407)), "separators"))
     names = manifest.select("file", "block", F.posexplode("doc_ids").alias("nth", "doc_id"))
     return names.join(counted, ["file", "block", "nth"], "left").select("doc_id", "n_tokens")

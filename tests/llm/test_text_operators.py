@@ -270,6 +270,18 @@ def test_mix_of_odd_rows(spark, odd, empty):
     assert sorted(r["_target"] for r in mixing.mix(spark, blank).collect()) == [0.0, 0.0]
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_equal_rows_come_near_their_target(spark, parts):
+    """Two sources of 2,000 words each: the one of 20 equal rows should give 1,333 words, the other 2,667."""
+    rows = [(None, "word " * 100, "a")] * 20 + [(k, f"w{k} " * 100, "b") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+    got = mixing.mix(spark, df).collect()
+    sizes, taken, target, _ = check_mix(got)
+    assert target["a"] == pytest.approx(4000 / 3) and taken["a"] == 1300
+    assert abs(taken["b"] - target["b"]) <= 51
+    assert len(got) == 40 and mixing.mixed(spark, df).count() == sum(r["_times"] for r in got)
+
+
 @pytest.mark.parametrize("bits, levels", [(2, 5), (12, 5), (3, 1)])
 def test_thresholds_come_near_any_target(spark, monkeypatch, bits, levels):
     monkeypatch.setattr(mixing, "LEVEL_BITS", bits)

@@ -184,6 +184,25 @@ def test_separator_scan_of_odd_rows(spark, odd, docs, empty, monkeypatch, size):
     assert separators.stitch(separators.find_separators(b0, 49407)).count() == 0
 
 
+def test_separator_scan_of_a_large_vocabulary(spark):
+    """Ids over 65,535 take four bytes; none is mistaken for the separator whose lower bits it shares."""
+    import json
+    vocab = {f"w{k}": k for k in range(100_000)} | {"[UNK]": 100_000}
+    big = json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None,
+                      "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None,
+                      "model": {"type": "WordLevel", "vocab": vocab, "unk_token": "[UNK]"}}).encode()
+    texts = ["w65541 w5 w99999", "", "w131 w65541", None, "w70000 " * 50]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    blocks, manifest = separators.write_flat(spark, table, big, 5 + 100_000)
+    assert separators.id_width(big, 5) == 4 and separators.id_width(WORD, 49407) == 2
+    counted = separators.stitch(separators.find_separators(blocks, 5 + 100_000, 4))
+    names = manifest.selectExpr("file", "block", "posexplode(doc_ids) as (nth, doc_id)")
+    got = dict(map(tuple, names.join(counted, ["file", "block", "nth"], "left").select("doc_id", "n_tokens").collect()))
+    assert got == {k: len((t or "").split()) for k, t in enumerate(texts)}
+    with pytest.raises(ValueError):
+        separators.id_width(WORD, 1 << 33)
+
+
 def test_separator_scan_leaves_open_ends(spark):
     flat = [5, 9, 1, 1, 9, 7, 7, 7, 7, 9, 9, 3, 3]
     blocks = spark.createDataFrame([(0, k, np.array(flat[4 * k:4 * k + 4], "<u2").tobytes()) for k in range(4)]
