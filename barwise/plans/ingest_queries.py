@@ -201,7 +201,7 @@ def _b03(spark, d):
 
 @query("b04_expand_candidates", "q:s, candidate:s", """
 with qs as (select market_symbol as q from dim
-            union select replace(lower(name), '#', '') as q from dim where cast(symbol as bigint) % 17 = 0),
+            union select replace(lower(name), '#', '') as q from dim),
 empty as (select q from qs where not exists (
             select 1 from dim where contains(lower(dim.symbol), lower(qs.q)) or contains(lower(dim.name), lower(qs.q)))),
 cand as (select q, case when upper(q) like '%.NS' or upper(q) like '%.BO'
@@ -213,8 +213,7 @@ where candidate in (select candidate from known)""")
 def _b04(spark, d):
     dim = D.dim_symbols(spark, d)
     qs = dim.select(F.col("market_symbol").alias("q")).union(
-        dim.filter(F.col("symbol").cast("bigint") % 17 == 0)
-           .select(F.replace(F.lower("name"), F.lit("#"), F.lit("")).alias("q"))).distinct()
+        dim.select(F.replace(F.lower("name"), F.lit("#"), F.lit("")).alias("q"))).distinct()
     return D.expand_candidates(qs, dim)
 
 

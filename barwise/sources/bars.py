@@ -6,6 +6,8 @@ close, volume double`` with key ``(symbol, ts)``.  All symbols live in one DataF
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,15 +111,40 @@ def bucket(ts: Column | str, interval: str | None) -> Column:
     return F.timestamp_seconds(secs - F.pmod(secs, F.lit(s))).cast("timestamp_ntz")
 
 
+def order_key(df: DataFrame, order: list[str] | dict[str, int]) -> Column:
+    """One value in the order of ``order``.  Columns with their widths in bits (non-negative whole numbers or times, 126 bits
+    in all) are packed into one number of fixed width, which lets ``min_by``/``max_by`` aggregate in a hash
+    table; a value that does not fit its width fails the job.  Without widths it is a struct, which needs a sort."""
+    if not isinstance(order, dict):
+        return F.struct(*[F.col(c) for c in order])
+    types = dict(df.dtypes)
+    longs, free = [], 0
+    for c, bits in order.items():
+        x = F.unix_micros(F.col(c).cast("timestamp")) if types[c].startswith("timestamp") else F.col(c).cast("bigint")
+        x = F.when((x >= 0) & (x <= (1 << bits) - 1), x).when(x.isNotNull(), F.raise_error(F.lit(f"{c} does not fit {bits} bits")).cast("bigint"))
+        if bits <= free:
+            longs[-1] = (F.shiftleft(longs[-1][0], bits).bitwiseOR(x), longs[-1][1] + bits)
+            free -= bits
+        else:
+            longs.append((x, bits))
+            free = 63 - bits
+    if sum(order.values()) > 126 or len(longs) > 2:
+        raise ValueError("an order key has 126 bits at most, in two runs of 63")
+    if len(longs) == 1:
+        return longs[0][0]
+    high, low = (x.cast("decimal(19,0)") for x, _ in longs)
+    return (high * F.lit(Decimal(1 << longs[1][1])) + low).cast("decimal(38,0)")
+
+
 def to_bars(ticks: DataFrame, key: str, ts: str, px: str, qty: str | None, interval: str | None,
-            order: list[str] | None = None, count_volume: bool = False) -> DataFrame:
+            order: list[str] | dict[str, int] | None = None, count_volume: bool = False) -> DataFrame:
     """Ticks -> OHLCV bars per (key, bucket).
 
     open/close are the price of the first/last tick by ``order`` (a unique tie-break key,
     default the tick time); min_by/max_by aggregate partially on the map side, so a hot
-    symbol is pre-aggregated before the shuffle.
+    symbol is pre-aggregated before the shuffle, in a hash table where the key has a fixed width.
     """
-    k = F.struct(*[F.col(x) for x in (order or [ts])])
+    k = order_key(ticks, order or [ts])
     vol = F.count(F.lit(1)).cast("double") if count_volume else F.sum(F.col(qty)).cast("double")
     return (ticks.groupBy(F.col(key).cast("string").alias("symbol"), bucket(ts, interval).alias("ts"))
             .agg(F.min_by(F.col(px), k).alias("open"), F.max(px).alias("high"),
@@ -131,9 +158,10 @@ _ROLL = {"1wk": "week", "1mo": "month", "3mo": "quarter"}
 
 def rollup_bars(bars: DataFrame, unit: str) -> DataFrame:
     """Re-aggregate bars to calendar weeks (Monday), months or quarters."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     return (bars.groupBy("symbol", F.date_trunc(_ROLL[unit], "ts").cast("timestamp_ntz").alias("ts"))
-            .agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"),
-                 F.min("low").alias("low"), F.max_by("close", "ts").alias("close"),
+            .agg(F.min_by("open", at).alias("open"), F.max("high").alias("high"),
+                 F.min("low").alias("low"), F.max_by("close", at).alias("close"),
                  F.sum("volume").alias("volume")))
 
 
@@ -276,20 +304,19 @@ def brand_ticks(spark: SparkSession, d: str) -> DataFrame:
 def bars_brand(spark: SparkSession, d: str) -> DataFrame:
     """Daily bars per part brand from lineitem x part (25 symbols, 1995-2001)."""
     return to_bars(brand_ticks(spark, d), "p_brand", "l_shipdate", "px", "l_quantity", None,
-                   order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-                          "l_quantity"])
+                   order={"l_orderkey": 50, "l_linenumber": 13, "l_partkey": 32, "l_suppkey": 31})
 
 
 def bars_event(spark: SparkSession, d: str) -> DataFrame:
     """Hourly bars per event type (5 symbols, January 2024)."""
     return to_bars(table(spark, d, "events"), "event_type", "ts", "value", None, "1h",
-                   order=["ts", "event_id"], count_volume=True)
+                   order={"ts": 58, "event_id": 63}, count_volume=True)
 
 
 def bars_user(spark: SparkSession, d: str) -> DataFrame:
     """6-hourly bars per user (many short symbols)."""
     return to_bars(table(spark, d, "events"), "user_id", "ts", "value", None, "6h",
-                   order=["ts", "event_id"], count_volume=True)
+                   order={"ts": 58, "event_id": 63}, count_volume=True)
 
 
 def bars_dirty(spark: SparkSession, d: str) -> DataFrame:
