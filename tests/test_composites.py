@@ -41,3 +41,18 @@ def test_basic_set_short_history(spark):
     assert rows[0]["returns"] == rows[1]["returns"] == 12 / 11 - 1          # backward fill of the first bar
     assert rows[0]["sma_3"] == 12.0 and rows[3]["sma_3"] == 13.0 and rows[0]["volume_sma_3"] == 100.0
     assert all(r["sma_5"] == r["sma_10"] == r["volume_sma_10"] == r["volatility_5"] == 0.0 for r in rows)
+
+
+def test_every_column_of_a_set_is_compared(spark, sf):
+    """The columns that I01-I04 add to the bars are those of their all-columns specs."""
+    from barwise.plans.registry import load_all
+    load_all()
+    from barwise.plans import composite_full_queries as Q
+    from barwise.plans import featuresets as I
+    from barwise.sources.bars import bars_brand
+    bars = bars_brand(spark, sf).limit(0)
+    made = {"i01_core_set_all_columns": lambda: I.core_set(bars, trim=None), "i02_full_set_all_columns": lambda: I.full_set(bars, trim=None),
+            "i03_extended_set_all_columns": lambda: I.extended_set(bars), "i04_simple_set_all_columns": lambda: I.simple_set(bars)}
+    assert made.keys() == Q.COMPARED.keys()
+    for name, build in made.items():
+        assert sorted(set(build().columns) - set(bars.columns) - {"symbol", "ts"}) == sorted(Q.COMPARED[name]), name
