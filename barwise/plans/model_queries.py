@@ -251,6 +251,67 @@ def _n06(spark, d):
     return N.stacking(p.filter(F.col("ts") < cut), p.filter(F.col("ts") >= cut), MODELS)
 
 
+# the optimum over the whole simplex: its conditions hold, and no grid point is better
+@query("n05_simplex_weights", "model:s, kkt:d, total:d, beaten_by_grid:i",
+       " union all ".join(f"select '{mo}' as model, 0.0 as kkt, 1.0 as total, 0 as beaten_by_grid" for mo in MODELS))
+def _n05b(spark, d):
+    p = _preds(spark, d)
+    best = N.simplex_weights(p, MODELS, "logloss")
+    grid = N.weight_search(p, MODELS, "logloss", 0.1).agg(F.min("loss")).first()[0]
+    total = best.agg(F.sum("weight")).first()[0]
+    return best.select("model", "kkt", F.lit(total).alias("total"), (F.col("loss") > grid + 1e-12).cast("int").alias("beaten_by_grid"))
+
+
+@query("n05_simplex_weights_mse", "model:s, kkt:d, weight:d4",
+       # two models: the weight that minimises the MSE in closed form, kept inside the simplex
+       f"with m as (select symbol, ts, cast(y_true as double) as y, {_PIV} from preds group by symbol, ts, y_true), "
+       f"v as (select least(greatest(sum(({MODELS[0]} - {MODELS[1]}) * (y - {MODELS[1]})) / sum(({MODELS[0]} - {MODELS[1]}) * "
+       f"({MODELS[0]} - {MODELS[1]})), 0), 1) as a from m) select '{MODELS[0]}' as model, 0.0 as kkt, a as weight from v "
+       f"union all select '{MODELS[1]}', 0.0, 1 - a from v")
+def _n05c(spark, d):
+    return N.simplex_weights(_preds(spark, d), MODELS[:2], "mse").select("model", "kkt", "weight")
+
+
+_CUT_SQL = "ts < timestamp '2024-01-20'"
+
+
+@query("n06_linear_meta", "term:s, moment:d",
+       " union all ".join(f"select '{t}' as term, 0.0 as moment" for t in ["constant", *MODELS]))
+def _n06b(spark, d):
+    # the normal equations: residuals of the fitted rows have no moment with the constant or any model
+    p = _preds(spark, d).filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    out = N.linear_stacking(p, p, MODELS).join(N.matrix(p, MODELS), ["symbol", "ts", "y_true"])
+    r = F.col("y_true") - F.col("stacked")
+    row = out.agg(F.avg(r).alias("constant"), *[F.avg(r * F.col(m)).alias(m) for m in MODELS])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("moment")) for t in ["constant", *MODELS]]))
+                      .alias("t")).select("t.*")
+
+
+@query("n06_linear_stacking_one_model", "symbol:s, ts:t, stacked:d",
+       f"with t as (select * from preds where model = '{MODELS[0]}'), "
+       f"c as (select regr_slope(cast(y_true as double), y_score) as b, regr_intercept(cast(y_true as double), y_score) as a from t where {_CUT_SQL}) "
+       f"select symbol, ts, a + b * y_score as stacked from t, c where not ({_CUT_SQL})")
+def _n06c(spark, d):
+    p = _preds(spark, d)
+    cut = F.lit("2024-01-20").cast("timestamp_ntz")
+    return N.linear_stacking(p.filter(F.col("ts") < cut), p.filter(F.col("ts") >= cut), MODELS[:1])
+
+
+@query("n06_linear_validation", "n:l, mse_error:i, r2_error:i",
+       f"select count(*) as n, 0 as mse_error, 0 as r2_error from (select symbol, ts from preds where not ({_CUT_SQL}) group by symbol, ts) as _k")
+def _n06d(spark, d):
+    # the score is that of the returned predictions, and not worse than the best single model on the fitted rows
+    p = _preds(spark, d)
+    cut = F.lit("2024-01-20").cast("timestamp_ntz")
+    out = N.linear_stacking(p.filter(F.col("ts") < cut), p.filter(F.col("ts") >= cut), MODELS).checkpoint()
+    y = F.col("y_true").cast("double")
+    own = out.agg(F.sum((y - F.col("stacked")) ** 2).alias("s"), F.sum(y * y).alias("q"), F.sum(y).alias("t"), F.count(F.lit(1)).alias("m"))
+    score = N.stacking_score(out).join(F.broadcast(own), F.col("n") == F.col("m"))
+    return score.select("n", (F.abs(F.col("mse") - F.col("s") / F.col("m")) > 1e-9).cast("int").alias("mse_error"),
+                        (F.abs(F.col("r2") - (1 - F.col("s") / (F.col("q") - F.col("t") * F.col("t") / F.col("m")))) > 1e-9)
+                        .cast("int").alias("r2_error"))
+
+
 # ------------------------------------------------------------------------ O
 SUMMARY = "model:s, accuracy:d, precision:d, recall:d, f1:d, roc_auc:d, tpr:d, tnr:d, mcc:d"
 _SUM_SQL = (w(LAB, CNT, CLS, TRD, SC, AUC) + "select cls.*, auc.roc_auc, trd.tpr, trd.tnr, trd.mcc from cls "
