@@ -143,3 +143,8 @@ def with_cols(df, cols: dict):
 def bar_cols(*names: str) -> tuple[Column, ...]:
     """Column handles for bar fields (built per call: no Spark context needed at import)."""
     return tuple(F.col(n) for n in names)
+
+
+def text_hash(*parts, bits: int = 60) -> Column:
+    """Non-negative hash of texts joined by ``|``, from the first digits of their MD5: an order that any engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, bits // 4), 16, 10).cast("bigint")

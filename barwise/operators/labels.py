@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.core import lead, win
+from barwise.functions.core import lead, text_hash, win
 from barwise.operators.ranking import exact_quantiles, global_rank
 from barwise.operators.segments import in_block, last_rows, positions, segmented
 
@@ -164,7 +164,8 @@ def stratified_split(df: DataFrame, label: str, key: list[str], seed: int = 42,
 
     The per-class order is a bucketed global rank (two classes must not mean two tasks).
     """
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    h = text_hash(*[F.date_format(k, "yyyy-MM-dd HH:mm:ss") if dict(df.dtypes)[k].startswith("timestamp") else F.col(k).cast("string")
+                    for k in key], F.lit(str(seed)))
     r = global_rank(df.withColumn("_h", h), [label], ["_h", *key])
     n_tr = F.ceil(F.col("n") * train)
     n_va = F.ceil((F.col("n") - n_tr) / 2)
@@ -180,13 +181,12 @@ def split_gate(df: DataFrame, label: str = "target", min_rows: int = 10) -> Data
 
 def augment_noise(seqs: DataFrame, sigma: float = 0.01, seed: int = 7) -> DataFrame:
     """Add N(0, sigma) noise to every sequence value (deterministic per row and slot)."""
-    base = F.xxhash64("symbol", "ts", F.lit(seed))
+    base = F.concat_ws("|", "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(str(seed)))
 
     def noisy(vec, i):
         def one(x, j):
             # Box-Muller from two hash-derived uniforms in (0, 1)
-            u1 = (F.pmod(F.xxhash64(base, i, j, F.lit(1)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-            u2 = (F.pmod(F.xxhash64(base, i, j, F.lit(2)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+            u1, u2 = ((text_hash(base, i.cast("string"), j.cast("string"), F.lit(k), bits=28) + 1) / float((1 << 28) + 1) for k in "12")
             z = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
             return x + sigma * z
         return F.transform(vec, one)

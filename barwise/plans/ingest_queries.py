@@ -141,6 +141,29 @@ def _a10(spark, d):
     return B.fresh(log, F.lit(now).cast("timestamp_ntz"), ttl_hours=6.0)
 
 
+@query("a10_fresh_rows", "symbol:s, ts:t, close:d", """
+with log as (select symbol, max(ts) as loaded_at from bars_user group by 1), n as (select max(loaded_at) as now from log)
+select symbol, ts, "close" from bars_user where symbol in (
+  select symbol from log, n where (epoch(now) - epoch(loaded_at)) / 3600.0 <= 48)""")
+def _a10b(spark, d):
+    bars = B.bars_user(spark, d)
+    log = bars.groupBy("symbol").agg(F.max("ts").alias("loaded_at"))
+    now = log.agg(F.max("loaded_at")).first()[0]
+    return B.within_ttl(bars, log, F.lit(now).cast("timestamp_ntz"), ttl_hours=48.0)
+
+
+@query("a10_stale_keys", "symbol:s, asked:s", """
+with log as (select symbol, max(ts) as loaded_at from bars_user group by 1), n as (select max(loaded_at) as now from log),
+fresh as (select symbol from log, n where (epoch(now) - epoch(loaded_at)) / 3600.0 <= 48)
+select c as symbol, 'refetch' as asked from (select distinct cast(c_custkey as varchar) as c from customer) as _c
+where c not in (select symbol from fresh)""")
+def _a10c(spark, d):
+    log = B.bars_user(spark, d).groupBy("symbol").agg(F.max("ts").alias("loaded_at"))
+    now = log.agg(F.max("loaded_at")).first()[0]
+    asked = B.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol")).distinct()
+    return B.stale_keys(asked, log, F.lit(now).cast("timestamp_ntz"), ttl_hours=48.0).withColumn("asked", F.lit("refetch"))
+
+
 @query("a11_ordered", "symbol:s, ts:t, rn:l", """
 select symbol, ts, row_number() over (partition by symbol order by ts) as rn from bars_brand""")
 def _a11(spark, d):
@@ -222,7 +245,8 @@ def _b05(spark, d):
     return D.by_category(D.dim_symbols(spark, d), "BUILDING")
 
 
-@query("b06_sample_symbols", DIM_BRIEF)
+@query("b06_sample_symbols", DIM_BRIEF, "select symbol, name, category from dim "
+       "order by cast(('0x' || substr(md5(symbol || '|42'), 1, 15)) as bigint), symbol limit 20")
 def _b06(spark, d):
     return D.sample_symbols(D.dim_symbols(spark, d), 20, seed=42)
 

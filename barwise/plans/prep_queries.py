@@ -312,6 +312,17 @@ def _k10(spark, d):
     return s.groupBy("target_direction", "split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("k10_split_assignment", "symbol:s, ts:t, split:s",
+       f"with t as (select symbol, ts, cast(t > \"close\" as integer) as y from (select *, {_LEAD} as t from bars_brand) as _t where t is not null), "
+       "r as (select *, count(*) over (partition by y) as n, row_number() over (partition by y order by "
+       "cast(('0x' || substr(md5(symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|42'), 1, 15)) as bigint), symbol, ts) as k from t) "
+       "select symbol, ts, case when k <= ceil(n * 0.7) then 'train' when k <= ceil(n * 0.7) + ceil((n - ceil(n * 0.7)) / 2) "
+       "then 'validation' else 'test' end as split from r")
+def _k10b(spark, d):
+    t = K.targets(bars_brand(spark, d))
+    return K.stratified_split(t, "target_direction", ["symbol", "ts"]).select("symbol", "ts", "split")
+
+
 @query("k11_split_gate", "split:s, n_rows:l, pos_rate:d, enough:i",
        f"select split, count(*) as n_rows, avg(cast(target_direction as double)) as pos_rate, "
        f"cast(count(*) >= 10 as integer) as enough from (select s.split, t.target_direction from ({_SPLIT_SQL}) as s "
@@ -322,7 +333,22 @@ def _k11(spark, d):
     return K.split_gate(b, "target_direction")
 
 
-@query("k12_noise_augment", "symbol:s, ts:t, n_values:l, first:d, last:d, total:d4, target:i")
+def _noise_sql() -> str:
+    def u(i, j, k):
+        text = f"symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|7|' || ({i}) || '|' || {j} || '|{k}'"
+        return f"((cast(('0x' || substr(md5({text}), 1, 7)) as bigint) + 1) / cast({(1 << 28) + 1} as double))"
+
+    def z(i, j):
+        return f"0.01 * sqrt(-2 * ln({u(i, j, 1)})) * cos(2 * pi() * {u(i, j, 2)})"
+
+    fr = "(partition by symbol order by ts rows between 10 preceding and 1 preceding)"
+    total = " + ".join(f"(s[{i + 1}][{j + 1}] + {z(i, j)})" for i in range(10) for j in (0, 1))
+    return (f"select symbol, ts, 20 as n_values, s[1][1] + {z(0, 0)} as first, s[10][2] + {z(9, 1)} as last, {total} as total, target "
+            f"from (select symbol, ts, list(list_value(\"close\", volume)) over {fr} as s, target from {_TGT}) as _s where len(s) = 10")
+
+
+# the last bar has no target: a column with nulls, compared as a double
+@query("k12_noise_augment", "symbol:s, ts:t, n_values:l, first:d, last:d, total:d4, target:d", _noise_sql())
 def _k12(spark, d):
     b = K.targets(bars_brand(spark, d), drop_last=False)
     s = K.sequences(b, ["close", "volume"], "target_direction", lookback=10)

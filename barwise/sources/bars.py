@@ -257,6 +257,16 @@ def fresh(log: DataFrame, now: Column, ttl_hours: float = 6.0, loaded_at: str =
     return log.withColumn("age_hours", age).withColumn("fresh", (F.col("age_hours") <= ttl_hours).cast("int"))
 
 
+def within_ttl(bars: DataFrame, log: DataFrame, now, ttl_hours: float = 6.0) -> DataFrame:
+    """A10: the cached rows that may still be served: of keys loaded within the TTL."""
+    return bars.join(fresh(log, now, ttl_hours=ttl_hours).filter("fresh = 1").select("symbol"), "symbol", "left_semi")
+
+
+def stale_keys(asked: DataFrame, log: DataFrame, now, ttl_hours: float = 6.0) -> DataFrame:
+    """A10: keys asked for that must be loaded again: older than the TTL, or never loaded."""
+    return asked.join(fresh(log, now, ttl_hours=ttl_hours).filter("fresh = 1").select("symbol"), "symbol", "left_anti")
+
+
 # ---------------------------------------------------------------- A11 ordering
 def ordered(bars: DataFrame) -> DataFrame:
     """Row number in time order per symbol."""

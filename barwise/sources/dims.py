@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barwise.functions.core import text_hash
+
 from barwise.sources.bars import table
 
 
@@ -102,7 +104,7 @@ def sample_symbols(dim: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
     ``orderBy + limit`` is a top-k: each partition keeps its n best, the driver merges.
     """
-    return dim.orderBy(F.xxhash64("symbol", F.lit(seed)), "symbol").limit(n)
+    return dim.orderBy(text_hash("symbol", F.lit(str(seed))), "symbol").limit(n)
 
 
 def tag(dim: DataFrame, tags: dict[str, DataFrame]) -> DataFrame:
