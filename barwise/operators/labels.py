@@ -108,10 +108,11 @@ def inverse_scaler(df: DataFrame, params: DataFrame, kind: str = "minmax", by: l
 
 
 # ---------------------------------------------------------------- K06-K08 sequences
-def sequences(df: DataFrame, feats: list[str], target: str, lookback: int = 10, gap: int = 1) -> DataFrame:
-    """Features of rows [i-L-gap+1, i-gap] (gap=1: the L rows before i) with target of row i."""
+def sequences(df: DataFrame, feats: list[str], target: str, lookback: int = 10, gap: int = 1,
+              keep: tuple[str, ...] = ()) -> DataFrame:
+    """Features of rows [i-L-gap+1, i-gap] (gap=1: the L rows before i) with target of row i, and its ``keep`` columns."""
     df = _framed(df, feats, "seq", lookback, gap)
-    return df.filter(F.size("seq") == lookback).select("symbol", "ts", "seq", F.col(target).alias("target"))
+    return df.filter(F.size("seq") == lookback).select("symbol", "ts", "seq", F.col(target).alias("target"), *keep)
 
 
 def _framed(df: DataFrame, feats: list[str], name: str, lookback: int, gap: int) -> DataFrame:

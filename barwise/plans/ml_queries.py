@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barwise.operators import evaluation as M
 from barwise.operators import labels as K
 from barwise.operators import ml as R
-from barwise.operators.ranking import global_rank  # noqa: F401  (documented dependency of M05)
+from barwise.operators.segments import last_rows, segmented
 from barwise.plans import sqlgen as G
 from barwise.plans.registry import query
 from barwise.plans.selection_queries import FEATS, selection_frame
@@ -23,8 +23,7 @@ def prepared(spark, d, target: str = "target_direction"):
     f = K.chrono_split(selection_frame(spark, d))
     params = K.fit_scaler(f, FEATS, "standard", fit_where=F.col("split") == "train", by=["symbol"])
     scaled = K.apply_scaler(f, params, "standard", by=["symbol"])
-    seqs = K.sequences(scaled, FEATS, target, lookback=LOOKBACK)
-    out = seqs.join(scaled.select("symbol", "ts", "split"), ["symbol", "ts"])
+    out = K.sequences(scaled, FEATS, target, lookback=LOOKBACK, keep=("split",))
     # iterative estimators read the training table many times: materialise it once in the
     # shared checkpoint folder (reliable checkpoint, lineage cut; survives executor loss)
     from barwise.session import ensure_checkpoint_dir
@@ -50,9 +49,16 @@ def _r02(spark, d):
 def _r03(spark, d):
     s = prepared(spark, d)
     m = R.fit_direction(s.filter(F.col("split") == "train"), "logistic", regParam=0.01)
-    latest = global_rank(s.withColumn("_neg", -F.unix_micros(F.col("ts").cast("timestamp"))), ["symbol"], ["_neg"]) \
-        .filter(F.col("rank") == 1).drop("_neg", "rank", "n")
-    return R.score(m, latest, "logistic")
+    return R.score(m, last_rows(s, 1).drop("_k"), "logistic")
+
+
+# it scores exactly the last sequence (with a known target) of each symbol
+@query("r03_scored_keys", "symbol:s, ts:t, in_range:i",
+       "select symbol, max(ts) as ts, 1 as in_range from (select symbol, ts, "
+       "lead(\"close\") over (partition by symbol order by ts) as nx from bars_brand) as _b where nx is not null group by symbol")
+def _r03b(spark, d):
+    p = _r03(spark, d)
+    return p.select("symbol", "ts", F.col("y_score").between(0, 1).cast("int").alias("in_range"))
 
 
 _W = (0.5, 0.3, 0.2)
@@ -73,7 +79,8 @@ def _conv_sql() -> str:
 @query("r04_dilated_conv", "symbol:s, ts:t, " + ", ".join(f"conv_d{dl}:d, conv_d{dl}_max:d, conv_d{dl}_mean:d" for dl in _D),
        _conv_sql())
 def _r04(spark, d):
-    return R.dilated_conv(bars_brand(spark, d), "close", _W, _D, LOOKBACK)
+    back = max(_D) * (len(_W) - 1) + LOOKBACK
+    return segmented(bars_brand(spark, d), lambda b: R.dilated_conv(b, "close", _W, _D, LOOKBACK), lookback=back)
 
 
 @query("r05_sweep", "trial:i, params:s, accuracy:d, roc_auc:d, status:s")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.core import div, lag, lead, rmax, rmin, rstd, sma
 from barwise.operators import select as L
+from barwise.operators.segments import segmented
 from barwise.plans.registry import query
 from barwise.sources import dims as D
 from barwise.sources.bars import bars_brand
@@ -16,14 +17,17 @@ FEATS = ["ret_1", "ret_5", "ret_10", "close_sma_20_ratio", "volume_ratio_20", "v
 def selection_frame(spark, d):
     """bars_brand features + targets, complete rows only."""
     c, v = F.col("close"), F.col("volume")
-    b = bars_brand(spark, d)
-    b = b.withColumns({"ret_1": div(c, lag(c, 1)) - 1, "ret_5": div(c, lag(c, 5)) - 1, "ret_10": div(c, lag(c, 10)) - 1,
-                       "close_sma_20_ratio": div(c, sma("close", 20)), "volume_ratio_20": div(v, sma("volume", 20)),
-                       "price_position_20": div(c - rmin("low", 20), rmax("high", 20) - rmin("low", 20)),
-                       "_next": lead(c)})
-    b = b.withColumns({"volatility_10": rstd("ret_1", 10),
-                       "target_direction": (F.col("_next") > c).cast("int"),
-                       "target_return": div(F.col("_next") - c, c)})
+
+    def features(b):
+        b = b.withColumns({"ret_1": div(c, lag(c, 1)) - 1, "ret_5": div(c, lag(c, 5)) - 1, "ret_10": div(c, lag(c, 10)) - 1,
+                           "close_sma_20_ratio": div(c, sma("close", 20)), "volume_ratio_20": div(v, sma("volume", 20)),
+                           "price_position_20": div(c - rmin("low", 20), rmax("high", 20) - rmin("low", 20)),
+                           "_next": lead(c)})
+        return b.withColumns({"volatility_10": rstd("ret_1", 10),
+                              "target_direction": (F.col("_next") > c).cast("int"),
+                              "target_return": div(F.col("_next") - c, c)})
+
+    b = segmented(bars_brand(spark, d), features, lookback=20, ahead=1)
     return b.dropna(subset=FEATS + ["target_direction"]).select("symbol", "ts", *FEATS, "target_direction", "target_return")
 
 
