@@ -109,17 +109,17 @@ def inverse_scaler(df: DataFrame, params: DataFrame, kind: str = "minmax", by: l
 
 # ---------------------------------------------------------------- K06-K08 sequences
 def sequences(df: DataFrame, feats: list[str], target: str, lookback: int = 10, gap: int = 1,
-              keep: tuple[str, ...] = ()) -> DataFrame:
+              keep: tuple[str, ...] = (), rows: DataFrame | None = None) -> DataFrame:
     """Features of rows [i-L-gap+1, i-gap] (gap=1: the L rows before i) with target of row i, and its ``keep`` columns."""
-    df = _framed(df, feats, "seq", lookback, gap)
+    df = _framed(df, feats, "seq", lookback, gap, rows)
     return df.filter(F.size("seq") == lookback).select("symbol", "ts", "seq", F.col(target).alias("target"), *keep)
 
 
-def _framed(df: DataFrame, feats: list[str], name: str, lookback: int, gap: int) -> DataFrame:
+def _framed(df: DataFrame, feats: list[str], name: str, lookback: int, gap: int, rows: DataFrame | None = None) -> DataFrame:
     """``df`` with ``name``, the features of the ``lookback`` rows that end ``gap`` rows back, and ``_vec``, the row's own."""
     df = df.withColumn("_vec", F.array(*[F.col(c).cast("double") for c in feats]))
     return segmented(df, lambda b: b.withColumn(name, F.collect_list("_vec").over(win().rowsBetween(-(lookback + gap - 1), -gap))),
-                     lookback=lookback + gap - 1)
+                     lookback=lookback + gap - 1, rows=rows)
 
 
 def adaptive_sequences(df: DataFrame, feats: list[str], target: str, lookback: int = 60) -> DataFrame:
@@ -150,9 +150,10 @@ def seq_summary(seqs: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- K09-K12 splits
-def chrono_split(df: DataFrame, test: float = 0.2, val: float = 0.2, by: str = "symbol") -> DataFrame:
+def chrono_split(df: DataFrame, test: float = 0.2, val: float = 0.2, by: str = "symbol",
+                 rows: DataFrame | None = None) -> DataFrame:
     """Per symbol, last ceil(n*test) rows test, then last ceil(rest*val) validation."""
-    df = positions(df, key=by)
+    df = positions(df, key=by, rows=rows)
     n_test = F.ceil(F.col("_n") * test)
     rest = F.col("_n") - n_test
     n_val = F.ceil(rest * val)

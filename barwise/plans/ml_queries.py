@@ -20,10 +20,11 @@ LOOKBACK = 10
 def prepared(spark, d, target: str = "target_direction"):
     """features -> chronological split -> per-symbol standard scaling fitted on train rows
     -> look-back sequences (features of the 10 previous bars, target of the bar)."""
-    f = K.chrono_split(selection_frame(spark, d))
+    bars = bars_brand(spark, d)                 # what follows has no bar more
+    f = K.chrono_split(selection_frame(spark, d), rows=bars)
     params = K.fit_scaler(f, FEATS, "standard", fit_where=F.col("split") == "train", by=["symbol"])
     scaled = K.apply_scaler(f, params, "standard", by=["symbol"])
-    out = K.sequences(scaled, FEATS, target, lookback=LOOKBACK, keep=("split",))
+    out = K.sequences(scaled, FEATS, target, lookback=LOOKBACK, keep=("split",), rows=bars)
     # iterative estimators read the training table many times: materialise it once in the
     # shared checkpoint folder (reliable checkpoint, lineage cut; survives executor loss)
     from barwise.session import ensure_checkpoint_dir
