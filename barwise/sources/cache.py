@@ -1,38 +1,68 @@
 """Bar cache and result sinks.
 
-The cache is a parquet table partitioned by (source, interval, symbol): a read for
-one key prunes to its folder; a refetch overwrites only the partitions it writes.
+The cache is a parquet table partitioned by (source, interval, bucket of the symbol), sorted by
+symbol inside: a read for one key prunes to its bucket's folder and row groups; a refetch replaces
+the keys it writes and keeps the others.  Folders and files do not multiply with the symbols.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barwise.sources.bars import BAR_COLS, BAR_SCHEMA
 
+#: Folders of one (source, interval); a cache must be read and written with the same number.
+BUCKETS = 128
+
 CACHE_SCHEMA = T.StructType(list(BAR_SCHEMA.fields) + [
-    T.StructField("source", T.StringType()), T.StructField("interval", T.StringType())])
+    T.StructField("source", T.StringType()), T.StructField("interval", T.StringType()),
+    T.StructField("bucket", T.IntegerType())])
+
+
+def _bucket(symbol) -> Column:
+    return F.pmod(F.xxhash64(symbol), F.lit(BUCKETS)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _stored(spark: SparkSession, path: str, source: str, interval: str) -> DataFrame:
+    df = spark.read.schema(CACHE_SCHEMA).option("basePath", path).parquet(path)
+    return df.filter((F.col("source") == source) & (F.col("interval") == interval))
 
 
 def write_cache(bars: DataFrame, path: str, source: str, interval: str) -> None:
-    """A09 write: dynamic partition overwrite of the written keys only."""
-    (bars.withColumn("source", F.lit(source)).withColumn("interval", F.lit(interval))
-         .repartition("source", "interval", "symbol")
+    """A09 write: replaces the written keys only.
+
+    Dynamic partition overwrite of their buckets, with the buckets' other symbols carried over.  The rows are
+    dealt out by bucket; large buckets are split over tasks and small ones share one.
+    """
+    spark = bars.sparkSession
+    rows = bars.select(*BAR_COLS, F.lit(source).alias("source"), F.lit(interval).alias("interval"),
+                       _bucket(F.col("symbol")).alias("bucket"))
+    if _exists(spark, path):
+        written = rows.select(F.col("bucket").alias("_b"), F.col("symbol").alias("_s")).distinct()
+        held = _stored(spark, path, source, interval)
+        held = (held.join(written, F.col("bucket") == F.col("_b"), "left_semi")
+                .join(written, (F.col("bucket") == F.col("_b")) & F.col("symbol").eqNullSafe(F.col("_s")), "left_anti"))
+        rows = rows.unionByName(held)
+    (rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "symbol", "ts")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("source", "interval", "symbol").parquet(path))
+         .partitionBy("source", "interval", "bucket").parquet(path))
 
 
 def read_cache(spark: SparkSession, path: str, source: str, interval: str,
                symbols: list[str] | None = None) -> DataFrame:
-    """A09 read: explicit schema; key filters prune partitions."""
-    df = spark.read.schema(CACHE_SCHEMA).option("basePath", path).parquet(path)
-    df = df.filter((F.col("source") == source) & (F.col("interval") == interval))
+    """A09 read: explicit schema; key filters prune buckets and, inside, row groups."""
+    df = _stored(spark, path, source, interval)
     if symbols is not None:
-        df = df.filter(F.col("symbol").isin(symbols))
+        df = df.filter(F.col("bucket").isin([_bucket(F.lit(s)) for s in symbols]) & F.col("symbol").isin(symbols))
     return df.select(*BAR_COLS)
 
 
