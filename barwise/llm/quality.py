@@ -3,23 +3,28 @@
 A document's score is linear in surface features of its whole text.  It is learned from
 preference pairs (a document of label 1 over one of label 0) by logistic loss on the
 difference of their features, and cut at a quantile of the scores of the labelled rows.
+Every labelled row that is not held out is learned from, in blocks of rows of both labels.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import prepare, table, text_groups
+from barwise.llm.common import prepare, table, text_groups, written
 
-#: Labelled rows used to fit, of each label: the sample's documented bound.
-SAMPLE = 6_000
+#: Rows of the rarer and of the commoner label in a block, about; pairs are made inside blocks.
+BLOCK = (4_096, 8_192)
+#: Steps of the scores' range in which its quantiles are counted.
+STEPS = 65_536
 #: Documents of label 0 that each document of label 1 is compared with, and back.
 PAIRS = 8
 RIDGE = 1e-3
@@ -66,8 +71,11 @@ class Model:
     cut: float = 0.0        # score at the threshold quantile
     slope: float = 1.0
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weight
+        return self.scaled(x) @ self.weight
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, 0.5 at the threshold."""
@@ -79,74 +87,189 @@ def held_out(doc_id):
 
 
 def _features_of(df: DataFrame) -> DataFrame:
-    """``doc_id``, ``quality`` and the features of every text, in Arrow batches."""
+    """``doc_id`` and the features of every text, in Arrow batches."""
     def run(batches):
         for rows, texts in text_groups(batches):
             x = np.array([features(t) for t in texts])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("quality"),
-                                              pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))],
+                                             names=["doc_id", "x"])
 
-    return df.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality long, x array<double>")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample: of each label, the ``sample`` rows with the
-    least hash among those not held out.  Labels other than 0 and 1, null ids and ids with both
-    labels are left out; of several texts of an id the one with the least features counts."""
+def training_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id``, ``quality`` and features ``x`` of every labelled row that is not held out, a row an id.
+    Labels other than 0 and 1, null ids and ids with both labels are left out; of several texts
+    of an id the one with the least features counts."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
-             .filter("quality = most").select("doc_id", "quality"))
-    some = known.filter("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionAll(
-        known.filter("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    # 2 * sample rows of two integers at most: small by its bound
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(some), "doc_id").select(F.col("quality").cast("long").alias("quality"),
-                                                           "doc_id", "text")
-    # a row an id, so the bound holds however often an id is repeated
-    one = _features_of(found).groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
-    rows = sorted((r["doc_id"], r["quality"], tuple(r["x"])) for r in one.collect())
+             .filter("quality = most").select("doc_id", F.col("quality").cast("long").alias("quality")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(
+        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # features before the join: no text is shuffled
+    return _features_of(texts).join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``training_table`` as arrays, for ``fit`` on tables that fit the driver; ``train`` never collects it."""
+    rows = sorted((r["doc_id"], r["quality"], tuple(r["x"])) for r in training_table(docs, labels).collect())
     return (np.array([r[2] for r in rows]).reshape(len(rows), FEATURES),
             np.array([r[1] for r in rows], np.int64))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> Model:
-    """Newton steps on the Bradley-Terry likelihood of the preference pairs.
+def _unfitted() -> Model:
+    """The model without rows of both labels: it scores everything 0.5."""
+    return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES))
 
-    Without rows of both labels the model scores everything 0.5.
-    """
-    if len(x) == 0 or y.min() == y.max():
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES))
-    model = Model(x.mean(0), np.maximum(x.std(0), 1e-6), np.zeros(FEATURES))
-    z = np.clip((x - model.mean) / model.scale, -8, 8)
-    good, bad = z[y == 1], z[y == 0]
+
+def _pair_sums(model: Model, pairs: int, good: np.ndarray, bad: np.ndarray, *_) -> np.ndarray:
+    """Number, gradient and Hessian of the preference pairs of a block, summed; every row of a block
+    with rows of both labels is in ``pairs`` pairs at least."""
+    out = np.zeros(1 + FEATURES + FEATURES ** 2)
+    if len(good) == 0 or len(bad) == 0:
+        return out
+    good, bad = model.scaled(good), model.scaled(bad)
     n = max(len(good), len(bad))
     i = np.arange(n)
-    step = [(k * 7919 + 1) for k in range(pairs)]
-    d = np.concatenate([good[i % len(good)] - bad[(i * 31 + s) % len(bad)] for s in step])
-    for _ in range(40):
+    stride = 31 if len(bad) % 31 else 1       # else it would pass rows by
+    for k in range(pairs):
+        d = good[i % len(good)] - bad[(i * stride + k * 7919 + 1) % len(bad)]
         p = 1 / (1 + np.exp(-np.clip(d @ model.weight, -30, 30)))
-        grad = d.T @ (p - 1) / len(d) + ridge * model.weight
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(FEATURES)
+        out += np.concatenate([[n], d.T @ (p - 1), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+    return out
+
+
+def _learn(over: Callable, quantiles: Callable, pairs: int = PAIRS, ridge: float = RIDGE) -> Model:
+    """Newton steps on the Bradley-Terry likelihood of the preference pairs, then the cut.
+
+    ``over(f)`` sums ``f(good, bad, own_good, own_bad)`` over the blocks: features of the rows to pair,
+    and of those counted in this block.  ``quantiles(model, probs)`` are those of all rows' scores.
+    """
+    n, n_good, *total = over(lambda g, b, good, bad: np.concatenate([[len(good) + len(bad), len(good)], good.sum(0) + bad.sum(0)]))
+    mean = np.array(total) / n
+    var = over(lambda g, b, good, bad: ((good - mean) ** 2).sum(0) + ((bad - mean) ** 2).sum(0)) / n
+    model = Model(mean, np.maximum(np.sqrt(var), 1e-6), np.zeros(FEATURES))
+    for _ in range(40):
+        held = Model(model.mean, model.scale, model.weight)
+        sums = over(lambda *block: _pair_sums(held, pairs, *block))
+        if not sums[0]:
+            break
+        grad = sums[1:1 + FEATURES] / sums[0] + ridge * model.weight
+        hess = sums[1 + FEATURES:].reshape(FEATURES, FEATURES) / sums[0] + ridge * np.eye(FEATURES)
         move = np.linalg.solve(hess, grad)
         model.weight = model.weight - move
         if np.abs(move).max() < 1e-8:
             break
     # the quantile of all scores that tells the labels apart best
-    s = model.raw(x)
-    order = np.sort(s)
-    qs = np.unique(np.concatenate([np.linspace(0, 1, 401), [(y == 0).mean()]]))
-    cuts = np.quantile(order, qs)
-    right = [((s >= c) & (y == 1)).sum() / (y == 1).sum() + ((s < c) & (y == 0)).sum() / (y == 0).sum() for c in cuts]
-    best = np.flatnonzero(np.isclose(right, max(right)))
-    model.cut = float(cuts[best].mean())
-    spread = float(np.std(s))
+    fitted = Model(model.mean, model.scale, model.weight)
+    qs = np.unique(np.concatenate([np.linspace(0, 1, 401), [(n - n_good) / n]]))
+    cuts = np.maximum.accumulate(quantiles(fitted, qs))
+
+    def reached(g, b, good, bad):
+        return np.concatenate([np.bincount(np.searchsorted(cuts, fitted.raw(x), "right"), minlength=len(cuts) + 1)
+                               for x in (good, bad)])
+
+    good, bad = over(reached).reshape(2, -1)
+    right = good[::-1].cumsum()[::-1][1:] / n_good + bad.cumsum()[:-1] / (n - n_good)
+    model.cut = float(cuts[np.isclose(right, max(right))].mean())
+    middle = over(lambda g, b, good, bad: np.array([fitted.raw(good).sum() + fitted.raw(bad).sum()]))[0] / n
+    square = over(lambda g, b, good, bad: np.array([((fitted.raw(good) - middle) ** 2).sum() + ((fitted.raw(bad) - middle) ** 2).sum()]))
+    spread = math.sqrt(square[0] / n)
     model.slope = 2.0 / spread if spread > 0 else 1.0
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return fit(*training_rows(docs, labels, sample))
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> Model:
+    """The model of rows in memory, as one block."""
+    if len(x) == 0 or y.min() == y.max():
+        return _unfitted()
+    good, bad = x[y == 1], x[y == 0]
+    return _learn(lambda f: f(good, bad, good, bad), lambda m, qs: np.quantile(m.raw(x), qs), pairs, ridge)
+
+
+def _blocks(rows: DataFrame, n: dict[int, int], size: tuple[int, int]) -> DataFrame:
+    """A row a block: the features of its rows of both labels, in order of id, and which of them
+    this block counts.  The rarer label is cut into blocks; the commoner one is dealt out to them,
+    and to several parts of a block where it is far commoner: the rarer rows are repeated in each part."""
+    rare = min(n, key=lambda q: (n[q], q))
+    blocks = -(-n[rare] // size[0])
+    parts = -(-n[1 - rare] // (blocks * size[1]))
+
+    def deal(salt: str, into: int) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(into)).cast("int")
+
+    dealt = rows.select("doc_id", "quality", "x", deal("block", blocks).alias("block"), F.explode(
+        F.when(F.col("quality") == rare, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(deal("part", parts)))).alias("part"))
+
+    def gather(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc_id")
+        x = group["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
+        y = group["quality"].to_numpy()
+        first = group["part"][0].as_py() == 0
+        return pa.table({"good": pa.array([x[y == 1].tobytes()], pa.binary()), "bad": pa.array([x[y == 0].tobytes()], pa.binary()),
+                         "own_good": [first or rare != 1], "own_bad": [first or rare != 0]})
+
+    return dealt.groupBy("block", "part").applyInArrow(gather, "good binary, bad binary, own_good boolean, own_bad boolean")
+
+
+def _each(batches):
+    """The arrays of every block, as ``_learn`` takes them."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            r = batch.slice(k, 1).to_pylist()[0]
+            good, bad = (np.frombuffer(r[c]).reshape(-1, FEATURES) for c in ("good", "bad"))
+            yield good, bad, good if r["own_good"] else good[:0], bad if r["own_bad"] else bad[:0]
+
+
+def _sum_over(blocks: DataFrame, f: Callable) -> np.ndarray:
+    """The sum of ``f`` over the blocks: a row of sums a task comes to the driver."""
+    def run(batches):
+        total = None
+        for block in _each(batches):
+            total = f(*block) if total is None else total + f(*block)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
+                                              pa.array([total.astype(float)], pa.list_(pa.float64()))], names=["task", "sums"])
+
+    rows = sorted(blocks.mapInArrow(run, "task int, sums array<double>").collect())
+    return sum(np.array(r["sums"]) for r in rows)
+
+
+def _score_quantiles(blocks: DataFrame, model: Model, probs: np.ndarray) -> np.ndarray:
+    """Linear-interpolation quantiles of all rows' scores, from the rows, least and greatest score
+    counted in each of ``STEPS`` steps of their range: exact but for rows that share a step with two
+    others or more, where they are off by less than a step."""
+    def run(batches):
+        for _, _, good, bad in _each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(np.concatenate([good, bad])))], names=["s"])
+
+    scores = blocks.mapInArrow(run, "s double")
+    lo, hi = scores.agg(F.min("s"), F.max("s")).first()
+    step = F.floor((F.col("s") - lo) / (hi - lo) * STEPS) if hi > lo else F.lit(0)
+    # STEPS + 1 rows at most
+    steps = sorted(scores.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("s"), F.max("s")).collect())
+    _, n, least, most = (np.array(c) for c in zip(*steps))
+    before = np.cumsum(n) - n
+
+    def value(rank: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(before, rank, "right") - 1
+        return least[k] + (most[k] - least[k]) * (rank - before[k]) / np.maximum(1, n[k] - 1)
+
+    at = probs * (n.sum() - 1)
+    below, above = value(np.floor(at)), value(np.ceil(at))
+    return below + (above - below) * (at - np.floor(at))
+
+
+def train(docs: DataFrame, labels: DataFrame, size: tuple[int, int] = BLOCK) -> Model:
+    """The model of all rows of ``training_table``; rows stay on the executors, in blocks."""
+    spark = docs.sparkSession
+    rows = written(spark, training_table(docs, labels), "quality-rows")
+    n = {0: 0, 1: 0} | {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    if not n[0] or not n[1]:
+        return _unfitted()
+    blocks = written(spark, _blocks(rows, n, size), "quality-blocks")
+    return _learn(lambda f: _sum_over(blocks, f), lambda model, probs: _score_quantiles(blocks, model, probs))
 
 
 def _scored(spark: SparkSession, docs: DataFrame, model: Model) -> tuple[DataFrame, list[Column]]:
